@@ -58,7 +58,7 @@ def targets(rows: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, cap
     return all_.withColumn("target", F.least(most, F.col("weight") * F.lit(level))).drop("weight")
 
 
-def solve(rows: DataFrame, sources: DataFrame, cap: float = 2.0, tolerance: float = 1e-7, rounds: int = 60) -> DataFrame:
+def solve(rows: DataFrame, sources: DataFrame, cap: float = 2.0, tolerance: float = 1e-6, rounds: int = 60) -> DataFrame:
     """rows: k, size. The dual's solution: k, scale, lam."""
     histogram = rows.groupBy("k", "size").agg(F.count(F.lit(1)).alias("docs")).filter("size > 0")
     histogram = staged(histogram.select("k", F.col("size").cast("double").alias("size"), "docs"), "mix-histogram")
@@ -69,18 +69,20 @@ def solve(rows: DataFrame, sources: DataFrame, cap: float = 2.0, tolerance: floa
     capped = F.col("target") >= F.col("source_size") * cap * (1 - 1e-12)
     done_at = F.log(F.lit(cap)) * F.col("scale") / F.col("least") * 1.0001
     state = staged(state.select("k", "scale", "target", F.when(capped, done_at).otherwise(0.0).alias("lam"), F.lit(-inf).alias("lo"), F.lit(inf).alias("hi"), capped.alias("done")), "mix-dual")
+    bounded = small(state, BROADCAST_SOURCES)
     for _ in range(rounds):
         if not state.filter("not done").limit(1).count():
             break
         rate = F.least(F.lit(float(cap)), F.exp(F.least(F.col("lam") * F.col("size") / F.col("scale"), F.lit(50.0))))
         mass = F.col("docs") * F.col("size")
-        both = histogram.join(_bounded(state.filter("not done").select("k", "scale", "lam")), "k")
+        open_ = state.filter("not done").select("k", "scale", "lam")
+        both = histogram.join(F.broadcast(open_) if bounded else open_, "k")
         slope = F.when(rate < cap, mass * F.col("size") / F.col("scale") * rate).otherwise(0.0)
         sums = both.groupBy("k").agg(F.sum(mass * rate).alias("have"), F.sum(slope).alias("slope"))
         gap = F.col("have") - F.col("target")
         near = F.abs(gap) <= F.greatest(F.col("target"), F.lit(1.0)) * tolerance
         lam = F.col("lam")
-        step = state.join(sums, "k", "left").withColumn("lo", F.when(gap < 0, lam).otherwise(F.col("lo"))).withColumn("hi", F.when(gap > 0, lam).otherwise(F.col("hi")))
+        step = state.join(F.broadcast(sums) if bounded else sums, "k", "left").withColumn("lo", F.when(gap < 0, lam).otherwise(F.col("lo"))).withColumn("hi", F.when(gap > 0, lam).otherwise(F.col("hi")))
         newton = F.when(F.col("slope") > 0, lam - gap / F.col("slope"))
         inside = newton.isNotNull() & (newton > F.col("lo")) & (newton < F.col("hi")) & (F.abs(newton - lam) <= 4 + 2 * F.abs(lam))
         middle = F.when(F.col("hi") == inf, 2 * F.greatest(F.col("lo"), F.lit(0.0)) + 1).when(F.col("lo") == -inf, 2 * F.least(F.col("hi"), F.lit(0.0)) - 1).otherwise((F.col("lo") + F.col("hi")) / 2)
