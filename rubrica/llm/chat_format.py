@@ -74,7 +74,8 @@ def format_chat(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
     rows = turns.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(parts), F.array().cast(f"array<{PART}>")).alias("parts"))
     rows = rows.select("*", F.transform("parts", visit).alias("pieces"), F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n")).alias("head"))
     rows = rows.withColumn("line", F.concat("head", F.array_join("pieces", ""), F.lit(END + "\n")))
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "line")
+    rows = rows.withColumn("said", F.array_join(F.transform("parts", lambda p: F.coalesce(p["text"], F.lit(""))), ""))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "said", "line")
     before = F.coalesce(F.sum(F.char_length("line")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = rows.withColumn("start", before).withColumn("place", F.row_number().over(order))
     ends = F.transform(F.sequence(F.lit(1), F.size("pieces")), lambda i: F.char_length(F.array_join(F.slice("pieces", 1, i - 1), "")))
