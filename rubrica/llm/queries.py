@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, mixing, near_dedup, packing, secrets, token_counts, topk_search, toxicity
+from . import chat_format, exact_dedup, mixing, near_dedup, packing, secrets, suffix_dedup, token_counts, topk_search, toxicity
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.rates(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
     return rows.withColumn("over_limit", F.col("n_tokens") > 512)
