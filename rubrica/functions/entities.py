@@ -45,10 +45,9 @@ def _near() -> str:
     for w in CONTEXT_WORDS:
         by_length[len(w)].append(w)
     groups = [(REACH - n, "|".join(ws)) for n, ws in sorted(by_length.items())]
-    digit = r"\b0*[1-9]\b"
-    ahead = "|".join(f"(?=.{{0,{reach}}}(?:{ws}))" for reach, ws in groups)
+    ahead = "|".join(rf"(?=0*[1-9].{{0,{reach}}}(?:{ws}))" for reach, ws in groups)
     behind = "|".join(f"(?<=(?:{ws}).{{0,{reach}}})" for reach, ws in groups)
-    return f"(?isU)(?:{digit}(?:{ahead})|(?:{behind}){digit})"
+    return rf"(?isU)(?=\b0*[1-9]\b)(?:{behind}|{ahead})0*[1-9]"  # the digit first: what is around is looked at there only
 
 
 def integers(text: Column) -> Column:

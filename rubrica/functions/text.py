@@ -13,6 +13,11 @@ _W = r"\s\x1c-\x1f\x85"
 _BLANK = rf"(?U)[{_W}]+"
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def tokens(text: Column) -> Column:
     """Words between white space, in order."""
     return F.filter(F.split(text, _BLANK), lambda t: t != "")
@@ -52,22 +57,28 @@ def syllables(text: Column) -> Column:
     return runs + none - silent + final_le
 
 
-def _rates(text: Column) -> tuple[Column, Column, Column]:
-    words, parts = count_words(text).cast("double"), count_sentences(text).cast("double")
-    return (words > 0) & (parts > 0), words / F.nullif(parts, F.lit(0.0)), syllables(text).cast("double") / F.nullif(words, F.lit(0.0))
+def _rates(text: Column) -> Column:
+    """struct of words per sentence and syllables per word; both null without a word or a sentence."""
+    counts = F.struct(count_words(text).cast("double").alias("w"), count_sentences(text).cast("double").alias("s"), syllables(text).cast("double").alias("y"))
+    return let(counts, lambda c: F.when((c["w"] > 0) & (c["s"] > 0), F.struct((c["w"] / c["s"]).alias("per_sentence"), (c["y"] / c["w"]).alias("per_word"))))
+
+
+def _grade(r: Column) -> Column:
+    return F.when(r.isNotNull(), F.greatest(F.lit(0.39) * r["per_sentence"] + F.lit(11.8) * r["per_word"] - F.lit(15.59), F.lit(0.0))).otherwise(0.0)
+
+
+def _ease(r: Column) -> Column:
+    return F.when(r.isNotNull(), F.greatest(F.least(F.lit(206.835) - F.lit(1.015) * r["per_sentence"] - F.lit(84.6) * r["per_word"], F.lit(100.0)), F.lit(0.0))).otherwise(0.0)
 
 
 def grade_level(text: Column) -> Column:
     """Flesch-Kincaid grade level, 0 at least; 0 without a word or a sentence."""
-    some, per_sentence, per_word = _rates(text)
-    return F.when(some, F.greatest(F.lit(0.39) * per_sentence + F.lit(11.8) * per_word - F.lit(15.59), F.lit(0.0))).when(text.isNotNull(), 0.0)
+    return F.when(text.isNotNull(), let(_rates(text), _grade))
 
 
 def reading_ease(text: Column) -> Column:
     """Flesch reading ease between 0 and 100; 0 without a word or a sentence."""
-    some, per_sentence, per_word = _rates(text)
-    score = F.lit(206.835) - F.lit(1.015) * per_sentence - F.lit(84.6) * per_word
-    return F.when(some, F.greatest(F.least(score, F.lit(100.0)), F.lit(0.0))).when(text.isNotNull(), 0.0)
+    return F.when(text.isNotNull(), let(_rates(text), _ease))
 
 
 def _band(x: Column, best: tuple, outside: tuple) -> Column:
@@ -76,31 +87,34 @@ def _band(x: Column, best: tuple, outside: tuple) -> Column:
 
 def readability(text: Column) -> Column:
     """0 to 1: best at grade 12 to 16 and ease 30 to 60; 0 below ten words."""
-    both = (_band(grade_level(text), (12, 16), (8, 22)) + _band(reading_ease(text), (30, 60), (10, 80))) / 2
+    measured = let(_rates(text), lambda r: F.struct(_grade(r).alias("grade"), _ease(r).alias("ease")))
+    both = let(measured, lambda m: (_band(m["grade"], (12, 16), (8, 22)) + _band(m["ease"], (30, 60), (10, 80))) / 2)
     return F.when(count_words(text) < 10, 0.0).when(text.isNotNull(), both)
 
 
 def _mean_of_neighbours(items: Column, of) -> Column:
+    """Mean of of(item, the next item). items: named once by the caller."""
     n = F.size(items)
-    pairs = F.zip_with(F.slice(items, F.lit(1), n - 1), F.slice(items, F.lit(2), n - 1), of)
-    return F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(pairs), F.lit(0))
+    total = F.aggregate(F.zip_with(F.slice(items, F.lit(1), n - 1), F.slice(items, F.lit(2), n - 1), of), F.lit(0.0), lambda a, x: a + x)
+    return total / (n - 1)
 
 
 def _overlap(a: Column, b: Column) -> Column:
-    return F.size(F.array_intersect(a, b)) / F.least(F.size(F.array_distinct(a)), F.size(F.array_distinct(b)))
+    return F.size(F.array_intersect(a, b)) / F.least(F.size(a), F.size(b))
 
 
 def coherence(text: Column) -> Column:
     """0 to 1: twice the mean overlap of words between neighbouring sentences; 0.5 below twenty words or two sentences."""
-    words = F.transform(sentences(F.lower(text), 10), tokens)
-    score = F.least(_mean_of_neighbours(words, _overlap) * 2, F.lit(1.0))
-    return F.when((count_words(text) < 20) | (F.size(words) < 2), 0.5).when(text.isNotNull(), score)
+    words = F.transform(sentences(F.lower(text), 10), lambda s: F.array_distinct(tokens(s)))
+    score = let(words, lambda w: F.when(F.size(w) < 2, 0.5).otherwise(F.least(_mean_of_neighbours(w, _overlap) * 2, F.lit(1.0))))
+    return F.when(count_words(text) < 20, 0.5).when(text.isNotNull(), score)
 
 
 def coherence_of_vectors(vectors: Column) -> Column:
     """The same from unit vectors of the sentences: their mean dot product, from 0.1 to 0.8 spread over 0 to 1."""
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    return F.when(F.size(vectors) < 2, 0.5).otherwise(F.greatest(F.least((_mean_of_neighbours(vectors, dot) - 0.1) / 0.7, F.lit(1.0)), F.lit(0.0)))
+    score = let(vectors, lambda v: F.when(F.size(v) < 2, 0.5).otherwise(F.greatest(F.least((_mean_of_neighbours(v, dot) - 0.1) / 0.7, F.lit(1.0)), F.lit(0.0))))
+    return F.when(vectors.isNotNull(), score)
 
 
 def token_windows(text: Column, size: int = 50, stride: int = 25, cover_tail: bool = False) -> Column:
@@ -108,13 +122,16 @@ def token_windows(text: Column, size: int = 50, stride: int = 25, cover_tail: bo
 
     The last full window may leave up to stride - 1 tokens uncovered; ``cover_tail`` adds a window that ends with the text.
     """
-    words = tokens(text)
-    last = F.greatest(F.size(words) - size, F.lit(0))
-    starts = F.sequence(F.lit(0), last, F.lit(stride))
-    if cover_tail:
-        starts = F.array_union(starts, F.array(last))
-    made = F.transform(starts, lambda i: F.array_join(F.slice(words, i + 1, F.lit(size)), " "))
-    return F.when(F.size(words) == 0, F.array().cast("array<string>")).otherwise(made)
+
+    def made(words: Column) -> Column:
+        last = F.greatest(F.size(words) - size, F.lit(0))
+        starts = F.sequence(F.lit(0), last, F.lit(stride))
+        if cover_tail:
+            starts = F.array_union(starts, F.array(last))
+        windows = F.transform(starts, lambda i: F.array_join(F.slice(words, i + 1, F.lit(size)), " "))
+        return F.when(F.size(words) == 0, F.array().cast("array<string>")).otherwise(windows)
+
+    return F.when(text.isNotNull(), let(tokens(text), made))
 
 
 def truncated(text: Column, limit: int, mark: str = "...") -> Column:

@@ -39,28 +39,29 @@ def definition_share(response: Column, definition: Column) -> Column:
 
 def coverage(response: Column, reasoning: Column, definition: Column, indicators: Column) -> tuple[Column, Column]:
     """(score, issues): from 1, less 0.3 for a short response and 0.2 each for a short reasoning, few indicators, few terms."""
-    rw, sw = T.count_words(response), T.count_words(reasoning)
-    n, share = F.size(indicators), indicators_mentioned(response, indicators)
-    short, brief = rw < LEAST_RESPONSE_WORDS, sw < LEAST_REASONING_WORDS
-    few = (n > 0) & (share / F.nullif(n, F.lit(0)) < 0.3)
-    off = (definition != "") & (definition_share(response, definition) < 0.2)
-    lost = lambda c, x: F.when(c, x).otherwise(0.0)
-    score = F.greatest(F.lit(1.0) - lost(short, 0.3) - lost(brief, 0.2) - lost(few, 0.2) - lost(off, 0.2), F.lit(0.0))
-    issues = _some(
-        F.when(short, F.format_string(f"Response too short (%d words, minimum {LEAST_RESPONSE_WORDS})", rw)),
-        F.when(brief, F.format_string(f"Reasoning too short (%d words, minimum {LEAST_REASONING_WORDS})", sw)),
-        F.when(few, F.format_string("Low indicator coverage (%d/%d indicators referenced)", share, n)),
-        F.when(off, F.lit("Response does not address key definition terms")),
-    )
-    return score, issues
+    counts = F.struct(T.count_words(response).alias("rw"), T.count_words(reasoning).alias("sw"), F.size(indicators).alias("n"), indicators_mentioned(response, indicators).alias("seen"), ((definition != "") & (definition_share(response, definition) < 0.2)).alias("off"))
+
+    def judged(c: Column) -> Column:
+        short, brief, few = c["rw"] < LEAST_RESPONSE_WORDS, c["sw"] < LEAST_REASONING_WORDS, (c["n"] > 0) & (c["seen"] / F.greatest(c["n"], F.lit(1)) < 0.3)
+        lost = lambda cond, x: F.when(cond, x).otherwise(0.0)
+        score = F.greatest(F.lit(1.0) - lost(short, 0.3) - lost(brief, 0.2) - lost(few, 0.2) - lost(c["off"], 0.2), F.lit(0.0))
+        issues = _some(
+            F.when(short, F.format_string(f"Response too short (%d words, minimum {LEAST_RESPONSE_WORDS})", c["rw"])),
+            F.when(brief, F.format_string(f"Reasoning too short (%d words, minimum {LEAST_REASONING_WORDS})", c["sw"])),
+            F.when(few, F.format_string("Low indicator coverage (%d/%d indicators referenced)", c["seen"], c["n"])),
+            F.when(c["off"], F.lit("Response does not address key definition terms")),
+        )
+        return F.struct(score.alias("score"), issues.alias("issues"))
+
+    found = T.let(counts, judged)
+    return found["score"], found["issues"]
 
 
 def _kind(v: Column) -> Column:
     """Name of a variant's type as Python calls it."""
-    s = F.schema_of_variant(v)
-    return (
-        F.when(F.is_variant_null(v), "NoneType").when(s == "STRING", "str").when(F.startswith(s, F.lit("ARRAY")), "list").when(F.startswith(s, F.lit("OBJECT")), "dict").when(s == "BOOLEAN", "bool").when(s == "BIGINT", "int").otherwise("float")
-    )
+    known = {"VOID": "NoneType", "STRING": "str", "ARRAY": "list", "OBJECT": "dict", "BOOLEAN": "bool", "BIGINT": "int"}
+    names = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    return F.coalesce(F.try_element_at(names, F.substring_index(F.schema_of_variant(v), "<", 1)), F.when(v.isNotNull(), "float"))
 
 
 def repair(rows: DataFrame, entry: str = "entry", category: str = "category") -> DataFrame:

@@ -2,29 +2,72 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..common import bounded
+from ..common import bounded, staged
 from ..functions import text as T
 
+#: Rows of a matrix.
+BLOCK = 1024
+
+
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    return np.array(vectors.tolist(), np.float64).reshape(len(vectors), -1)
 
-def dot(a: Column, b: Column) -> Column:
-    """In double precision."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+def _met(left: DataFrame, right: DataFrame, group: tuple, of: Callable, schema: str) -> DataFrame:
+    """of(part of left, part of right) for every pair of blocks of at most BLOCK rows that have the group columns in common.
+
+    Most groups are one block on either side. Rows of null vectors take no part.
+    """
+    count = lambda df, n: df.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(n))
+    left, right = (df.filter("vector IS NOT NULL") for df in (left, right))
+    blocks = bounded(staged(count(left, "nl").join(count(right, "nr"), list(group)), "blocks"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda df, n: F.pmod(F.xxhash64(*[c for c in df.columns if c not in group]), F.col(n)).cast("int")
+    a = left.join(blocks, list(group)).withColumn("bl", own(left, "nl")).withColumn("br", each("nr")).drop("nl", "nr")
+    b = right.join(blocks, list(group)).withColumn("br", own(right, "nr")).withColumn("bl", each("nl")).drop("nl", "nr")
+    a, b = (df.select(*[F.col(c).alias(c) for c in df.columns]) for df in (a, b))
+    return a.groupBy(*group, "bl", "br").cogroup(b.groupBy(*group, "bl", "br")).applyInPandas(lambda x, y: of(x, y), schema)
 
 
 def page_similarity(queries: DataFrame, pages: DataFrame, group: tuple = ("doc_id",)) -> DataFrame:
     """Highest dot product of any query window with any window of a page.
 
     queries: group columns, query, vector. pages: group columns, page_number, vector (null for a blank page: similarity 0).
-    Windows meet within a group only (an equi-join on it), and the maximum is partly taken before the shuffle.
+    Windows meet within a group only, as matrices.
     """
-    q = queries.select(*group, "query", F.col("vector").alias("q_"))
-    p = pages.select(*group, "page_number", F.col("vector").alias("p_"))
-    both = p.join(q, list(group)) if group else p.crossJoin(bounded(q))
-    score = F.coalesce(dot(F.col("q_"), F.col("p_")), F.lit(0.0))
-    return both.groupBy(*group, "query", "page_number").agg(F.max(score).alias("similarity"))
+    key = group or ("all_",)
+    if not group:
+        queries, pages = queries.withColumn("all_", F.lit(0)), pages.withColumn("all_", F.lit(0))
+    kind = {f.name: f.dataType.simpleString() for f in [*queries.schema.fields, *pages.schema.fields]}
+    asked = queries.groupBy(*key, "query").agg(F.count("vector").alias("n_")).drop("n_")
+    numbered = queries.select(*key, F.xxhash64("query").alias("q_"), "vector")
+
+    def highest(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if not len(p) or not len(q):
+            return pd.DataFrame(columns=[*key, "q_", "page_number", "similarity"])
+        order = np.argsort(q.q_.to_numpy(), kind="stable")
+        ids, first = np.unique(q.q_.to_numpy()[order], return_index=True)
+        rows = np.maximum.reduceat(_matrix(q.vector)[order] @ _matrix(p.vector).T, first, axis=0)
+        order = np.argsort(p.page_number.to_numpy(), kind="stable")
+        numbers, first = np.unique(p.page_number.to_numpy()[order], return_index=True)
+        best = np.maximum.reduceat(rows[:, order], first, axis=1).round(12)  # so that equal vectors score alike wherever they stand
+        out = pd.DataFrame({"q_": np.repeat(ids, len(numbers)), "page_number": np.tile(numbers, len(ids)), "similarity": best.ravel()})
+        for c in key:
+            out[c] = p[c].iloc[0]
+        return out[[*key, "q_", "page_number", "similarity"]]
+
+    schema = ", ".join([f"`{c}` {kind[c]}" for c in key] + ["q_ long", f"page_number {kind['page_number']}", "similarity double"])
+    found = _met(pages.select(*key, "page_number", "vector"), numbered, key, highest, schema)
+    blank = pages.filter("vector IS NULL").select(*key, "page_number").join(asked.withColumn("q_", F.xxhash64("query")).drop("query"), list(key))
+    found = found.union(blank.select(*key, "q_", "page_number", F.lit(0.0))).groupBy(*key, "q_", "page_number").agg(F.max("similarity").alias("similarity"))
+    return found.join(asked.withColumn("q_", F.xxhash64("query")), [*key, "q_"]).select(*group, "query", "page_number", "similarity")
 
 
 def adaptive_threshold(similar: DataFrame, keys: tuple) -> DataFrame:
@@ -59,13 +102,22 @@ def prefiltered_pages(similar: DataFrame, keys: tuple, percentile: float = 0.25)
 def top_k_by_vector(queries: DataFrame, documents: DataFrame, k: int = 5) -> DataFrame:
     """queries: query, vector. documents: ord, vector. The k nearest by dot product; of equals the later first.
 
-    The documents are a rubric's knowledge base, broadcast below a checked size; beyond it the join is a nested loop over
-    blocks that Spark makes of either side.
+    Blocks of both sides meet as matrices; each pair keeps its k best, and a window merges them.
     """
-    both = queries.select("query", F.col("vector").alias("q_")).crossJoin(bounded(documents.select("ord", F.col("vector").alias("d_")), 10_000))
-    scored = both.select("query", "ord", dot(F.col("q_"), F.col("d_")).alias("similarity")).filter("similarity IS NOT NULL")
+    kind = queries.schema["query"].dataType.simpleString()
+
+    def best(d: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if not len(d) or not len(q):
+            return pd.DataFrame(columns=["query", "ord", "similarity"])
+        d = d.sort_values("ord", ascending=False, kind="stable")
+        score = (_matrix(q.vector) @ _matrix(d.vector).T).round(12)
+        at = np.argsort(-score, axis=1, kind="stable")[:, :k]
+        return pd.DataFrame({"query": np.repeat(q["query"].to_numpy(), at.shape[1]), "ord": d["ord"].to_numpy()[at].ravel(), "similarity": np.take_along_axis(score, at, 1).ravel()})
+
+    one = lambda df, name: df.select(F.lit(0).alias("all_"), name, "vector")
+    found = _met(one(documents, "ord"), one(queries, "query"), ("all_",), best, f"query {kind}, ord long, similarity double")
     order = Window.partitionBy("query").orderBy(F.desc("similarity"), F.desc("ord"))
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def top_k_by_terms(queries: DataFrame, documents: DataFrame, k: int = 5) -> DataFrame:

@@ -30,9 +30,10 @@ def _assessed(rows: DataFrame, entries: DataFrame, settings: Settings) -> DataFr
     return quality.assess(rows, entries, settings.quality)
 
 
-def process(pages: DataFrame, entries: DataFrame, generator, embedder=None, settings: Settings | None = None, checkpoint: sinks.Checkpoint | None = None) -> dict[str, DataFrame]:
+def process(pages: DataFrame, entries: DataFrame, generator, embedder=None, settings: Settings | None = None, checkpoint: sinks.Checkpoint | None = None, voter=None) -> dict[str, DataFrame]:
     """pages: doc_id, page_number, text. All documents in one job: analyses (with citations), assessed, report, references.
 
+    Votes on pages are taken only if a ``voter`` (a generator) is given; without, evidence is of medium or low confidence.
     What a model says is written before anything reads it twice; finished analyses in the checkpoint are not asked for again.
     """
     s = settings or Settings()
@@ -50,7 +51,7 @@ def process(pages: DataFrame, entries: DataFrame, generator, embedder=None, sett
     out = {"assessed": assessed, "report": quality.report(assessed)}
     rows = assessed.select("doc_id", "ordinal", "category", "response", "score", "scoring_reasoning", "error")
     if s.page_references:
-        refs = staged(attribution.extract(rows, pages, embedder, generator, s.attribution), "references")
+        refs = staged(attribution.extract(rows, pages, embedder, voter, s.attribution), "references")
         return out | {"references": refs, "analyses": attribution.cite(rows, refs)}
     none = F.array().cast("array<int>")
     return out | {"analyses": rows.withColumns({"response_page_citations": none, "scoring_reasoning_page_citations": none})}
