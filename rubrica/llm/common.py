@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,9 @@ from pyspark.sql import functions as F
 #: The white space of all word contracts: space and \t \n \v \f \r.
 SPACE = " \t\n\x0b\x0c\r"
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _shipped: set[str] = set()
+_own_caches: dict[str, Callable[[], None]] = {}
 _staged: list[tuple[SparkSession, str]] = []
 
 
@@ -25,6 +28,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors once per application, so that workers can import it from anywhere."""
+    if spark.conf.get(_BATCH) == "67108864b":  # the default; texts are copied several times on their way
+        spark.conf.set(_BATCH, "8m")
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -38,6 +43,15 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def take_over(name: str, clear: Callable[[], None]) -> None:
+    """Workers outlive stages: whoever fills a cache there empties those of the other operators first."""
+    if name not in _own_caches:
+        for f in _own_caches.values():
+            f()
+        _own_caches.clear()
+        _own_caches[name] = clear
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as the session names it; a temporary one only where none is set (local runs)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -34,11 +34,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, ship, small, staged, text_of
+from .common import fresh, ship, small, staged, take_over, text_of
 from .components import components
 
 #: Retained values; members up to which a list pairs its members; rows of the blocks in step 5.
 K, SHORT, X_BLOCK, Y_BLOCK = 48, 32, 64, 512
+#: Words whose hashes a worker keeps.
+WORDS = 200_000
 #: Rows of two or three numbers that may be broadcast.
 BROADCAST_ROWS = 500_000
 MISS = 1e-8
@@ -52,7 +54,7 @@ class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 1_000_000:
+        if len(self) > WORDS:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -90,6 +92,7 @@ def least_shared(n: Column, share: float, k: int = K) -> Column:
 def _sketches(batches: Iterator[pd.DataFrame], width: int, k: int) -> Iterator[pd.DataFrame]:
     import xxhash
 
+    take_over("near-dedup", _words.clear)
     for pdf in batches:
         sets = [shingle_set(t, width) for t in pdf.text]
         both = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
@@ -107,6 +110,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     def full(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
+        take_over("near-dedup", _words.clear)
         for pdf in batches:
             sets = [shingle_set(t, width) for t in pdf.text]
             d1 = np.array([xxhash.xxh3_128_intdigest(s.tobytes()) & (2**64 - 1) for s in sets], np.uint64).view(np.int64)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Kept, coder
-from .common import ship, staged, text_of
+from .common import ship, staged, take_over, text_of
 
 CAPACITY = 2048
 #: Pieces that one task packs.
@@ -33,9 +33,10 @@ _kept: dict[str, Kept] = {}
 def encoder(path: str) -> Kept:
     """piece of a text -> its ids as little-endian unsigned 32-bit numbers."""
     if path not in _kept:
+        take_over("packing", _kept.clear)
         c = coder(path)
         as_bytes = [i.to_bytes(4, "little") for i in range(c.library.get_vocab_size())].__getitem__
-        _kept[path] = Kept(lambda p: b"".join(map(as_bytes, c.ids(p))))
+        _kept[path] = Kept(lambda p: b"".join(map(as_bytes, c.ids(p))), limit=250_000)
         _kept[path].signs = {s: _kept[path].make(s) for s in ",."}
     return _kept[path]
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Kept, coder
-from .common import ship, text_of
+from .common import ship, take_over, text_of
 
 FREQUENT = 65_536
 #: Summaries that one task merges.
@@ -89,6 +89,7 @@ def _length(c, piece: str) -> int:
 
 def tables(path: str, pinned: dict[str, int], key: object) -> tuple[Kept, Kept]:
     if (path, key) not in _kept:
+        take_over("token-counts", _kept.clear)
         c = coder(path)
         _kept.clear()
         first = Kept(lambda p: len(c.ids(p)), limit=100_000)

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Kept
-from .common import ship, staged, text_of
+from .common import ship, staged, take_over, text_of
 
 #: Labelled documents under the model, entries of the lexicon.
 SAMPLE, LEXICON = 20_000, 20_000
@@ -199,6 +199,7 @@ _scorers: dict = {}
 def _score(batches: Iterator[pd.DataFrame], shared) -> Iterator[pd.DataFrame]:
     lexicon, b = shared.value
     if _scorers.get("of") is not lexicon:
+        take_over("toxicity", _scorers.clear)
         _scorers.update(of=lexicon, scorer=Scorer(lexicon))
     scorer = _scorers["scorer"]
     for pdf in batches:
