@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import logging
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,9 @@ from .settings import Settings
 from .sources import analyses, pages, sinks
 
 
+log = logging.getLogger("rubrica")
+
+
 def _session() -> SparkSession:
     return SparkSession.builder.appName("rubrica").config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
@@ -32,11 +36,12 @@ def _process(spark: SparkSession, documents: DataFrame, args: argparse.Namespace
     out = pipeline.process(found.filter("error IS NULL"), analyses.rubric_entries(spark, rubric), providers.ChatEndpoint(model=s.generation.model_name), embedder, s, keep)
     made = out["analyses"].join(docs.select("doc_id", "country", "year"), "doc_id")
     to = args.output_dir or s.output_dir or "."
+    log.info("settings %s, writing to %s", s.digest(), to)
     sinks.write_json(sinks.as_json(made), to)
     sinks.write_report(out["report"], f"{to}/quality_report")
     bad = found.filter("error IS NOT NULL").select("doc_id", "error").collect()  # one row per unreadable document
     for r in bad:
-        print(f"{r.doc_id}: {r.error}", file=sys.stderr)
+        log.warning("%s: %s", r.doc_id, r.error)
     print(f"analysed {out['report'].count()}, unreadable {len(bad)}")
     return int(bool(bad))
 
@@ -74,6 +79,10 @@ def export(spark: SparkSession, args: argparse.Namespace) -> int:
         print("rows: all {}, filtered {}".format(*sinks.export_both(spark, args.folder, args.output)))
     else:
         print("rows:", sinks.export_csv(spark, args.folder, f"{args.output}/analyses.csv"))
+    found = analyses.files(spark, args.folder)
+    log.info("%d countries", sinks.countries(analyses.entries(found)))
+    for r in analyses.unreadable(found).toLocalIterator():
+        log.warning("skipped %s: %s", r.filename, r.error)
     return 0
 
 
@@ -100,6 +109,8 @@ def summary(spark: SparkSession, args: argparse.Namespace) -> int:
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="rubrica", description=__doc__)
+    p.add_argument("--log-level", default="INFO")
+    p.add_argument("--log-file", default=None)
     sub = p.add_subparsers(dest="command", required=True)
 
     def command(f, *needed: str, domain: str | None = "cancer", **more) -> None:
@@ -122,6 +133,8 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
+    logging.basicConfig(level=args.log_level, filename=args.log_file, format="%(asctime)s %(name)s %(levelname)s %(message)s")
+    logging.getLogger("py4j").setLevel(logging.WARNING)
     return args.run(_session(), args)
 
 

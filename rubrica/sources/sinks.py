@@ -43,6 +43,11 @@ def export_csv(spark: SparkSession, folder: str, path: str, countries: list | se
     return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path).count()
 
 
+def countries(rows: DataFrame) -> int:
+    """Number of countries in an export."""
+    return rows.agg(F.countDistinct("country")).first()[0]
+
+
 def export_both(spark: SparkSession, folder: str, path: str, countries: list | None = None) -> tuple[int, int]:
     """All countries, and those named (the Commonwealth's by default)."""
     return export_csv(spark, folder, f"{path}/global_analyses.csv"), export_csv(spark, folder, f"{path}/CW_analyses.csv", COMMONWEALTH if countries is None else countries)
