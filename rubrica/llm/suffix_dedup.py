@@ -36,7 +36,7 @@ from .common import ship, small, staged, text_of
 
 WINDOW, ANCHOR, BLOCK = 100, 40, 4
 #: Anchors in a run, strings in a run, entries that a receiving task gets on average, surroundings of an anchor that a task sends.
-RUN, STRING_RUN, SHARE, HOT = 1_000_000, 200_000, 400_000, 64
+RUN, STRING_RUN, SHARE, HOT = 400_000, 100_000, 400_000, 64
 BROADCAST_ITEMS, BROADCAST_DOCS = 4_000_000, 400_000
 LAST = 2**63 - 1
 _U = np.uint64
@@ -80,7 +80,7 @@ class Text:
         return _mix((self.sums[k:] - self.sums[:-k]) * self.down[: self.n - k + 1])
 
     def anchors(self, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """core fingerprint, place of each anchor, first window that chose it, number of such windows."""
+        """core fingerprint (mixed anew, for anchors have low hashes), place of each anchor, first window that chose it, number of such windows."""
         grams = self.grams(k)
         least = (grams & ~_PLACE) | np.arange(len(grams), dtype=_U)
         width, have = window - k + 1, 1
@@ -91,7 +91,7 @@ class Text:
         at = (least & _PLACE).astype(np.int64)
         first = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
         place = at[first]
-        return grams[place], place, first, np.diff(np.append(first, len(at)))
+        return _mix(grams[place]), place, first, np.diff(np.append(first, len(at)))
 
 
 # A run: columns core, ctx (fingerprints), ord, th (document), a (order within it), lo, n (first window and number of windows)
