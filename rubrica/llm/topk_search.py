@@ -87,13 +87,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     spark = vectors.sparkSession
     ship(spark)
     one = queries.groupBy("vec_id").agg(F.min("q").alias("q"))
-    asked = blocks(one, QUERIES).toDF("q_ids", "q_width", "q_m")
-    # ids by the blocks' place in the staged table: stable, for the table is written once
-    asked = staged(asked.withColumn("qb", F.monotonically_increasing_id()), "topk-queries")
-    keys = [r.qb for r in asked.select("qb").collect()]  # one number per thousand queries
-    if not keys:
+    one = staged(one, "topk-queries")
+    n = -(-one.count() // QUERIES)
+    if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    meet = blocks(vectors, CANDIDATES).withColumn("qb", F.explode(F.array(*map(F.lit, keys))))
+    dealt = one.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(n)))
+    asked = dealt.groupBy("qb").applyInPandas(lambda pdf: next(_pack(iter([pdf]), len(pdf))).assign(qb=pdf.qb.iloc[0]), "ids binary, width int, m binary, qb long")
+    asked = staged(asked.toDF("q_ids", "q_width", "q_m", "qb"), "topk-blocks")
+    meet = blocks(vectors, CANDIDATES).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
     best = meet.join(asked, "qb").select("ids", "width", "m", "q_ids", "q_width", "q_m").mapInPandas(lambda it: _score(it, k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
