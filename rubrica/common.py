@@ -9,6 +9,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+def literal(spark: SparkSession, rows: list[tuple], columns: list[str]) -> DataFrame:
+    """A small table of numbers and texts that stands in the plan itself, so that its size is known there."""
+    show = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(x, str) else str(x)
+    return spark.sql(f"SELECT * FROM VALUES {', '.join('(' + ', '.join(map(show, r)) + ')' for r in rows)} AS t({', '.join(columns)})")
+
+
 #: Rows of a few short columns that may be broadcast.
 BROADCAST_ROWS = 200_000
 _staged: list[tuple[SparkSession, str]] = []

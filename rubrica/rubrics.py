@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import literal
+
 # Section, maximum score of each of its elements, elements.
 CANCER = [
     ("Outcomes", 5, ["Health", "Financial Risk Protection", "User Satisfaction", "Psychosocial Support Services"]),
@@ -63,7 +65,7 @@ def max_scores(domain: str = "cancer") -> dict[str, int]:
 
 def dimension(spark: SparkSession, domain: str = "cancer") -> DataFrame:
     """At most 76 rows, fixed: always worth a broadcast."""
-    return F.broadcast(spark.createDataFrame(elements(domain), "section_ord int, section string, element_ord int, category string, max_score int"))
+    return F.broadcast(literal(spark, elements(domain), ["section_ord", "section", "element_ord", "category", "max_score"]))
 
 
 def normalised(score: Column, max_score: Column, target_max: float = TARGET_MAX) -> Column:
