@@ -40,7 +40,7 @@ from .components import components
 #: Retained values; members up to which a list pairs its members; rows of the blocks in step 5.
 K, SHORT, X_BLOCK, Y_BLOCK = 48, 32, 64, 512
 #: Words whose hashes a worker keeps.
-WORDS = 200_000
+WORDS = 100_000
 #: Rows of two or three numbers that may be broadcast.
 BROADCAST_ROWS = 500_000
 MISS = 1e-8

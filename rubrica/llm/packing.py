@@ -36,7 +36,7 @@ def encoder(path: str) -> Kept:
         take_over("packing", _kept.clear)
         c = coder(path)
         as_bytes = [i.to_bytes(4, "little") for i in range(c.library.get_vocab_size())].__getitem__
-        _kept[path] = Kept(lambda p: b"".join(map(as_bytes, c.ids(p))), limit=250_000)
+        _kept[path] = Kept(lambda p: b"".join(map(as_bytes, c.ids(p))), limit=120_000)
         _kept[path].signs = {s: _kept[path].make(s) for s in ",."}
     return _kept[path]
 

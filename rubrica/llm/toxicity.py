@@ -103,7 +103,7 @@ class Scorer:
 
     def __init__(self, lexicon: dict[str, float]) -> None:
         self.lexicon, self.machine = lexicon, grammar()
-        self.kept = Kept(self._read, limit=300_000)
+        self.kept = Kept(self._read, limit=120_000)
 
     def _read(self, token: str):
         word = clean(token)
