@@ -105,7 +105,7 @@ def _bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """nodes: node, d1, d2. The full set of each: node, full."""
+    """nodes: num, node, d1, to (array of longs). num, n, full, to: the full set of each, made again from one of its documents."""
 
     def full(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -115,10 +115,10 @@ def sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
             sets = [shingle_set(t, width) for t in pdf.text]
             d1 = np.array([xxhash.xxh3_128_intdigest(s.tobytes()) & (2**64 - 1) for s in sets], np.uint64).view(np.int64)
             own = d1 == pdf.d1.to_numpy()  # of an id's rows, the one with this set
-            yield pd.DataFrame({"node": pdf.node[own], "n": [len(s) for s, o in zip(sets, own) if o], "full": [s for s, o in zip(sets, own) if o]})
+            yield pd.DataFrame({"num": pdf.num[own], "n": [len(s) for s, o in zip(sets, own) if o], "full": [s for s, o in zip(sets, own) if o], "to": pdf["to"][own]})
 
-    rows = docs.join(_bounded(nodes.select(F.col("node").alias("doc_id"), "d1", F.col("num").alias("node"))), "doc_id")
-    return rows.select("node", "d1", "text").mapInPandas(full, "node long, n int, full array<long>").dropDuplicates(["node"])
+    rows = docs.join(_bounded(staged(nodes.select(F.col("node").alias("doc_id"), "d1", "num", "to"), "near-wanted")), "doc_id")
+    return rows.select("num", "d1", "text", "to").mapInPandas(full, "num long, n int, full array<long>, to array<long>")
 
 
 def _meets(n: Column, m: Column, shared: Column, percent: int) -> Column:
@@ -163,24 +163,30 @@ def _links(docs: DataFrame, classes: DataFrame, width: int, percent: int, k: int
     heart = long.groupBy("v").agg(F.max_by(F.struct("num", "n"), F.struct("centre", F.bitwise_not("num"))).alias("c"))
     heart = staged(heart, "near-hearts")
     stars = staged(long.join(_bounded(heart), "v").select(F.col("c.num").alias("p"), F.col("c.n").alias("pn"), F.col("num").alias("y"), "n").distinct(), "near-stars")
-    star = stars.filter((F.col("p") != F.col("y")) & near(F.col("n"), F.col("pn"))).select(F.least("p", "y").alias("a"), F.greatest("p", "y").alias("b"))
-    pairs = short.union(star).distinct()
+    star = stars.filter((F.col("p") != F.col("y")) & near(F.col("n"), F.col("pn"))).select(F.least("p", "y").alias("a"), F.greatest("p", "y").alias("b"), (F.col("p") > F.col("y")).alias("turned"))
+    # turned: b leads; of a centre's pairs, the centre does, so that only the others' sets travel
+    pairs = staged(short.withColumn("turned", F.lit(False)).union(star).groupBy("a", "b").agg(F.bool_or("turned").alias("turned")), "near-pairs")
+    ends = staged(pairs.select(F.col("a").alias("num")).union(pairs.select("b")).distinct(), "near-ends")
+    nodes = nodes.join(_bounded(ends), "num", "left_semi")
     # the sketch of the union: the k least of both sketches, and how many of them are in both
     side = lambda c: nodes.select(F.col("num").alias(c), F.col("sketch").alias(f"s{c}"), F.col("least").alias(f"l{c}"))
     pairs = pairs.join(side("a"), "a").join(side("b"), "b")
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
     both = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
     enough = F.least("la", "lb", F.ceil(F.size(union) * share - 1e-9))
-    pairs = staged(pairs.filter(both >= enough).select("a", "b"), "near-pairs")
-    wanted = classes.select("num", "node", "d1")
+    turned = F.col("turned")
+    pairs = staged(pairs.filter(both >= enough).select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("lead"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("other")), "near-tried")
+    known, none = classes.select("num", "node", "d1"), F.array().cast("array<long>")
 
     def sets(ids: DataFrame) -> DataFrame:
-        return staged(sets_of(docs, wanted.join(_bounded(ids), "num"), width), "near-sets")
-
-    full = sets(pairs.select(F.col("a").alias("num")).union(pairs.select("b")).distinct())
-    part = lambda c: full.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("full").alias(f"f{c}"))
-    tried = pairs.join(part("a"), "a").join(part("b"), "b")
-    links = staged(tried.filter(_meets(F.col("na"), F.col("nb"), F.size(F.array_intersect("fa", "fb")), percent)).select("a", "b"), "near-links")
+        return sets_of(docs, known.join(_bounded(ids), "num"), width)
+
+    leads = sets(staged(pairs.select(F.col("lead").alias("num")).distinct().withColumn("to", none), "near-leads"))
+    leads = leads.select(F.col("num").alias("a"), F.col("n").alias("na"), F.col("full").alias("fa"))
+    others = sets(staged(pairs.groupBy(F.col("other").alias("num")).agg(F.collect_list("lead").alias("to")), "near-others"))
+    others = others.select(F.explode("to").alias("a"), F.col("num").alias("b"), F.col("n").alias("nb"), F.col("full").alias("fb"))
+    meets = _meets(F.col("na"), F.col("nb"), F.size(F.array_intersect("fa", "fb")), percent)
+    links = staged(others.join(leads, "a").filter(meets).select("a", "b").distinct(), "near-links")
     # long lists: who is not with the centre meets everyone there
     if small(stars, 0):
         return links
@@ -194,8 +200,8 @@ def _links(docs: DataFrame, classes: DataFrame, width: int, percent: int, k: int
     counts = all_.groupBy("p").agg(F.count_if(F.col("component") != F.col("cp")).alias("out"), F.count(F.lit(1)).alias("all")).filter("out > 0")
     counts = staged(counts.select("p", F.ceil(F.col("out") / X_BLOCK).cast("int").alias("bx"), F.ceil(F.col("all") / Y_BLOCK).cast("int").alias("by")), "near-blocks")
     rows = all_.join(counts, "p")
-    more = sets(rows.select(F.col("y").alias("num")).distinct())
-    rows = rows.join(more.select(F.col("node").alias("y"), "n", "full"), "y")
+    more = sets(staged(rows.select(F.col("y").alias("num")).distinct().withColumn("to", none), "near-members"))
+    rows = rows.join(staged(more.select(F.col("num").alias("y"), "n", "full").dropDuplicates(["y"]), "near-sets"), "y")
     h = F.xxhash64("y", "p")
     left = rows.filter("component <> cp").select("p", "y", "component", "n", "full", F.pmod(h, "bx").alias("x_"), F.explode(F.sequence(F.lit(0), F.col("by") - 1)).alias("y_"))
     again = [F.col(c).alias(c) for c in ("p", "y", "component", "n", "full")]  # columns of their own, not the left side's
