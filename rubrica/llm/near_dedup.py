@@ -149,7 +149,8 @@ def _links(docs: DataFrame, classes: DataFrame, width: int, percent: int, k: int
     nodes = classes.select("num", "n", "sketch", F.size("sketch").alias("k"), least_shared(F.col("n"), share, k).alias("least"))
     posts = nodes.select("num", F.explode("sketch").alias("v"))
     often = staged(posts.groupBy("v").agg(F.count(F.lit(1)).alias("often")).filter("often > 1"), "near-often")
-    mine = posts.join(_bounded(often), "v").groupBy("num").agg(F.array_sort(F.collect_list(F.struct("often", "v"))).alias("common"), F.sum(F.log("often")).alias("centre"))
+    # never broadcast by hand: it grows with the corpus, and the join should cost alike at every size
+    mine = posts.join(often, "v").groupBy("num").agg(F.array_sort(F.collect_list(F.struct("often", "v"))).alias("common"), F.sum(F.log("often")).alias("centre"))
     mine = mine.join(nodes.select("num", "n", "k", "least"), "num")
     room = F.col("k") - F.col("least") + 1 - (F.col("k") - F.size("common"))  # values that occur once come first
     lists = mine.withColumn("at", F.explode(F.slice("common", F.lit(1), F.greatest(room, F.lit(0)))))
