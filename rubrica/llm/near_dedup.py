@@ -37,11 +37,11 @@ from pyspark.sql import functions as F
 from .common import fresh, ship, small, staged, take_over, text_of
 from .components import components
 
-#: Retained values; members up to which a list pairs its members; rows of the blocks in step 5.
-K, SHORT, X_BLOCK, Y_BLOCK = 48, 32, 64, 512
+#: Retained values; members up to which a list pairs its members; rows of the blocks in step 5; sets that meet a leading set at one place.
+K, SHORT, X_BLOCK, Y_BLOCK, CROWD = 48, 32, 64, 512, 1024
 #: Words whose hashes a worker keeps.
 WORDS = 100_000
-#: Rows of two or three numbers that may be broadcast.
+#: Rows of two or three short values that may be broadcast.
 BROADCAST_ROWS = 500_000
 MISS = 1e-8
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -105,7 +105,7 @@ def _bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """nodes: num, node, d1, to (array of longs). num, n, full, to: the full set of each, made again from one of its documents."""
+    """nodes: num, node, d1, to (array of strings). num, n, full, to: the full set of each, made again from one of its documents."""
 
     def full(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -117,8 +117,9 @@ def sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
             own = d1 == pdf.d1.to_numpy()  # of an id's rows, the one with this set
             yield pd.DataFrame({"num": pdf.num[own], "n": [len(s) for s, o in zip(sets, own) if o], "full": [s for s, o in zip(sets, own) if o], "to": pdf["to"][own]})
 
-    rows = docs.join(_bounded(staged(nodes.select(F.col("node").alias("doc_id"), "d1", "num", "to"), "near-wanted")), "doc_id")
-    return rows.select("num", "d1", "text", "to").mapInPandas(full, "num long, n int, full array<long>, to array<long>")
+    wanted = staged(nodes.select(F.col("node").alias("doc_id"), "d1", "num", "to"), "near-wanted")
+    rows = docs.join(F.broadcast(wanted) if small(wanted.select(F.explode_outer("to")), BROADCAST_ROWS) else wanted, "doc_id")
+    return rows.select("num", "d1", "text", "to").mapInPandas(full, "num long, n int, full array<long>, to array<string>")
 
 
 def _meets(n: Column, m: Column, shared: Column, percent: int) -> Column:
@@ -177,17 +178,22 @@ def _links(docs: DataFrame, classes: DataFrame, width: int, percent: int, k: int
     enough = F.least("la", "lb", F.ceil(F.size(union) * share - 1e-9))
     turned = F.col("turned")
     pairs = staged(pairs.filter(both >= enough).select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("lead"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("other")), "near-tried")
-    known, none = classes.select("num", "node", "d1"), F.array().cast("array<long>")
+    known, none = classes.select("num", "node", "d1"), F.array().cast("array<string>")
 
     def sets(ids: DataFrame) -> DataFrame:
         return sets_of(docs, known.join(_bounded(ids), "num"), width)
 
-    leads = sets(staged(pairs.select(F.col("lead").alias("num")).distinct().withColumn("to", none), "near-leads"))
-    leads = leads.select(F.col("num").alias("a"), F.col("n").alias("na"), F.col("full").alias("fa"))
-    others = sets(staged(pairs.groupBy(F.col("other").alias("num")).agg(F.collect_list("lead").alias("to")), "near-others"))
-    others = others.select(F.explode("to").alias("a"), F.col("num").alias("b"), F.col("n").alias("nb"), F.col("full").alias("fb"))
+    # a set that leads very many pairs is sent to several places, and the others are dealt to them
+    places = staged(pairs.groupBy(F.col("lead").alias("num")).agg(F.ceil(F.count(F.lit(1)) / CROWD).cast("int").alias("places")), "near-places")
+    place = lambda num, i: F.concat_ws(":", num, i)
+    leads = sets(staged(places.select("num", F.transform(F.sequence(F.lit(0), F.col("places") - 1), lambda i: place(F.col("num"), i)).alias("to")), "near-leads"))
+    leads = leads.select(F.explode("to").alias("at"), F.col("num").alias("a"), F.col("n").alias("na"), F.col("full").alias("fa"))
+    crowded = staged(places.filter("places > 1").select(F.col("num").alias("lead"), "places"), "near-crowded")
+    dealt = pairs.join(_bounded(crowded), "lead", "left").withColumn("at", place(F.col("lead"), F.pmod(F.xxhash64("other"), F.coalesce("places", F.lit(1)))))
+    others = sets(staged(dealt.groupBy(F.col("other").alias("num")).agg(F.collect_list("at").alias("to")), "near-others"))
+    others = others.select(F.explode("to").alias("at"), F.col("num").alias("b"), F.col("n").alias("nb"), F.col("full").alias("fb"))
     meets = _meets(F.col("na"), F.col("nb"), F.size(F.array_intersect("fa", "fb")), percent)
-    links = staged(others.join(leads, "a").filter(meets).select("a", "b").distinct(), "near-links")
+    links = staged(others.join(leads, "at").filter(meets).select("a", "b").distinct(), "near-links")
     # long lists: who is not with the centre meets everyone there
     if small(stars, 0):
         return links

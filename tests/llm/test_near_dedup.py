@@ -71,6 +71,7 @@ def test_large_groups_and_bridges(spark, monkeypatch):
     """Groups far above the length of short lists, with members that only meet each other; small blocks."""
     monkeypatch.setattr(near_dedup, "X_BLOCK", 7)
     monkeypatch.setattr(near_dedup, "Y_BLOCK", 20)
+    monkeypatch.setattr(near_dedup, "CROWD", 9)
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
     texts, base = [], [word() for _ in range(150)]
