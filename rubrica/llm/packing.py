@@ -16,8 +16,11 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
+import numpy as np
 import pandas as pd
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,63 +86,98 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], lengths: list[int], capacity: int, tries: int = 32, slack: int = 48) -> list[list[int]]:
-    """Local search from the emptiest bins; every step increases the sum of squared fills."""
+class Reach:
+    """What may leave a bin, by key: an item's length and the room of its bin. Bins that change are put in anew."""
+
+    def __init__(self, capacity: int) -> None:
+        self.none = capacity + 1
+        self.heaps: list[list[tuple[int, int, int, int]]] = [[] for _ in range(2 * capacity + 1)]  # length, bin, stamp, item
+        self.least = np.full(2 * capacity + 1, self.none, np.int64)  # the shortest item of each key
+        self.stamp: dict[int, int] = defaultdict(int)
+        self.keys: dict[int, set[int]] = {}
+
+    def put(self, b: int, room: int, items: list[tuple[int, int]]) -> None:
+        """items: length, item."""
+        self.keys[b] = {n + room for n, _ in items}
+        for n, i in items:
+            heappush(self.heaps[n + room], (n, b, self.stamp[b], i))
+            self.least[n + room] = min(self.least[n + room], n)
+
+    def take_out(self, b: int) -> None:
+        self.stamp[b] += 1
+        for key in self.keys.pop(b, ()):
+            heap = self.heaps[key]
+            while heap and heap[0][2] != self.stamp[heap[0][1]]:
+                heappop(heap)
+            self.least[key] = heap[0][0] if heap else self.none
+
+    def find(self, sizes: list[int], width: int) -> tuple[int, int, int] | None:
+        """The first size with a shorter item at a key of size to size + width - 1: its place, the item's bin, the item. Tightest first."""
+        if not sizes or width < 1:
+            return None
+        hit = sliding_window_view(self.least, width)[sizes] < np.array(sizes)[:, None]
+        some = hit.any(axis=1)
+        if not some.any():
+            return None
+        k = int(some.argmax())
+        _, b, _, item = self.heaps[sizes[k] + int(hit[k].argmax())][0]
+        return k, b, item
+
+
+def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
+    """Local search from the emptiest bins, in passes over all underfull ones until one changes nothing; every step increases the sum of squared fills.
+
+    A step that brings g tokens to a bin increases the sum if that bin is then fuller than the source was. For an item of
+    length y that leaves for ones of s tokens, g = s - y, so y + the bin's room must be from s to less than s + the source's room.
+    """
     fill = [sum(lengths[i] for i in b) for b in bins]
-    least = -(-sum(fill) // capacity)
-    n, failed = len(bins), 0
-    barren: set[int] = set()
-    while n > least and failed < tries:
-        source = min((b for b in range(len(bins)) if bins[b] and b not in barren), key=lambda b: (fill[b], b), default=None)
-        if source is None:
-            break
-        moving = True
-        while moving and bins[source]:
-            moving = False
-            under = [b for b in range(len(bins)) if bins[b] and fill[b] < capacity and b != source]
-            by_room: dict[int, list[int]] = defaultdict(list)
-            reach: dict[int, list[tuple[int, int]]] = defaultdict(list)  # item + room of its bin -> what may leave there
-            for b in under:
-                by_room[capacity - fill[b]].append(b)
-                for y in bins[b]:
-                    reach[lengths[y] + capacity - fill[b]].append((b, y))
-            mine = sorted(bins[source], key=lambda i: (-lengths[i], i))
-            step = None
-            for x in mine:  # move one
-                room = next((r for r in range(lengths[x], capacity + 1) if by_room.get(r)), None)
-                if room is not None and fill[by_room[room][0]] + lengths[x] > fill[source]:
-                    step = ([x], by_room[room][0], [])
+    items, rooms = Reach(capacity), Reach(capacity)  # a bin's room: nothing leaves
+
+    def put(b: int) -> None:
+        if bins[b] and fill[b] < capacity:
+            items.put(b, capacity - fill[b], [(lengths[i], i) for i in bins[b]])
+            rooms.put(b, capacity - fill[b], [(0, -1)])
+
+    def take_out(b: int) -> None:
+        items.take_out(b)
+        rooms.take_out(b)
+
+    for b in range(len(bins)):
+        put(b)
+    changed = True
+    while changed:
+        changed = False
+        for source in sorted((b for b in range(len(bins)) if bins[b] and fill[b] < capacity), key=lambda b: (fill[b], b)):
+            take_out(source)
+            while bins[source]:
+                width = capacity - fill[source]
+                own: dict[int, list[int]] = defaultdict(list)
+                for i in bins[source]:
+                    own[lengths[i]].append(i)
+                ones = sorted(own, reverse=True)
+                groups = [[own[n][0]] for n in ones]
+                step = rooms.find(ones, width) or items.find(ones, width)
+                if not step:  # two for one
+                    pairs = {n + m: [own[n][0], own[m][n == m]] for k, n in enumerate(ones) for m in ones[k:] if n != m or len(own[n]) > 1}
+                    sizes = sorted(pairs, reverse=True)
+                    groups = [pairs[n] for n in sizes]
+                    step = items.find(sizes, width)
+                if not step:
                     break
-            groups = [[x] for x in mine] + [[a, b] for k, a in enumerate(mine[:64]) for b in mine[k + 1 : 64]]
-            for own in () if step else groups:  # one for one, two for one
-                size = sum(lengths[i] for i in own)
-                for key in range(size, size + slack):
-                    for b, y in reach.get(key, ())[:8]:
-                        gain = size - lengths[y]
-                        if 0 < gain <= capacity - fill[b] and fill[b] + gain > fill[source]:
-                            step = (own, b, [y])
-                            break
-                    if step:
-                        break
-                if step:
-                    break
-            if step:
-                own, b, back = step
-                for i in own:
+                k, b, back = step
+                take_out(b)
+                for i in groups[k]:
                     bins[source].remove(i)
                     bins[b].append(i)
-                for i in back:
-                    bins[b].remove(i)
-                    bins[source].append(i)
-                gain = sum(lengths[i] for i in own) - sum(lengths[i] for i in back)
+                if back >= 0:
+                    bins[b].remove(back)
+                    bins[source].append(back)
+                gain = sum(lengths[i] for i in groups[k]) - (lengths[back] if back >= 0 else 0)
                 fill[b] += gain
                 fill[source] -= gain
-                moving = True
-        if bins[source]:
-            failed += 1
-            barren.add(source)
-        else:
-            n -= 1
+                put(b)
+                changed = True
+            put(source)
     return [b for b in bins if b]
 
 

@@ -112,6 +112,24 @@ def test_local_search_empties_bins():
     assert len(bins) == 3 and sorted(i for b in bins for i in b) == list(range(6))
 
 
+def test_local_search_leaves_no_step():
+    from itertools import combinations
+
+    rng, capacity = np.random.default_rng(5), 2048
+    lengths = rng.integers(550, 760, 400).tolist()  # best fit leaves more than 48 free in bins, and more than 32 bins do not empty
+    bins = packing.improve(packing.best_fit(lengths, capacity), lengths, capacity)
+    assert sorted(i for b in bins for i in b) == list(range(400))
+    fill = [sum(lengths[i] for i in b) for b in bins]
+    assert max(fill) <= capacity
+    for s, source in enumerate(bins):
+        groups = [c for n in (1, 2) for c in combinations(source, n)]
+        for t, target in enumerate(bins):
+            for out in groups if s != t else ():
+                for back in (0, *(lengths[i] for i in target)):
+                    gain = sum(lengths[i] for i in out) - back
+                    assert gain <= 0 or fill[t] + gain > capacity or fill[t] + gain <= fill[s], (s, t, out, back)
+
+
 def auc(score, label):
     order = np.argsort(np.argsort(score, kind="stable"), kind="stable") + 1
     pos = label == 1
