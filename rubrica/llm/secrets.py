@@ -4,8 +4,8 @@ The base patterns label credentials by their context. From a bounded sample of t
 smallest by hash over all documents) a prefix tree is built per kind, and states whose outgoing frequencies are
 statistically compatible (Hoeffding bound) are merged, red-blue fashion, into a probabilistic automaton over character
 classes. A background automaton comes from ordinary tokens of the same shape. Every candidate of every whole text,
-a maximal run of credential characters with a digit in it, is then scored by the log-likelihood ratio per character of its
-best automaton against the background; those above ``THRESHOLD`` that no base span overlaps become ``format`` spans.
+a maximal run of credential characters that base spans do not cover, is then scored by the log-likelihood ratio per character
+of its best automaton against the background; those above ``THRESHOLD`` become ``format`` spans, which may hold base spans.
 
 Fitting collects a bounded number of short strings; scoring is one pass without a shuffle.
 
@@ -18,6 +18,7 @@ import hashlib
 import math
 import re
 import zlib
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -25,6 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bpe import Kept
 from .common import ship, text_of
 
 KINDS = ("assign", "access", "hex", "format")
@@ -32,7 +34,6 @@ ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
-DIGIT = re.compile(r"[0-9]")
 #: Values per kind under the model; least log-likelihood ratio per character.
 SAMPLE, THRESHOLD = 400, 0.6
 ALPHA = 0.05
@@ -149,11 +150,20 @@ class Automaton:
         return (total + self.table[s][1]) / max(1, len(value))
 
 
-def candidates(text: str) -> Iterator[tuple[int, int, str]]:
-    if DIGIT.search(text):
-        for m in CANDIDATE.finditer(text):
-            if DIGIT.search(m[0]):
-                yield m.start(), m.end(), m[0]
+def candidates(text: str, base: list[tuple[int, int, int, str]]) -> Iterator[tuple[int, int, str, bool]]:
+    """start, end, value of the runs that base spans do not cover, and whether one overlaps them."""
+    starts, ends = [], []  # of the base spans, those that touch as one
+    for start, _, end, _ in base:
+        if ends and start <= ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
+    for m in CANDIDATE.finditer(text):
+        k = bisect_right(starts, m.start())
+        reached = ends[k - 1] if k else 0
+        if reached < m.end():
+            yield m.start(), m.end(), m[0], reached > m.start() or (k < len(starts) and starts[k] < m.end())
 
 
 def _labelled(batches: Iterator[pd.DataFrame], limit: int) -> Iterator[pd.DataFrame]:
@@ -192,12 +202,13 @@ def ratio(value: str, model: dict[int, Automaton]) -> float:
     return max((a.score(own) for k, a in model.items() if k != 3), default=-math.inf) - back
 
 
-def all_spans(text: str, model: dict[int, Automaton], threshold: float = THRESHOLD) -> tuple[list, list]:
+def all_spans(text: str, model: dict[int, Automaton], threshold: float = THRESHOLD, known: dict[str, float] | None = None) -> tuple[list, list]:
+    """Base spans, and all spans; known: the ratios of values."""
     base = base_spans(text)
     more = []
     if model.keys() - {3}:
-        for start, end, value in candidates(text):
-            if not any(start < s[2] and s[0] < end for s in base) and ratio(value, model) >= threshold:
+        for start, end, value, _ in candidates(text, base):
+            if (ratio(value, model) if known is None else known[value]) >= threshold:
                 more.append((start, 3, end, value))
     return base, sorted(base + more)
 
@@ -207,10 +218,11 @@ def joined(spans: list) -> str:
 
 
 def _scan(batches: Iterator[pd.DataFrame], model, threshold: float) -> Iterator[pd.DataFrame]:
+    known = Kept(lambda value: ratio(value, model.value), limit=50_000)
     for pdf in batches:
         out = []
         for text in pdf.text:
-            base, every = all_spans(text, model.value, threshold)
+            base, every = all_spans(text, model.value, threshold, known)
             out.append((*(sum(s[1] == k for s in base) for k in range(3)), hashlib.sha256(joined(base).encode()).hexdigest(), joined(every)))
         rows = pd.DataFrame(out, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans"])
         rows.insert(0, "doc_id", pdf.doc_id.to_numpy())

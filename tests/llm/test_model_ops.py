@@ -199,3 +199,9 @@ def test_secrets_grammar_finds_bare_credentials(spark):
     found = {r["doc_id"]: r["spans"] for r in got(secrets.scan(df))}
     assert found[120] == f"format:5:{5 + len(bare)}"
     assert not any(found[i] for i in range(60, 120))
+
+
+def test_secrets_candidates():
+    text = "x abcdefghijklmnop key-0123456789abcdef-end token=abcdefghijklmnop 0123456789abcdef"
+    found = list(secrets.candidates(text, secrets.base_spans(text)))
+    assert found == [(2, 18, "abcdefghijklmnop", False), (19, 43, "key-0123456789abcdef-end", True)]
