@@ -3,11 +3,13 @@
 The base patterns label credentials by their context. From a bounded sample of their values (``SAMPLE`` per kind, the
 smallest by hash over all documents) a prefix tree is built per kind, and states whose outgoing frequencies are
 statistically compatible (Hoeffding bound) are merged, red-blue fashion, into a probabilistic automaton over character
-classes. A background automaton comes from ordinary tokens of the same shape. Every candidate of every whole text,
+classes. The background is a suffix automaton over characters, from the counts of all trigrams of all ordinary tokens: those that
+are scored too and hold no labelled credential. A context is a state if its counts differ from the next shorter one's by the
+same bound. Every candidate of every whole text,
 a maximal run of credential characters that base spans do not cover, is then scored by the log-likelihood ratio per character
 of its best automaton against the background; those above ``THRESHOLD`` become ``format`` spans, which may hold base spans.
 
-Fitting collects a bounded number of short strings; scoring is one pass without a shuffle.
+Fitting collects a bounded number of short strings and counts; scoring is one pass without a shuffle.
 
 Defined cases: a null text is empty and has no spans; repeated rows give repeated results; without any labelled credential no format spans are made; offsets are code points, ends exclusive.
 """
@@ -19,7 +21,7 @@ import math
 import re
 import zlib
 from bisect import bisect_right
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import Kept
-from .common import ship, text_of
+from .common import ship, staged, text_of
 
 KINDS = ("assign", "access", "hex", "format")
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
@@ -38,7 +40,7 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
 SAMPLE, THRESHOLD = 400, 0.6
 ALPHA = 0.05
 _SIZES = {"d": 10, "h": 6, "l": 20, "H": 6, "U": 20, "s": 5}
-_CLASS = {**dict.fromkeys("0123456789", "d"), **dict.fromkeys("abcdef", "h"), **dict.fromkeys("ghijklmnopqrstuvwxyz", "l"), **dict.fromkeys("ABCDEF", "H"), **dict.fromkeys("GHIJKLMNOPQRSTUVWXYZ", "U")}
+_CLASS = {"^": "^", **dict.fromkeys("0123456789", "d"), **dict.fromkeys("abcdef", "h"), **dict.fromkeys("ghijklmnopqrstuvwxyz", "l"), **dict.fromkeys("ABCDEF", "H"), **dict.fromkeys("GHIJKLMNOPQRSTUVWXYZ", "U")}
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -53,6 +55,10 @@ def classes(value: str) -> str:
     return "".join(_CLASS.get(c, "s") for c in value)
 
 
+def differ(f1: int, n1: int, f2: int, n2: int, bound: float) -> bool:
+    return bool(n1 and n2) and abs(f1 / n1 - f2 / n2) > bound * (1 / math.sqrt(n1) + 1 / math.sqrt(n2))
+
+
 class Automaton:
     """Probabilistic automaton: counts of arrivals, ends and arcs per state."""
 
@@ -78,19 +84,16 @@ class Automaton:
             self.seen[s] += 1
         self.ends[s] += 1
 
-    def _differ(self, f1: int, n1: int, f2: int, n2: int, bound: float) -> bool:
-        return bool(n1 and n2) and abs(f1 / n1 - f2 / n2) > bound * (1 / math.sqrt(n1) + 1 / math.sqrt(n2))
-
     def _compatible(self, a: int, b: int, bound: float) -> bool:
         stack = [(a, b)]
         while stack:
             a, b = stack.pop()
-            if self._differ(self.ends[a], self.seen[a], self.ends[b], self.seen[b], bound):
+            if differ(self.ends[a], self.seen[a], self.ends[b], self.seen[b], bound):
                 return False
             x, y = self.arcs[a], self.arcs[b]
             for c in x.keys() | y.keys():
                 p, q = x.get(c), y.get(c)
-                if self._differ(p[1] if p else 0, self.seen[a], q[1] if q else 0, self.seen[b], bound):
+                if differ(p[1] if p else 0, self.seen[a], q[1] if q else 0, self.seen[b], bound):
                     return False
                 if p and q:
                     stack.append((p[0], q[0]))
@@ -150,6 +153,50 @@ class Automaton:
         return (total + self.table[s][1]) / max(1, len(value))
 
 
+def contexts(last: str) -> list[str]:
+    """Contexts of the character behind two others, longest first: these, their classes, the last one's class, none."""
+    own = classes(last)
+    return ["3" + last, "2" + own, "1" + own[1], "0"]
+
+
+class Background:
+    """Suffix automaton over characters, from counts of trigrams; ``^`` stands twice before a token, ``$`` behind it."""
+
+    SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-$"
+
+    def __init__(self, grams: dict[str, int], alpha: float = ALPHA) -> None:
+        bound = math.sqrt(0.5 * math.log(2 / alpha))
+        counts: dict[str, Counter] = defaultdict(Counter)
+        shorter: dict[str, list[str]] = {}
+        for gram, n in grams.items():
+            own = contexts(gram[:2])
+            for k, c in enumerate(own):
+                counts[c][gram[2]] += n
+                shorter[c] = own[k + 1 :]
+        odds: dict[str, dict[str, float]] = {}
+        for c in sorted(counts):  # shorter ones first
+            have, n = counts[c], counts[c].total()
+            up = next((u for u in shorter[c] if u in odds), None)
+            if up is None:
+                odds[c] = {x: (have[x] + 0.5) / (n + 0.5 * len(self.SYMBOLS)) for x in self.SYMBOLS}
+                continue
+            most, m = counts[up], counts[up].total()
+            if any(differ(have[x], n, most[x], m, bound) for x in most):
+                odds[c] = {x: (have[x] + p) / (n + 1) for x, p in odds[up].items()}
+        self.states = {c: {x: math.log(p) for x, p in o.items()} for c, o in odds.items()}
+
+    def score(self, value: str) -> float:
+        """Log-likelihood per character."""
+        total, last = 0.0, "^^"
+        for c in value + "$":
+            state = self.states.get("3" + last)
+            if state is None:
+                state = next(self.states[u] for u in contexts(last) if u in self.states)
+            total += state[c]
+            last = last[1] + c
+        return total / max(1, len(value))
+
+
 def candidates(text: str, base: list[tuple[int, int, int, str]]) -> Iterator[tuple[int, int, str, bool]]:
     """start, end, value of the runs that base spans do not cover, and whether one overlaps them."""
     starts, ends = [], []  # of the base spans, those that touch as one
@@ -167,42 +214,58 @@ def candidates(text: str, base: list[tuple[int, int, int, str]]) -> Iterator[tup
 
 
 def _labelled(batches: Iterator[pd.DataFrame], limit: int) -> Iterator[pd.DataFrame]:
-    """The values of each kind, and ordinary tokens as kind 3, with the smallest hashes."""
+    """The values of each kind with the smallest hashes, and as kind 3 the trigrams of all ordinary tokens with their counts."""
     found: dict[int, dict[str, int]] = defaultdict(dict)
+    tokens, grams = Counter(), Counter()
+
+    def add() -> None:
+        for token, n in tokens.items():
+            token = f"^^{token}$"
+            for k in range(len(token) - 2):
+                grams[token[k : k + 3]] += n
+        tokens.clear()
+
     for pdf in batches:
         for text in pdf.text:
             spans = base_spans(text)
             for _, kind, _, value in spans:
                 found[kind].setdefault(value, zlib.crc32(value.encode()))
-            for token in CANDIDATE.findall(text):
-                if not any(token in s[3] or s[3] in token for s in spans):
-                    found[3].setdefault(token, zlib.crc32(token.encode()))
+            for _, _, token, labelled in candidates(text, spans):
+                if not labelled:
+                    tokens[token] += 1
             for kind, have in found.items():
                 if len(have) > 8 * limit:
                     found[kind] = dict(sorted(have.items(), key=lambda x: (x[1], x[0]))[:limit])
-    yield pd.DataFrame([(k, v, h) for k, have in found.items() for v, h in sorted(have.items(), key=lambda x: (x[1], x[0]))[:limit]], columns=["kind", "value", "h"])
+        if len(tokens) > 20_000:
+            add()
+    add()
+    rows = [(k, v, h, 0) for k, have in found.items() for v, h in sorted(have.items(), key=lambda x: (x[1], x[0]))[:limit]]
+    yield pd.DataFrame(rows + [(3, g, 0, n) for g, n in grams.items()], columns=["kind", "value", "h", "n"])
 
 
-def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> dict[int, Automaton]:
+def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> dict[int, Automaton | Background]:
     """Automata by kind; 3 is the background."""
     ship(docs.sparkSession)
-    rows = docs.select(text_of(text).alias("text")).mapInPandas(lambda it: _labelled(it, sample), "kind int, value string, h long").distinct()
+    rows = docs.select(text_of(text).alias("text")).mapInPandas(lambda it: _labelled(it, sample), "kind int, value string, h long, n long")
+    every = staged(rows.groupBy("kind", "value", "h").agg(F.sum("n").alias("n")), "secret-values")
+    grams = {r.value: r.n for r in every.filter("kind = 3").select("value", "n").collect()}  # at most 68 * 68 * 68 rows
+    rows = every.filter("kind <> 3").drop("n")
     for keys in (["kind", F.pmod("h", F.lit(64))], ["kind"]):  # the last step gets 64 samples of a kind, however many tasks sent theirs
         order = Window.partitionBy(*keys).orderBy("h", "value")
         rows = rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= sample)
     values = defaultdict(list)
-    for r in sorted(rows.collect(), key=lambda r: (r.kind, r.place)):  # at most 4 * sample short strings
+    for r in sorted(rows.collect(), key=lambda r: (r.kind, r.place)):  # at most 3 * sample short strings
         values[r.kind].append(classes(r.value[:256]))
-    return {k: Automaton(v) for k, v in values.items()}
+    return {k: Automaton(v) for k, v in values.items()} | ({3: Background(grams)} if grams else {})
 
 
-def ratio(value: str, model: dict[int, Automaton]) -> float:
+def ratio(value: str, model: dict[int, Automaton | Background]) -> float:
     own = classes(value)
-    back = model[3].score(own) if 3 in model else -math.log(26)
+    back = model[3].score(value) if 3 in model else -math.log(26)
     return max((a.score(own) for k, a in model.items() if k != 3), default=-math.inf) - back
 
 
-def all_spans(text: str, model: dict[int, Automaton], threshold: float = THRESHOLD, known: dict[str, float] | None = None) -> tuple[list, list]:
+def all_spans(text: str, model: dict[int, Automaton | Background], threshold: float = THRESHOLD, known: dict[str, float] | None = None) -> tuple[list, list]:
     """Base spans, and all spans; known: the ratios of values."""
     base = base_spans(text)
     more = []
@@ -229,7 +292,7 @@ def _scan(batches: Iterator[pd.DataFrame], model, threshold: float) -> Iterator[
         yield rows
 
 
-def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, model: dict[int, Automaton] | None = None) -> DataFrame:
+def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, model: dict[int, Automaton | Background] | None = None) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every row."""
     spark = docs.sparkSession
     ship(spark)

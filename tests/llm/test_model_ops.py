@@ -6,6 +6,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 
 from rubrica.llm import mixing, packing, queries, secrets, toxicity
 
@@ -205,3 +206,29 @@ def test_secrets_candidates():
     text = "x abcdefghijklmnop key-0123456789abcdef-end token=abcdefghijklmnop 0123456789abcdef"
     found = list(secrets.candidates(text, secrets.base_spans(text)))
     assert found == [(2, 18, "abcdefghijklmnop", False), (19, 43, "key-0123456789abcdef-end", True)]
+
+
+def test_secrets_of_letters_and_around_base_spans(spark):
+    rng = np.random.default_rng(4)
+    draw = lambda alphabet, n: "".join(rng.choice(list(alphabet), n))
+    mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    texts = [f"token = '{draw(mixed, 24)}'" for _ in range(60)] + ["characteristically straightforward notwithstanding considerations"] * 60
+    bare, held = draw(mixed, 24), f"key-{draw('0123456789abcdef', 16)}-{draw(mixed, 24)}"
+    texts += [f"lost {bare} found", f"lost {held} found"]
+    found = [r["spans"] for r in sorted(got(secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))), key=lambda r: r["doc_id"])]
+    assert found[120] == f"format:5:{5 + len(bare)}"
+    assert found[121].split(",") == [f"format:5:{5 + len(held)}", "hex:9:25"]
+    assert not any(found[60:120])
+
+
+def test_secrets_background_counts_all_ordinary_tokens(spark):
+    rng = np.random.default_rng(6)
+    draw = lambda alphabet, n: "".join(rng.choice(list(alphabet), n))
+    texts = [f"token = '{draw('0123456789abcdef', 40)}'" for _ in range(60)] + [draw("etaoinshrdlu", 14) for _ in range(4000)]
+    first = len(texts)
+    texts += [f"scan_{k:04d}_{k % 7:03d}_{k * 37 % 9000:05d}" for k in range(30)] * 20  # few beside the words, but often there
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = secrets.fit(df)
+    assert not any(s for t in texts[first:] for s in secrets.all_spans(t, model)[1])
+    one, two = ({r.value: r.n for r in secrets._labelled(iter([pd.DataFrame({"text": texts[first:][:30] * n})]), 400).__next__().itertuples()} for n in (1, 2))
+    assert two == {g: 2 * n for g, n in one.items()}  # as often as they occur
