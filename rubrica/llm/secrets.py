@@ -3,7 +3,7 @@
 The base patterns label credentials by their context. From a bounded sample of their values (``SAMPLE`` per kind, the
 smallest by hash over all documents) a prefix tree is built per kind, and states whose outgoing frequencies are
 statistically compatible (Hoeffding bound) are merged, red-blue fashion, into a probabilistic automaton over character
-classes. The background is a suffix automaton over characters, from the counts of all trigrams of all ordinary tokens: those that
+classes; values beyond ``LONGEST`` characters are learned as far as that, without an end there. The background is a suffix automaton over characters, from the counts of all trigrams of all ordinary tokens: those that
 are scored too and hold no labelled credential. A context is a state if its counts differ from the next shorter one's by the
 same bound. Every candidate of every whole text,
 a maximal run of credential characters that base spans do not cover, is then scored by the log-likelihood ratio per character
@@ -39,6 +39,8 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
 #: Values per kind under the model; least log-likelihood ratio per character.
 SAMPLE, THRESHOLD = 400, 0.6
 ALPHA = 0.05
+#: Characters of a value that the automata are fitted to; those that go on have no end there.
+LONGEST = 256
 _SIZES = {"d": 10, "h": 6, "l": 20, "H": 6, "U": 20, "s": 5}
 _CLASS = {"^": "^", **dict.fromkeys("0123456789", "d"), **dict.fromkeys("abcdef", "h"), **dict.fromkeys("ghijklmnopqrstuvwxyz", "l"), **dict.fromkeys("ABCDEF", "H"), **dict.fromkeys("GHIJKLMNOPQRSTUVWXYZ", "U")}
 
@@ -62,17 +64,18 @@ def differ(f1: int, n1: int, f2: int, n2: int, bound: float) -> bool:
 class Automaton:
     """Probabilistic automaton: counts of arrivals, ends and arcs per state."""
 
-    def __init__(self, values: list[str], alpha: float = ALPHA) -> None:
+    def __init__(self, values: list[str], alpha: float = ALPHA, longest: int = LONGEST) -> None:
         self.arcs: list[dict[str, list]] = [{}]  # symbol -> [next, count]
         self.seen, self.ends = [0], [0]
         for v in values:
-            self._add(v)
+            self._add(v[:longest], len(v) > longest)
         self._merge(alpha)
 
-    def _add(self, value: str) -> None:
+    def _add(self, value: str, cut: bool) -> None:
+        """A value that was cut has no end: its last state is reached, but what follows there is not known."""
         s = 0
-        self.seen[0] += 1
         for c in value:
+            self.seen[s] += 1
             arc = self.arcs[s].get(c)
             if arc is None:
                 self.arcs.append({})
@@ -81,8 +84,9 @@ class Automaton:
                 arc = self.arcs[s][c] = [len(self.arcs) - 1, 0]
             arc[1] += 1
             s = arc[0]
+        if not cut:
             self.seen[s] += 1
-        self.ends[s] += 1
+            self.ends[s] += 1
 
     def _compatible(self, a: int, b: int, bound: float) -> bool:
         stack = [(a, b)]
@@ -255,7 +259,7 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> dict[int,
         rows = rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= sample)
     values = defaultdict(list)
     for r in sorted(rows.collect(), key=lambda r: (r.kind, r.place)):  # at most 3 * sample short strings
-        values[r.kind].append(classes(r.value[:256]))
+        values[r.kind].append(classes(r.value))
     return {k: Automaton(v) for k, v in values.items()} | ({3: Background(grams)} if grams else {})
 
 

@@ -232,3 +232,10 @@ def test_secrets_background_counts_all_ordinary_tokens(spark):
     assert not any(s for t in texts[first:] for s in secrets.all_spans(t, model)[1])
     one, two = ({r.value: r.n for r in secrets._labelled(iter([pd.DataFrame({"text": texts[first:][:30] * n})]), 400).__next__().itertuples()} for n in (1, 2))
     assert two == {g: 2 * n for g, n in one.items()}  # as often as they occur
+
+
+def test_secrets_cut_values_have_no_end(spark):
+    texts = [f"password = {10**299 + k}" for k in range(300)]
+    model = secrets.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert max(end for _, end in model[0].table) < np.log(0.2)  # of 300 digits each, none ends at 256
+    assert max(end for _, end in secrets.Automaton(["d" * 256] * 300).table) > np.log(0.9)
