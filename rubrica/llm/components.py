@@ -40,4 +40,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         if mark == before:
             break
         before = mark
+    else:
+        raise RuntimeError(f"components have not converged in {rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())

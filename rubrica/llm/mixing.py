@@ -88,6 +88,9 @@ def solve(rows: DataFrame, sources: DataFrame, cap: float = 2.0, tolerance: floa
         middle = F.when(F.col("hi") == inf, 2 * F.greatest(F.col("lo"), F.lit(0.0)) + 1).when(F.col("lo") == -inf, 2 * F.least(F.col("hi"), F.lit(0.0)) - 1).otherwise((F.col("lo") + F.col("hi")) / 2)
         still = F.col("done") | F.coalesce(near, F.lit(True)) | (F.col("hi") - F.col("lo") <= 1e-13)
         state = staged(step.select("k", "scale", "target", F.when(still, lam).when(inside, newton).otherwise(middle).alias("lam"), "lo", "hi", still.alias("done")), "mix-dual")
+    else:
+        if state.filter("not done").limit(1).count():
+            raise RuntimeError(f"the dual has not converged in {rounds} rounds")
     return state.select("k", "scale", "lam")
 
 

@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import pandas as pd
+import pytest
 
 from rubrica.llm import mixing, packing, queries, secrets, toxicity
 
@@ -71,6 +72,14 @@ def test_mixing_awkward(spark):
     assert [r["taken"] for r in got(mixing.rates(only))] == [0, 0]
 
 
+def test_mixing_not_converged(spark):
+    rows = spark.createDataFrame([(0, n) for n in (1, 2, 5, 40, 300)], "k long, size long")
+    sources = spark.createDataFrame([(0, 500.0, 348)], "k long, target double, source_size long")
+    with pytest.raises(RuntimeError, match="converged in 1 rounds"):
+        mixing.solve(rows, sources, rounds=1)
+    assert mixing.solve(rows, sources).count() == 1
+
+
 def check_pack(found: list[dict], texts: list[tuple]) -> int:
     from tokenizers import Tokenizer
 

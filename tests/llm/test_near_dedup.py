@@ -109,3 +109,9 @@ def test_components(spark):
     want = {i: least[root[i]] for a, b in links if a != b for i in (a, b)}
     found = got(components(spark.createDataFrame(links, "a long, b long").repartition(3)))
     assert len(found) == len(want) and {r["node"]: r["component"] for r in found} == want
+
+
+def test_components_not_converged(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
+    with pytest.raises(RuntimeError, match="converged in 2 rounds"):
+        components(links, rounds=2)
