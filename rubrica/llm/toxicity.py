@@ -1,4 +1,4 @@
-"""Toxicity by a weighted finite-state pattern grammar.
+"""Toxicity by a learned lexicon under a weighted finite-state grammar.
 
 Words are read as symbols: insult, threat, target, negation, reported speech, other. Which words insult or threaten is
 learned from labelled documents (words and word beginnings, by log-odds over a bounded sample of labels); targets,
@@ -8,10 +8,10 @@ weight symbols, and are composed into one machine:
   reported speech  marks what follows a verb of reporting, until the clause ends
   negation         marks the next symbols after a negation, up to three
   target           marks insults and threats of a clause that names someone
-  insult, threat   turn marked symbols into weights
+  threat           marks insults behind a threat
 
-The machine reads clause by clause, and a clause scores the weights of its matches; words outside a match score
-nothing. A logistic function of the clauses' scores, fitted to the same sample, gives the document's score.
+The machine reads clause by clause, and a clause scores the weights of its learned words, each times its marks; a learned word scores
+without any mark too, and others score nothing. A logistic function of the clauses' scores, fitted to the same sample, gives the document's score.
 
 The lexicon and three coefficients are broadcast (at most ``LEXICON`` entries); scoring is one pass without a shuffle. Labels
 are read only from rows with crc32(doc_id) mod 5 other than 0; scores depend on texts alone.
