@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+
 def literal(spark: SparkSession, rows: list[tuple], columns: list[str]) -> DataFrame:
     """A small table of numbers and texts that stands in the plan itself, so that its size is known there."""
     show = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(x, str) else str(x)
@@ -21,9 +23,11 @@ _staged: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it; a temporary one only where none is set (local runs)."""
+    """The folder that all executors share, as the session names it; a temporary one only where none is set and one machine does all."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="rubrica-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -38,14 +42,24 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-@atexit.register
-def _forget() -> None:
-    for spark, path in _staged:
-        try:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # noqa: BLE001  the session may be gone; the folder is the cluster's to clean then
-            pass
+def staged_so_far() -> int:
+    """A mark; ``release`` takes what was staged after it."""
+    return len(_staged)
+
+
+def release(mark: int = 0, until: int | None = None) -> None:
+    """Deletes tables that were staged between two marks. Their frames, and what was derived from them, can't be read afterwards."""
+    for i, (spark, path) in enumerate(_staged[mark:until], mark):
+        if path:
+            try:
+                at = spark._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            except Exception:  # noqa: BLE001  the session may be gone; the folder is the cluster's to clean then
+                pass
+            _staged[i] = (spark, "")
+
+
+atexit.register(release)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
