@@ -2,24 +2,25 @@
 
 from __future__ import annotations
 
-import atexit
+import ctypes
+import gc
 import os
 import tempfile
-import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..common import release, shared_dir, small, staged, staged_so_far  # noqa: F401  operators take them from here
+
 #: The white space of all word contracts: space and \t \n \v \f \r.
 SPACE = " \t\n\x0b\x0c\r"
 
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _shipped: set[str] = set()
 _own_caches: dict[str, Callable[[], None]] = {}
-_staged: list[tuple[SparkSession, str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,7 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors once per application, so that workers can import it from anywhere."""
     if spark.conf.get(_BATCH) == "67108864b":  # the default; texts are copied several times on their way
-        spark.conf.set(_BATCH, "8m")
+        spark.conf.set(_BATCH, "4m")
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -50,34 +51,27 @@ def take_over(name: str, clear: Callable[[], None]) -> None:
             f()
         _own_caches.clear()
         _own_caches[name] = clear
+        tidy()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it; a temporary one only where none is set (local runs)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="rubrica-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
+def tidy() -> None:
+    """Hands memory that is free in this worker back to the machine."""
+    import pyarrow
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: cuts lineage, survives lost executors, is computed once."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _staged.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
-@atexit.register
-def _forget() -> None:
-    for spark, path in _staged:
-        try:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # noqa: BLE001  the session may be gone; the folder is the cluster's to clean then
-            pass
+def tidied(batches: Iterator) -> Iterator:
+    """The batches of a task; when they end, the worker keeps no more memory than its caches."""
+    try:
+        yield from batches
+    finally:
+        tidy()
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -104,11 +98,6 @@ def squeezed(column: Column) -> Column:
     return column
 
 
-def small(df: DataFrame, rows: int) -> bool:
-    """Whether df (staged or cheap) has at most so many rows; looks at no more than that."""
-    return df.limit(rows + 1).count() <= rows
-
-
 def environ_single_thread() -> None:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     os.environ.setdefault("RAYON_NUM_THREADS", "1")

@@ -10,8 +10,10 @@ Equal sets are one node from the start, so copies are never paired. Then:
    shared, the likely origin of the copies: as many pairs as members.
 3. The sketch of the union estimates the overlap; pairs far below the threshold go.
 4. Jaccard is computed exactly, on full sets, for what is left.
-5. Members of long lists that are not yet in the component of the list's centre meet all others there, in
-   blocks of full sets of which only confirmed links come out. So no partner is lost and no list is cut.
+5. Where members of a long list are not yet in the component of the list's centre, the list is split anew: its members' full sets are put
+   in an order of its own, values that the centre lacks first, and enter the lists of the first values only, as many as
+   the threshold calls for. What pages have from a template is the centre's, so these lists hold what few pages share. Pairs
+   across components whose sizes and places leave room for the threshold go through steps 3 and 4. No partner is lost, no list is cut.
 6. Links become components by large-star and small-star steps.
 
 Full sets are made again, only for documents in a pair, instead of being stored for all.
@@ -20,7 +22,8 @@ Words are maximal runs without space, \\t \\n \\v \\f \\r; A-Z are lower-cased,
 a shingle is that sequence, as its one shingle; without words, or with null text, it has none and is linked with nothing.
 
 Defined cases: repeated rows fall together; rows that share an id but not their words are each judged by their own
-words; a null id is linked with nothing and its row is kept; an empty table gives
+words; a null id is linked with nothing and its row is kept; of rows that tie in id and words the one with the least hash of its text
+stays; a very long text is one set of all its shingles, in the memory of one task; an empty table gives
 an empty table; further columns pass through ``deduplicate`` untouched.
 """
 
@@ -34,13 +37,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, ship, small, staged, take_over, text_of
+from .common import fresh, ship, small, staged, take_over, text_of, tidied
 from .components import components
 
-#: Retained values; members up to which a list pairs its members; rows of the blocks in step 5; sets that meet a leading set at one place.
-K, SHORT, X_BLOCK, Y_BLOCK, CROWD = 48, 32, 64, 512, 1024
+#: Retained values; members up to which a list pairs its members; rows of a list of step 5 that meet at one place; sets that meet a leading set at one place.
+K, SHORT, X_BLOCK, Y_BLOCK, CROWD = 48, 32, 1024, 1024, 1024
 #: Words whose hashes a worker keeps.
-WORDS = 100_000
+WORDS = 50_000
 #: Rows of two or three short values that may be broadcast.
 BROADCAST_ROWS = 500_000
 MISS = 1e-8
@@ -119,31 +122,13 @@ def sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
 
     wanted = staged(nodes.select(F.col("node").alias("doc_id"), "d1", "num", "to"), "near-wanted")
     rows = docs.join(F.broadcast(wanted) if small(wanted.select(F.explode_outer("to")), BROADCAST_ROWS) else wanted, "doc_id")
-    return rows.select("num", "d1", "text", "to").mapInPandas(full, "num long, n int, full array<long>, to array<string>")
+    return rows.select("num", "d1", "text", "to").mapInPandas(lambda it: tidied(full(it)), "num long, n int, full array<long>, to array<string>")
 
 
 def _meets(n: Column, m: Column, shared: Column, percent: int) -> Column:
     return 100 * shared >= percent * (n + m - shared)
 
 
-def _blocks(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Links between the sets of two blocks of one centre."""
-    out = []
-    if len(left) and len(right):
-        sizes = right.n.to_numpy(np.int64)
-        values, owner = np.concatenate(list(right.full)), np.repeat(np.arange(len(right)), sizes)
-        order = np.argsort(values, kind="stable")
-        values, owner, ids, comp = values[order], owner[order], right.y.to_numpy(), right.component.to_numpy()
-        for x, c, own in zip(left.y, left.component, left.full):
-            lo, hi = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
-            lo, count = lo[hi > lo], (hi - lo)[hi > lo]
-            at = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-            shared = np.bincount(owner[at], minlength=len(right))
-            good = (100 * shared >= percent * (len(own) + sizes - shared)) & (comp != c)
-            out += [(x, y) for y in ids[good]]
-    return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
-
-
 def _links(docs: DataFrame, classes: DataFrame, width: int, percent: int, k: int) -> DataFrame:
     """a, b: pairs of nodes whose sets meet the threshold; all of them, but for pairs within one component."""
     share = percent / 100
@@ -168,55 +153,84 @@ def _links(docs: DataFrame, classes: DataFrame, width: int, percent: int, k: int
     star = stars.filter((F.col("p") != F.col("y")) & near(F.col("n"), F.col("pn"))).select(F.least("p", "y").alias("a"), F.greatest("p", "y").alias("b"), (F.col("p") > F.col("y")).alias("turned"))
     # turned: b leads; of a centre's pairs, the centre does, so that only the others' sets travel
     pairs = staged(short.withColumn("turned", F.lit(False)).union(star).groupBy("a", "b").agg(F.bool_or("turned").alias("turned")), "near-pairs")
+    links = staged(_confirmed(_tried(pairs, nodes, share, k), docs, classes, width, percent), "near-links")
+    late = _late(docs, classes, stars, links, width, percent)
+    return links if late is None else staged(links.union(_confirmed(_tried(late, nodes, share, k), docs, classes, width, percent)), "near-links")
+
+
+def _tried(pairs: DataFrame, nodes: DataFrame, share: float, k: int) -> DataFrame:
+    """pairs: a, b, turned (b leads). lead, other: those that the sketch of the union does not rule out."""
     ends = staged(pairs.select(F.col("a").alias("num")).union(pairs.select("b")).distinct(), "near-ends")
     nodes = nodes.join(_bounded(ends), "num", "left_semi")
-    # the sketch of the union: the k least of both sketches, and how many of them are in both
     side = lambda c: nodes.select(F.col("num").alias(c), F.col("sketch").alias(f"s{c}"), F.col("least").alias(f"l{c}"))
     pairs = pairs.join(side("a"), "a").join(side("b"), "b")
+    # the sketch of the union: the k least of both sketches, and how many of them are in both
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
     both = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
     enough = F.least("la", "lb", F.ceil(F.size(union) * share - 1e-9))
     turned = F.col("turned")
-    pairs = staged(pairs.filter(both >= enough).select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("lead"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("other")), "near-tried")
-    known, none = classes.select("num", "node", "d1"), F.array().cast("array<string>")
+    return staged(pairs.filter(both >= enough).select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("lead"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("other")), "near-tried")
+
+
+def _met(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """pairs: lead, other, note (a text). a, na, fa (the leading set), b, nb, fb, note. A set that leads very many
+    pairs is sent to several places, and the others are dealt to them."""
+    known = classes.select("num", "node", "d1")
 
     def sets(ids: DataFrame) -> DataFrame:
         return sets_of(docs, known.join(_bounded(ids), "num"), width)
 
-    # a set that leads very many pairs is sent to several places, and the others are dealt to them
     places = staged(pairs.groupBy(F.col("lead").alias("num")).agg(F.ceil(F.count(F.lit(1)) / CROWD).cast("int").alias("places")), "near-places")
     place = lambda num, i: F.concat_ws(":", num, i)
     leads = sets(staged(places.select("num", F.transform(F.sequence(F.lit(0), F.col("places") - 1), lambda i: place(F.col("num"), i)).alias("to")), "near-leads"))
     leads = leads.select(F.explode("to").alias("at"), F.col("num").alias("a"), F.col("n").alias("na"), F.col("full").alias("fa"))
     crowded = staged(places.filter("places > 1").select(F.col("num").alias("lead"), "places"), "near-crowded")
     dealt = pairs.join(_bounded(crowded), "lead", "left").withColumn("at", place(F.col("lead"), F.pmod(F.xxhash64("other"), F.coalesce("places", F.lit(1)))))
-    others = sets(staged(dealt.groupBy(F.col("other").alias("num")).agg(F.collect_list("at").alias("to")), "near-others"))
-    others = others.select(F.explode("to").alias("at"), F.col("num").alias("b"), F.col("n").alias("nb"), F.col("full").alias("fb"))
-    meets = _meets(F.col("na"), F.col("nb"), F.size(F.array_intersect("fa", "fb")), percent)
-    links = staged(others.join(leads, "at").filter(meets).select("a", "b").distinct(), "near-links")
-    # long lists: who is not with the centre meets everyone there
+    others = sets(staged(dealt.groupBy(F.col("other").alias("num")).agg(F.collect_list(F.concat_ws("|", "at", "note")).alias("to")), "near-others"))
+    others = others.select(F.explode("to").alias("to"), F.col("num").alias("b"), F.col("n").alias("nb"), F.col("full").alias("fb"))
+    cut = F.split("to", r"\|")
+    return others.withColumns({"at": cut[0], "note": cut[1]}).join(leads, "at")
+
+
+def _confirmed(tried: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """a, b: the pairs whose full sets meet the threshold."""
+    met = _met(tried.withColumn("note", F.lit("")), docs, classes, width)
+    return met.filter(_meets(F.col("na"), F.col("nb"), F.size(F.array_intersect("fa", "fb")), percent)).select("a", "b").distinct()
+
+
+def _late(docs: DataFrame, classes: DataFrame, stars: DataFrame, links: DataFrame, width: int, percent: int) -> DataFrame | None:
+    """stars: p (centre), pn, y, n. a, b, turned: pairs of a long list that may be linked, one of which is not in the centre's component.
+
+    All of a list's sets are put in one order: what the centre does not have, then what it has. Two sets at the threshold
+    then share one of the first n - least + 1 values of both, and at that value both still have as many values as they have to share.
+    """
     if small(stars, 0):
-        return links
+        return None
     comp = staged(components(links), "near-part")
     found = lambda c, to: comp.select(F.col("node").alias(c), F.col("component").alias(to))
     all_ = stars.join(found("y", "cy"), "y", "left").join(found("p", "cp"), "p", "left")
-    all_ = staged(all_.select("p", "y", F.coalesce("cy", "y").alias("component"), F.coalesce("cp", "p").alias("cp")), "near-members")
-    out = all_.filter("component <> cp")
-    if small(out, 0):
-        return links
-    counts = all_.groupBy("p").agg(F.count_if(F.col("component") != F.col("cp")).alias("out"), F.count(F.lit(1)).alias("all")).filter("out > 0")
-    counts = staged(counts.select("p", F.ceil(F.col("out") / X_BLOCK).cast("int").alias("bx"), F.ceil(F.col("all") / Y_BLOCK).cast("int").alias("by")), "near-blocks")
-    rows = all_.join(counts, "p")
-    more = sets(staged(rows.select(F.col("y").alias("num")).distinct().withColumn("to", none), "near-members"))
-    rows = rows.join(staged(more.select(F.col("num").alias("y"), "n", "full").dropDuplicates(["y"]), "near-sets"), "y")
-    h = F.xxhash64("y", "p")
-    left = rows.filter("component <> cp").select("p", "y", "component", "n", "full", F.pmod(h, "bx").alias("x_"), F.explode(F.sequence(F.lit(0), F.col("by") - 1)).alias("y_"))
-    again = [F.col(c).alias(c) for c in ("p", "y", "component", "n", "full")]  # columns of their own, not the left side's
-    right = rows.select(*again, F.pmod(h, "by").alias("y_"), F.explode(F.sequence(F.lit(0), F.col("bx") - 1)).alias("x_"))
-    key = ["p", "x_", "y_"]
-    kinds = {"x_": F.col("x_").cast("int"), "y_": F.col("y_").cast("int")}
-    late = left.withColumns(kinds).groupBy(*key).cogroup(right.withColumns(kinds).groupBy(*key)).applyInPandas(lambda a, b: _blocks(a, b, percent), "a long, b long")
-    return staged(links.union(late), "near-links")
+    all_ = staged(all_.select("p", "y", F.coalesce("cy", "y").alias("component"), (F.coalesce("cy", "y") != F.coalesce("cp", "p")).alias("out")), "near-members")
+    open_ = staged(all_.filter("out").select("p").distinct(), "near-open")
+    if small(open_, 0):
+        return None
+    rows = all_.join(_bounded(open_), "p", "left_semi").select(F.col("p").alias("lead"), F.col("y").alias("other"), F.concat_ws(",", "component", F.col("out").cast("int")).alias("note"))
+    met = _met(rows, docs, classes, width)
+    first = F.col("nb") - F.ceil(F.col("nb") * percent / 100 - 1e-9).cast("int") + 1
+    ordered = F.slice(F.concat(F.array_except("fb", "fa"), F.array_intersect("fb", "fa")), F.lit(1), first)
+    note = F.split("note", ",")
+    posts = met.select(F.col("a").alias("p"), F.col("b").alias("y"), F.col("nb").alias("n"), note[0].cast("long").alias("component"), (note[1] == "1").alias("out"), F.posexplode(ordered).alias("pos", "v"))
+    posts = staged(posts, "near-posts")
+    lists = posts.groupBy("p", "v").agg(F.count(F.lit(1)).alias("all"), F.count_if("out").alias("outs"), F.min("component").alias("low"), F.max("component").alias("high")).filter("all > 1 AND outs > 0 AND low <> high")
+    lists = staged(lists.select("p", "v", F.ceil(F.col("outs") / X_BLOCK).cast("int").alias("bx"), F.ceil(F.col("all") / Y_BLOCK).cast("int").alias("by")), "near-sublists")
+    posts = posts.join(_bounded(lists), ["p", "v"])
+    own = lambda c: [F.col(x).alias(f"{c}{x}") for x in ("y", "n", "pos", "component")]
+    h, till = F.xxhash64("y", "p"), lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    left = posts.filter("out").select("p", "v", *own("l"), F.pmod(h, "bx").cast("int").alias("x_"), till("by").alias("y_"))
+    right = posts.select("p", "v", *own("r"), F.pmod(h, "by").cast("int").alias("y_"), till("bx").alias("x_"))
+    room = F.least(F.col("ln") - F.col("lpos"), F.col("rn") - F.col("rpos"))
+    fits = (F.col("lcomponent") != F.col("rcomponent")) & ((100 + percent) * room >= percent * (F.col("ln") + F.col("rn")))
+    met = left.join(right, ["p", "v", "x_", "y_"]).filter(fits).select(F.least("ly", "ry").alias("a"), F.greatest("ly", "ry").alias("b"))
+    return staged(met.distinct().withColumn("turned", F.lit(False)), "near-late")
 
 
 def _numbered(classes: DataFrame) -> tuple[DataFrame, bool]:
@@ -232,7 +246,7 @@ def _annotated(docs: DataFrame, width: int, percent: int, k: int) -> DataFrame:
     """docs: doc_id, text. One row per document: doc_id, th (hash of the text), n, component, kept."""
     ship(docs.sparkSession)
     keyed = docs.withColumn("th", F.xxhash64("text"))
-    rows = staged(keyed.mapInPandas(lambda it: _sketches(it, width, k), "doc_id long, th long, n int, d1 long, d2 long, sketch array<long>"), "near-rows")
+    rows = staged(keyed.mapInPandas(lambda it: tidied(_sketches(it, width, k)), "doc_id long, th long, n int, d1 long, d2 long, sketch array<long>"), "near-rows")
     some = rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("rows"), F.first("sketch").alias("sketch"))
     classes, twice = _numbered(staged(some, "near-classes"))
     comp = staged(components(_links(docs, classes, width, percent, k)), "near-components")

@@ -94,6 +94,25 @@ def test_large_groups_and_bridges(spark, monkeypatch):
     assert have(near_dedup.annotate(df, width=2)) == by_definition(texts, 2)
 
 
+def test_templated_pages_cost_linear_candidates(spark, monkeypatch):
+    """Pages that share most of their words, of which no two are similar, and a few that are; nobody meets everybody."""
+    rng, tried, n = random.Random(8), [], 1500
+    real = near_dedup._tried
+
+    def counted(pairs, *how):
+        tried.append(pairs.count())
+        return real(pairs, *how)
+
+    monkeypatch.setattr(near_dedup, "_tried", counted)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(6))
+    template = [word() for _ in range(140)]
+    texts = [(i, " ".join(template[:70] + [word() for _ in range(60)] + template[70:])) for i in range(n)]
+    texts += [(n + i, texts[7 * i][1] + " end") for i in range(40)]
+    found = {r["doc_id"]: r["component_id"] for r in got(near_dedup.annotate(spark.createDataFrame(texts, "doc_id long, text string").repartition(4), width=2))}
+    assert found == {i: i for i in range(n)} | {n + i: 7 * i for i in range(40)}
+    assert len(tried) == 2 and sum(tried) < 4 * n
+
+
 def test_empty(spark):
     assert got(near_dedup.annotate(empty(spark))) == [] == got(near_dedup.deduplicate(empty(spark)))
 
