@@ -1,22 +1,25 @@
-"""Toxicity by a learned lexicon under a weighted finite-state grammar.
+"""Toxicity by a weighted finite-state grammar of clauses over a learned lexicon.
 
-Words are read as symbols: insult, threat, target, negation, reported speech, other. Which words insult or threaten is
-learned from labelled documents (words and word beginnings, by log-odds over a bounded sample of labels); targets,
-negations and verbs of reporting are closed lists in four languages. Small transducers, one per phenomenon, rewrite and
-weight symbols, and are composed into one machine:
+Words are read as symbols: insult, threat, target, negation, reported speech, other. Which words insult is
+learned from labelled documents (words and word beginnings, by log-odds over a bounded sample of labels); threats, targets,
+negations and verbs of reporting are closed lists in four languages. One machine per phenomenon, composed into one:
 
-  reported speech  marks what follows a verb of reporting, until the clause ends
-  negation         marks the next symbols after a negation, up to three
-  target           marks insults and threats of a clause that names someone
-  threat           marks insults behind a threat
+  negation         rewrites insults and threats among the three symbols after a negation to negated ones
+  reported speech  rewrites those behind a verb of reporting to reported ones, until the clause ends
+  target           hands on the first word of a clause that names someone, wherever it stands
+  insult           accepts clauses in which an insult is said of something: plain, of a target before or behind it, negated, reported
+  threat           accepts clauses that hold both a threat and a target: plain, negated, reported
 
-The machine reads clause by clause, and a clause scores the weights of its learned words, each times its marks; a learned word scores
-without any mark too, and others score nothing. A logistic function of the clauses' scores, fitted to the same sample, gives the document's score.
+The first three are transducers, the last two acceptors of what they write. Only accepted clauses score: a word alone in a clause does not,
+nor does a threat without a target. A clause weighs the learned weights of its insults and threats, and documents score by a logistic function of
+their clauses' weights, in all and by pattern. It is fitted to the same sample; patterns the labels say little about stay near ``PRIOR``.
 
-The lexicon and three coefficients are broadcast (at most ``LEXICON`` entries); scoring is one pass without a shuffle. Labels
+The lexicon and eight coefficients are broadcast (at most ``LEXICON`` entries); scoring is one pass without a shuffle. Labels
 are read only from rows with crc32(doc_id) mod 5 other than 0; scores depend on texts alone.
 
-Defined cases: a null text scores as an empty one; repeated rows score alike; without any label every score is 0; further columns are ignored.
+Defined cases: a null text scores as an empty one; a very long text is read whole, clause by clause, in one task; repeated rows and ties score
+alike (of several labels of an id the highest counts); without any label every score is 0; an empty table gives an empty
+table; ``rejected`` passes further columns through, ``score`` ignores them.
 """
 
 from __future__ import annotations
@@ -33,13 +36,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Kept
-from .common import ship, staged, take_over, text_of
+from .common import ship, staged, take_over, text_of, tidied
 
 #: Labelled documents under the model, entries of the lexicon.
 SAMPLE, LEXICON = 20_000, 20_000
 LEAST_SUPPORT, LEAST_ODDS = 5, 2.5
 PREFIXES = (4, 5, 6)
-INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = range(6)
+INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER, NOT_INSULT, NOT_THREAT, SAID_INSULT, SAID_THREAT = range(10)
+#: What accepted clauses are.
+PLAIN, DIRECTED, THREATENED, NEGATED, REPORTED = range(5)
+#: Coefficients of directed, threatening, negated and reported weight that labels move away from, in parts of that of all weight; strength of the pull.
+PRIOR, PULL = (0.25, 0.5, -0.6, -0.4), 5.0
 THREATS = frozenset("kill hurt destroy beat burn shoot stab murder töten schlagen vernichten tuer frapper détruire matar golpear destruir".split())
 TARGETS = frozenset("you your yours u he she they him her them du dich dir ihr euch sie er tu te toi vous il elle ils tú usted ustedes él ella ellos".split())
 NEGATIONS = frozenset("not no never nor isn't don't nicht kein keine nie pas jamais ne nunca jamás".split())
@@ -49,44 +56,65 @@ _edges = re.compile(r"^\W+|\W+$")
 
 
 @dataclass(frozen=True)
-class Transducer:
-    """Deterministic: (state, symbol) -> (state, symbol, factor). Symbols without an arc pass unchanged."""
+class Machine:
+    """Deterministic: (state, symbol) -> (state, symbol); symbols without an arc pass unchanged. ends: what a state accepts, None for nothing."""
 
     arcs: dict
+    ends: dict
 
     def step(self, state, symbol):
-        return self.arcs.get((state, symbol), (state, symbol, 1.0))
-
-
-def compose(first: Transducer, second: Transducer, symbols: list) -> Transducer:
-    """The machine that feeds first's output to second, over all states that can be reached."""
-    arcs, todo, done = {}, [(0, 0)], set()
-    number = {(0, 0): 0}
-    while todo:
-        pair = todo.pop()
-        if pair in done:
-            continue
-        done.add(pair)
+        return self.arcs.get((state, symbol), (state, symbol))
+
+
+def compose(first: Machine, second: Machine, symbols: range) -> Machine:
+    """Feeds first's output to second, over all states that can be reached; accepts what both do."""
+    arcs, ends, todo, number = {}, {}, [(0, 0)], {(0, 0): 0}
+    for pair in todo:
+        ends[number[pair]] = tuple(x for m, q in zip((first, second), pair) for x in m.ends.get(q, ()))
         for s in symbols:
-            a, mid, w1 = first.step(pair[0], s)
-            b, out, w2 = second.step(pair[1], mid)
-            to = number.setdefault((a, b), len(number))
-            arcs[number[pair], s] = (to, out, w1 * w2)
-            todo.append((a, b))
-    return Transducer(arcs)
-
-
-def grammar() -> Transducer:
-    hits = (INSULT, THREAT)
-    reported = Transducer({(0, REPORT): (1, OTHER, 1.0), **{(1, s): (1, s, 0.6) for s in hits}})
-    negated = {(k, NEGATION): (3, OTHER, 1.0) for k in range(4)}
+            a, mid = first.step(pair[0], s)
+            b, out = second.step(pair[1], mid)
+            if (a, b) not in number:
+                number[a, b] = len(number)
+                todo.append((a, b))
+            arcs[number[pair], s] = (number[a, b], out)
+    return Machine(arcs, ends)
+
+
+def acceptor(start, move, end, symbols: range) -> Machine:
+    """A machine from a function on states of any kind; hands its input on."""
+    arcs, ends, todo, number = {}, {}, [start], {start: 0}
+    for q in todo:
+        ends[number[q]] = end(q)
+        for s in symbols:
+            to = move(q, s)
+            if to not in number:
+                number[to] = len(number)
+                todo.append(to)
+            arcs[number[q], s] = (number[to], s)
+    return Machine(arcs, ends)
+
+
+def grammar() -> Machine:
+    symbols, read = range(10), range(6)
+    negation = {(k, NEGATION): (3, OTHER) for k in range(4)}
     for k in (1, 2, 3):
-        negated |= {(k, s): (k - 1, s, 0.4) for s in hits} | {(k, s): (k - 1, s, 1.0) for s in (TARGET, REPORT, OTHER)}
-    targeted = Transducer({(0, TARGET): (1, OTHER, 1.0), **{(1, s): (1, s, 1.25) for s in hits}})
-    threats = Transducer({(0, THREAT): (1, THREAT, 1.0), (1, TARGET): (0, OTHER, 1.0), (1, INSULT): (1, INSULT, 1.2)})
-    machine, symbols = Transducer(negated), list(range(6))
-    for t in (targeted, threats, reported):
-        machine = compose(machine, t, symbols)
+        negation |= {(k, s): (k - 1, s) for s in (TARGET, REPORT, OTHER)} | {(k, INSULT): (k - 1, NOT_INSULT), (k, THREAT): (k - 1, NOT_THREAT)}
+    reported = {(q, REPORT): (1, OTHER) for q in (0, 1)} | {(1, INSULT): (1, SAID_INSULT), (1, THREAT): (1, SAID_THREAT)}
+    target = {(0, TARGET): (1, TARGET), (1, TARGET): (1, OTHER)}
+    # of several insults in a clause the plain one counts, then the reported one
+    insults = {INSULT: 3, SAID_INSULT: 2, NOT_INSULT: 1}
+    insult = acceptor(
+        (0, 0, False),  # words up to two, insult, target
+        lambda q, s: (min(q[0] + 1, 2), max(q[1], insults.get(s, 0)), q[2] or s == TARGET),
+        lambda q: () if q[0] < 2 or not q[1] else ((NEGATED, REPORTED, DIRECTED if q[2] else PLAIN)[q[1] - 1],),
+        symbols,
+    )
+    threats = {THREAT: 3, SAID_THREAT: 2, NOT_THREAT: 1}
+    threat = acceptor((0, False), lambda q, s: (max(q[0], threats.get(s, 0)), q[1] or s == TARGET), lambda q: ((NEGATED, REPORTED, THREATENED)[q[0] - 1],) if q[0] and q[1] else (), symbols)
+    machine = Machine(negation, {})
+    for m in (Machine(reported, {}), Machine(target, {}), insult, threat):
+        machine = compose(machine, m, read)
     return machine
 
 
@@ -99,62 +127,88 @@ def clean(token: str) -> str:
 
 
 class Scorer:
-    """Symbols and weights of words, matches of clauses."""
+    """Symbols and weights of words, accepted clauses."""
 
     def __init__(self, lexicon: dict[str, float]) -> None:
-        self.lexicon, self.machine = lexicon, grammar()
-        self.kept = Kept(self._read, limit=120_000)
+        machine = grammar()
+        self.lexicon, self.ends = lexicon, machine.ends
+        self.next = [[machine.arcs[q, s][0] for s in range(6)] for q in range(len(machine.ends))]
+        self.kept = Kept(self._read, limit=60_000)
 
     def _read(self, token: str):
+        """None for other words, () for what is no word."""
         word = clean(token)
+        if not word:
+            return ()
         weight = max((self.lexicon.get(f, 0.0) for f in features(word)), default=0.0)
+        if word in THREATS:
+            return (THREAT, max(weight, LEAST_ODDS))
         if weight:
-            return (THREAT if word in THREATS else INSULT, weight)
-        if word in TARGETS:
-            return (TARGET, 0.0)
-        if word in NEGATIONS:
-            return (NEGATION, 0.0)
-        if word in REPORTS:
-            return (REPORT, 0.0)
+            return (INSULT, weight)
+        for symbol, words in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)):
+            if word in words:
+                return (symbol, 0.0)
         return None
 
-    def clauses(self, text: str) -> list[float]:
-        """Scores of the clauses that match."""
+    def clauses(self, text: str) -> list[tuple[int, float]]:
+        """Pattern and weight of the accepted clauses."""
         low = text.lower()
         if not any(x and x[1] for x in map(self.kept.__getitem__, low.split())):
             return []
         out = []
         for clause in _clause.split(low):
-            state, total = 0, 0.0
-            for token in clause.split():
-                x = self.kept[token]
+            own = [x for x in map(self.kept.__getitem__, clause.split()) if x != ()]
+            if not any(x and x[1] for x in own):
+                continue
+            state, insults, threats = 0, 0.0, 0.0
+            for x in own:
                 symbol, weight = x or (OTHER, 0.0)
-                state, symbol, factor = self.machine.step(state, symbol)
-                if weight and symbol in (INSULT, THREAT):
-                    total += weight * factor
-            if total:
-                out.append(total)
+                state = self.next[state][symbol]
+                if symbol == INSULT:
+                    insults += weight
+                elif symbol == THREAT:
+                    threats += weight
+            found = self.ends[state]
+            if len(found) == 2:
+                out += [(found[0], insults), (found[1], threats)]
+            elif found:
+                out.append((found[0], insults or threats))
         return out
 
-    def summary(self, text: str) -> tuple[float, float, float]:
+    def summary(self, text: str) -> tuple[float, ...]:
+        """Of all accepted clauses: their weight, the heaviest, their number; the weight of directed, threatening, negated, reported ones."""
         found = self.clauses(text)
-        return (math.log1p(sum(found)), max(found, default=0.0), math.log1p(len(found)))
+        sums = [0.0] * 5
+        for pattern, weight in found:
+            sums[pattern] += weight
+        return (math.log1p(sum(sums)), max((w for _, w in found), default=0.0), math.log1p(len(found)), *map(math.log1p, sums[1:]))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
-    """Intercept and coefficients, by Newton steps."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: np.ndarray, prior: np.ndarray, rounds: int = 50) -> np.ndarray:
+    """Intercept and coefficients, by Newton steps; ridge pulls them to prior."""
     x = np.column_stack([np.ones(len(x)), x])
-    b = np.zeros(x.shape[1])
+    b = prior.copy()
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(b))
-        d = np.linalg.solve(h, x.T @ (y - p) - ridge * b)
+        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge)
+        d = np.linalg.solve(h, x.T @ (y - p) - ridge * (b - prior))
         b += np.clip(d, -5, 5)
         if np.abs(d).max() < 1e-8:
             break
     return b
 
 
+def coefficients(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of summaries: first those of all clauses, then those of the patterns, from PRIOR. Marks never work against their sense."""
+    base = logistic(x[:, :3], y, np.full(4, 1e-2), np.zeros(4))
+    one = np.array([math.log1p(5.0), 5.0, math.log(2.0)])  # a clause of weight 5
+    scale = max(0.0, float(one @ base[1:])) / math.log1p(5.0)
+    prior = np.concatenate([base, scale * np.array(PRIOR)])
+    b = logistic(x, y, np.array([1e-2] * 4 + [PULL] * 4), prior)
+    b[4:6], b[6:8] = np.maximum(b[4:6], 0.0), np.clip(b[6:8], -scale, 0.0)
+    return b
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
@@ -177,8 +231,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     rows = staged(rows.select("text", "label"), "toxic-sample")
     n = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
     if not n.get(1):
-        return {}, np.array([-30.0, 0, 0, 0])
-    found = rows.mapInPandas(_count, "feature string, toxic long, rest long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("rest").alias("rest"))
+        return {}, np.array([-50.0, *[0.0] * 7])
+    found = rows.mapInPandas(lambda it: tidied(_count(it)), "feature string, toxic long, rest long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("rest").alias("rest"))
     odds = F.log((F.col("toxic") + 0.5) / float(n[1] + 1)) - F.log((F.col("rest") + 0.5) / float(n.get(0, 0) + 1))
     found = found.filter(F.col("toxic") >= LEAST_SUPPORT).select("feature", odds.alias("odds")).filter(F.col("odds") >= LEAST_ODDS)
     lexicon = {r.feature: min(r.odds, 8.0) for r in found.orderBy(F.desc("odds"), "feature").limit(limit).collect()}
@@ -187,10 +241,10 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     def summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(shared.value)
         for pdf in batches:
-            yield pd.DataFrame([(*scorer.summary(t), y) for t, y in zip(pdf.text, pdf.label)], columns=["a", "b", "c", "y"])
+            yield pd.DataFrame([(*scorer.summary(t), y) for t, y in zip(pdf.text, pdf.label)], columns=list("abcdefgy"))
 
-    x = np.array(rows.mapInPandas(summaries, "a double, b double, c double, y double").collect())  # at most ``sample`` rows of four numbers
-    return lexicon, logistic(x[:, :3], x[:, 3])
+    x = np.array(rows.mapInPandas(lambda it: tidied(summaries(it)), ", ".join(f"{c} double" for c in "abcdefgy")).collect())  # at most ``sample`` rows of eight numbers
+    return lexicon, coefficients(x[:, :7], x[:, 7])
 
 
 _scorers: dict = {}
@@ -203,7 +257,7 @@ def _score(batches: Iterator[pd.DataFrame], shared) -> Iterator[pd.DataFrame]:
         _scorers.update(of=lexicon, scorer=Scorer(lexicon))
     scorer = _scorers["scorer"]
     for pdf in batches:
-        x = np.array([(1.0, *scorer.summary(t)) for t in pdf.text]).reshape(-1, 4)
+        x = np.array([(1.0, *scorer.summary(t)) for t in pdf.text]).reshape(-1, 8)
         yield pdf.drop(columns=["text"]).assign(score=1 / (1 + np.exp(-np.clip(x @ b, -50, 50))))
 
 
@@ -212,7 +266,7 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(fit(docs, labels, doc_id, text, **how))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), text_of(text).alias("text"))
-    return rows.mapInPandas(lambda it: _score(it, shared), "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return rows.mapInPandas(lambda it: tidied(_score(it, shared)), "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def rejected(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
@@ -230,4 +284,4 @@ def rejected(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
             ok = next(_score(iter([pdf]), shared)).score.to_numpy() < 0.5
             yield batch.filter(pa.array(ok))
 
-    return docs.mapInArrow(keep, schema)
+    return docs.mapInArrow(lambda it: tidied(keep(it)), schema)

@@ -157,6 +157,30 @@ def test_toxicity_held_out(spark):
     assert auc(s, y) > 0.95 and ((s >= 0.5) == y).mean() > 0.95
 
 
+def test_toxicity_clauses():
+    s = toxicity.Scorer({"idiot": 5.0, "kill": 5.0})
+    P, D, T, N, R = toxicity.PLAIN, toxicity.DIRECTED, toxicity.THREATENED, toxicity.NEGATED, toxicity.REPORTED
+    want = {
+        "kill": [], "idiot": [], "Idiot!": [], "kill the process": [], "an idiot": [(P, 5.0)], "you idiot": [(D, 5.0)], "idiot you are": [(D, 5.0)],
+        "i will kill you": [(T, 5.0)], "you they kill": [(T, 5.0)], "i will kill you and murder your family": [(T, 7.5)], "not an idiot": [(N, 5.0)], "you are not an idiot": [(N, 5.0)],
+        "not one of the many idiot sons": [(P, 5.0)], "he said what an idiot": [(R, 5.0)], "they wrote kill him": [(R, 5.0)], "i will not kill you": [(N, 5.0)],
+        "you idiot. kill. you go": [(D, 5.0)], "idiot - \n you": [], "i kill you idiot": [(D, 5.0), (T, 5.0)], "idiot idiot": [(P, 10.0)],
+    }
+    assert {t: s.clauses(t) for t in want} == want
+
+
+def test_toxicity_coefficients_keep_their_sense():
+    s = toxicity.Scorer({"idiot": 5.0})
+    texts = ["some idiot words here"] * 40 + ["some plain words here"] * 300 + ["idiot"] * 3
+    y = np.array([1.0] * 38 + [0.0] * 305)
+    for more, label in (("", 1.0), ("he said an idiot", 0.0), ("he said an idiot", 1.0), ("you idiot", 0.0)):  # labels that say nothing, or the contrary
+        own = texts + [more] * 20 * bool(more)
+        b = toxicity.coefficients(np.array([s.summary(t) for t in own]), np.append(y, [label] * 20 * bool(more)))
+        score = lambda t: b[0] + b[1:] @ np.array(s.summary(t))
+        assert score("you idiot") >= score("an idiot") > score("not an idiot") and score("an idiot") >= score("he said an idiot") >= score("idiot") == score("")
+        assert score("i will kill you") > score("kill") and score("i will kill you") > score("i will not kill you")
+
+
 def test_toxicity_awkward(spark):
     labels = spark.createDataFrame([(4, 0, 1), (5, 0, 0), (5, 0, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
     df = clashing(messy(spark))
