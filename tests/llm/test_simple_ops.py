@@ -94,3 +94,19 @@ def test_token_counts(spark, limit):
     for r in docs.collect():
         n = len(t.encode(r.text, add_special_tokens=False).ids)
         assert have[r.doc_id] == (len(r.text.encode()), n, n > 512)
+
+
+def test_exact_dedup_refines(spark):
+    """Unique lengths have no prefix taken, unique prefixes no full hash."""
+    texts = ["a", "bb", "cc", "ddd " * 40, "ddd " * 39 + "eee ", "ddd" * 40, "xxxx"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["size"] for r in got(exact_dedup.survivors(df))) == [120]
+    assert sorted(r["doc_id"] for r in got(exact_dedup.deduplicate(df))) == [0, 1, 2, 3, 4, 6]
+    plan = exact_dedup.deduplicate(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert all("CASE WHEN" in line for line in plan.splitlines() if "sha2" in line)
+
+
+def test_topk_of_many_shards(spark, monkeypatch):
+    for name, n in (("CANDIDATES", 9), ("QUERIES", 3), ("SHARD", 2)):
+        monkeypatch.setattr(topk_search, name, n)
+    same_rows(got(queries.op4_topk_search(spark, SF)), duck(queries.ORACLES["op4_topk_search"]))
