@@ -4,11 +4,12 @@ Every component x becomes floor(256 * x) (x as double). Vectors are packed into
 (dimension, weight), candidates as one posting list per dimension. In a pair of blocks, each query takes its terms one
 at a time and scatters weight * posting into a dense score array over the block; a partition selection keeps the k best,
 and a window merges the blocks' winners. Blocks of candidates meet blocks of queries through an equi-join on the query
-block, so each task holds one block of either side whatever the table's size.
+block and a shard of candidates, so a task holds one block of either side and a partition one shard, whatever the table's size.
 
 Defined cases: vectors that are null, empty or hold null, NaN or infinite components take no part; vectors of different
 length meet on their common dimensions; rows that share a vec_id: the candidates with the query's own vec_id are left
-out, and the query with the smallest quantised vector stands for its id; ties go to the smaller vec_id; null ids take no part.
+out, and the query with the smallest quantised vector stands for its id; ties go to the smaller vec_id; null ids take no part;
+an empty table gives an empty table; further columns are ignored. There are no texts here.
 Scores are 64-bit integers, exact while they fit.
 """
 
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import ship, staged
 
-#: Vectors in a block of candidates, and in a block of queries.
-CANDIDATES, QUERIES = 8192, 1024
+#: Vectors in a block of candidates, and in a block of queries; blocks of candidates in a shard.
+CANDIDATES, QUERIES, SHARD = 8192, 1024, 16
 
 
 def quantised(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = 256) -> DataFrame:
@@ -88,13 +89,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     ship(spark)
     one = queries.groupBy("vec_id").agg(F.min("q").alias("q"))
     one = staged(one, "topk-queries")
-    n = -(-one.count() // QUERIES)
+    n, shards = -(-one.count() // QUERIES), max(1, -(-vectors.count() // (CANDIDATES * SHARD)))
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     dealt = one.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(n)))
     asked = dealt.groupBy("qb").applyInPandas(lambda pdf: next(_pack(iter([pdf]), len(pdf))).assign(qb=pdf.qb.iloc[0]), "ids binary, width int, m binary, qb long")
     asked = staged(asked.toDF("q_ids", "q_width", "q_m", "qb"), "topk-blocks")
-    meet = blocks(vectors, CANDIDATES).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    best = meet.join(asked, "qb").select("ids", "width", "m", "q_ids", "q_width", "q_m").mapInPandas(lambda it: _score(it, k), "query_id long, vec_id long, score long")
+    every = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
+    meet = blocks(vectors, CANDIDATES).withColumn("shard", F.pmod(F.xxhash64("ids"), F.lit(shards).cast("long"))).withColumn("qb", every(n))
+    best = meet.join(asked.withColumn("shard", every(shards)), ["qb", "shard"]).select("ids", "width", "m", "q_ids", "q_width", "q_m").mapInPandas(lambda it: _score(it, k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
