@@ -6,18 +6,20 @@ token constraint sum(w * size) = target and w <= cap. The dual is convex with on
 exponentially tilted: w = min(cap, exp(lambda * size / scale)). Newton iterations solve all sources at once over the
 histogram of (source, size), which partial aggregation makes from narrow rows; a bracket guards them. Rates are rounded to
 whole copies by error diffusion from the largest document to the smallest, within blocks of a bounded number of
-documents, so a source's words stray from the target by no more than half of a small document per block.
+documents (equal rows are one with a number, however many), so a source's words stray from the target by no more than half of a small document per block.
 
 Every pass is distributed; the driver sees a few sums per iteration. A source with a third of all rows is one histogram
 for the dual and many blocks for the rounding.
 
 Defined cases: a null or empty text has size 0 and is taken once; a null source is a source of its own, last in order;
-a source without words has target 0; repeated rows are separate documents; an empty table gives an empty table; further
-columns pass through ``mix`` untouched. Reruns agree, for nothing is drawn at random.
+a source without words has target 0; repeated rows are separate documents; documents of equal size go by doc_id, then by a hash of their text; a very
+long text counts whole; an empty table gives an empty table; further columns pass through ``mix`` untouched. Reruns agree, for nothing is drawn at random.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -38,10 +40,15 @@ def _bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if small(df, BROADCAST_SOURCES) else df
 
 
+def _exact_sum(x: Column) -> Column:
+    """A sum that does not depend on the order of its terms, so that reruns agree to the last digit."""
+    return F.sum(x.cast("decimal(38,8)")).cast("double")
+
+
 def targets(rows: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """rows: source, size. One row per source: k (its rank), source, source_size, n, target."""
+    """rows: source, size, many (equal ones). One row per source: k (its rank), source, source_size, n, target."""
     spark = rows.sparkSession
-    sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")).orderBy(F.asc_nulls_last("source"))
+    sums = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("many")).alias("source_size"), F.sum("many").alias("n")).orderBy(F.asc_nulls_last("source"))
     kind = rows.schema["source"].dataType.simpleString()
     ranked = sums.rdd.zipWithIndex().map(lambda x: (x[1], *x[0]))
     all_ = staged(spark.createDataFrame(ranked, f"k long, source {kind}, source_size long, n long"), "mix-sources")
@@ -51,7 +58,7 @@ def targets(rows: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, cap
     level, full = 0.0, -1
     while True:
         over = F.col("weight") * F.lit(level) > most
-        r = all_.agg(F.sum(F.when(over, most).otherwise(0.0)), F.sum(F.when(over, 0.0).otherwise(F.col("weight"))), F.sum(over.cast("long"))).first()
+        r = all_.agg(_exact_sum(F.when(over, most).otherwise(0.0)), _exact_sum(F.when(over, 0.0).otherwise(F.col("weight"))), F.sum(over.cast("long"))).first()
         if r[2] is None or r[2] == full or not r[1]:
             break
         full, level = r[2], (share * total - r[0]) / r[1]
@@ -59,10 +66,10 @@ def targets(rows: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, cap
 
 
 def solve(rows: DataFrame, sources: DataFrame, cap: float = 2.0, tolerance: float = 1e-6, rounds: int = 60) -> DataFrame:
-    """rows: k, size. The dual's solution: k, scale, lam."""
-    histogram = rows.groupBy("k", "size").agg(F.count(F.lit(1)).alias("docs")).filter("size > 0")
+    """rows: k, size, many. The dual's solution: k, scale, lam."""
+    histogram = rows.groupBy("k", "size").agg(F.sum("many").alias("docs")).filter("size > 0")
     histogram = staged(histogram.select("k", F.col("size").cast("double").alias("size"), "docs"), "mix-histogram")
-    start = histogram.groupBy("k").agg((F.sum(F.col("docs") * F.col("size") * F.col("size")) / F.sum(F.col("docs") * F.col("size"))).alias("scale"), F.min("size").alias("least"))
+    start = histogram.groupBy("k").agg((_exact_sum(F.col("docs") * F.col("size") * F.col("size")) / _exact_sum(F.col("docs") * F.col("size"))).alias("scale"), F.min("size").alias("least"))
     inf = float("inf")
     state = start.join(sources.select("k", "target", "source_size"), "k")
     # at the cap, every document is: the multiplier at which the smallest reaches it
@@ -78,7 +85,7 @@ def solve(rows: DataFrame, sources: DataFrame, cap: float = 2.0, tolerance: floa
         open_ = state.filter("not done").select("k", "scale", "lam")
         both = histogram.join(F.broadcast(open_) if bounded else open_, "k")
         slope = F.when(rate < cap, mass * F.col("size") / F.col("scale") * rate).otherwise(0.0)
-        sums = both.groupBy("k").agg(F.sum(mass * rate).alias("have"), F.sum(slope).alias("slope"))
+        sums = both.groupBy("k").agg(_exact_sum(mass * rate).alias("have"), _exact_sum(slope).alias("slope"))
         gap = F.col("have") - F.col("target")
         near = F.abs(gap) <= F.greatest(F.col("target"), F.lit(1.0)) * tolerance
         lam = F.col("lam")
@@ -94,48 +101,79 @@ def solve(rows: DataFrame, sources: DataFrame, cap: float = 2.0, tolerance: floa
     return state.select("k", "scale", "lam")
 
 
-def diffuse(size: np.ndarray, rate: np.ndarray) -> np.ndarray:
-    """Whole copies, each the rate rounded up or down so that running words stay nearest to running targets. Largest first."""
-    out, owed = np.floor(rate).astype(np.int64), 0.0
-    for i, (s, w, c) in enumerate(zip(size.tolist(), rate.tolist(), out.tolist())):
-        owed += (w - c) * s
-        if w > c and owed > s / 2:
-            out[i] = c + 1
-            owed -= s
+def diffuse(size: np.ndarray, rate: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Of so many equal documents each, how many get the rate rounded up, so that running words stay nearest to running targets."""
+    out, owed = np.zeros(len(size), np.int64), 0.0
+    for i, (s, w, m) in enumerate(zip(size.tolist(), rate.tolist(), many.tolist())):
+        part = w - math.floor(w)
+        if part > 0 and s:
+            owed += m * part * s
+            out[i] = up = min(m, max(0, math.ceil(owed / s - 0.5)))
+            owed -= up * s
     return out
 
 
 def _round(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable")
-    return pdf.assign(copies=diffuse(pdf["size"].to_numpy(), pdf.rate.to_numpy()))
+    pdf = pdf.sort_values(["size", "doc_id", "th"], ascending=[False, True, True], kind="stable")
+    return pdf.assign(up=diffuse(pdf["size"].to_numpy(), pdf.rate.to_numpy(), pdf.many.to_numpy()))
 
 
-def rates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """One row per document: doc_id, size, source, source_size, target, rate, copies, taken."""
+def shares(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """One row for the documents that agree in doc_id, source and text: doc_id, source, size, th (hash of the text), many, source_size, target, rate, up:
+    each is taken floor(rate) times, and the first ``up`` of them once more."""
     ship(docs.sparkSession)
-    rows = staged(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), words(text).alias("size")), "mix-rows")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), words(text).alias("size"), F.xxhash64(text_of(text)).alias("th"))
+    rows = staged(rows.groupBy("doc_id", "source", "size", "th").agg(F.count(F.lit(1)).alias("many")), "mix-rows")
     known = staged(targets(rows, weights, share, cap), "mix-targets")
     key = _bounded(known.withColumnRenamed("source", "its"))
     rows = rows.join(key, F.col("source").eqNullSafe(F.col("its"))).drop("its")
-    dual = _bounded(solve(rows.select("k", "size"), known, cap))
+    dual = _bounded(solve(rows.select("k", "size", "many"), known, cap))
     rate = F.least(F.lit(float(cap)), F.exp(F.least(F.col("lam") * F.col("size") / F.col("scale"), F.lit(50.0))))
     rows = rows.join(dual, "k", "left").withColumn("rate", F.when(F.col("size") > 0, rate).otherwise(1.0))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "size"), F.ceil(F.col("n") / BLOCK)))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "size", "th"), F.ceil(F.col("n") / BLOCK)))
     kind = rows.schema["source"].dataType.simpleString()
-    return rows.select("doc_id", "source", "size", "source_size", "target", "rate", "k", "block").groupBy("k", "block").applyInPandas(_round, f"doc_id long, source {kind}, size long, source_size long, target double, rate double, k long, block long, copies long").select("doc_id", "size", "source", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    names = f"doc_id long, source {kind}, size long, th long, many long, source_size long, target double, rate double, k long, block long"
+    return rows.select(*(c.split()[0] for c in names.split(", "))).groupBy("k", "block").applyInPandas(_round, f"{names}, up long").drop("k", "block")
+
+
+def _times(df: DataFrame, number: str, row: str, crowded: bool) -> DataFrame:
+    """Every row ``number`` times, numbered from 0 in ``row``. crowded: where some have very many, these are dealt over tasks in blocks."""
+    part = f"{row}part"
+    df = df.filter(F.col(number) > 0).withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(number) - 1) / BLOCK))))
+    if crowded:
+        df = df.repartition(F.xxhash64(part, *(c for c, kind in df.dtypes if c != part and not kind.startswith(("map", "variant")))))
+    return df.withColumn(row, F.explode(F.sequence(F.col(part) * BLOCK, F.least(F.col(number), (F.col(part) + 1) * BLOCK) - 1))).drop(part)
+
+
+def rates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
+    """One row per document: doc_id, size, source, source_size, target, rate, copies, taken."""
+    found = shares(docs, doc_id, text, source, **how)
+    found = staged(found, "mix-shares")
+    rows = _times(found, "many", "row", not small(found.filter(F.col("many") > BLOCK), 0))
+    rows = rows.withColumn("copies", F.floor("rate") + (F.col("row") < F.col("up")).cast("long"))
+    return rows.select("doc_id", "size", "source", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
-    """docs' rows, each as often as the mix takes it. Rows that share an id, a source and a size share their copies in turn."""
-    number, copies, many, size, again = fresh(docs, "__number", "__copies", "__many", "__size", "__again")
-    found = rates(docs, doc_id, text, source, **how).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias(copies), F.count(F.lit(1)).alias(many))
-    found = staged(found, "mix-copies").withColumnsRenamed({"doc_id": "d__", "source": "s__", "size": size})
-    left = docs.join(found, docs[doc_id].cast("long").eqNullSafe(found["d__"]) & docs[source].eqNullSafe(found["s__"]) & (words(text) == found[size]))
-    single = left.withColumn(number, F.col(copies))
-    if not small(found.filter(F.col(many) > 1), 0):
-        from pyspark.sql import Window
-
-        place = F.row_number().over(Window.partitionBy("d__", "s__", size).orderBy(F.lit(1)))
-        several = left.filter(F.col(many) > 1).withColumn(number, F.floor(F.col(copies) / F.col(many)) + (place <= F.col(copies) % F.col(many)).cast("int"))
-        single = single.filter(F.col(many) == 1).unionByName(several)
-    return single.filter(F.col(number) > 0).withColumn(again, F.explode(F.sequence(F.lit(1), F.col(number).cast("int")))).select(*docs.columns)
+    """docs' rows, each as often as the mix takes it. Of rows that agree in id, source and text, those whose further columns have the smaller hashes come first."""
+    from pyspark.sql import Window
+
+    number, size, th, many, whole, up, d, s, row, rh, before, first, again = fresh(docs, *(f"__{c}" for c in "number size th many whole up d s row rh before first again".split()))
+    found = shares(docs, doc_id, text, source, **how).select(F.col("doc_id").alias(d), F.col("source").alias(s), F.col("size").alias(size), F.col("th").alias(th), F.col("many").alias(many), F.floor("rate").alias(whole), F.col("up").alias(up))
+    found = staged(found, "mix-shares")
+    keys = [d, s, size, th]
+    left = docs.withColumn(th, F.xxhash64(text_of(text)))
+    left = left.join(found.withColumnRenamed(th, f"{th}_"), left[doc_id].cast("long").eqNullSafe(F.col(d)) & left[source].eqNullSafe(F.col(s)) & (F.col(th) == F.col(f"{th}_"))).drop(f"{th}_")
+    out = left.filter(F.col(many) == 1).withColumn(number, F.col(whole) + F.col(up)).select(*docs.columns, number)
+    crowded = not small(found.filter(F.col(many) > 1), 0)
+    if crowded:
+        rows = left.filter(F.col(many) > 1)
+        hashed = F.xxhash64(*(F.col(c) for c, kind in docs.dtypes if not kind.startswith(("map", "variant"))))
+        own = F.first(F.struct(*docs.columns)).alias(row)
+        rows = rows.withColumn(rh, hashed).groupBy(*keys, rh, whole, up).agg(own, F.count(F.lit(1)).alias(many))
+        till = Window.partitionBy(*keys).orderBy(rh).rowsBetween(Window.unboundedPreceding, -1)  # over rows that differ
+        rows = rows.withColumn(before, F.coalesce(F.sum(many).over(till), F.lit(0)))
+        more = F.greatest(F.lit(0), F.least(F.col(many), F.col(up) - F.col(before)))
+        rows = rows.withColumn(number, F.col(many) * F.col(whole) + more)
+        out = out.unionByName(rows.select(*(F.col(row)[c].alias(c) for c in docs.columns), number))
+    return _times(out, number, again, crowded).select(*docs.columns)
