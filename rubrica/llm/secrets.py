@@ -6,17 +6,19 @@ statistically compatible (Hoeffding bound) are merged, red-blue fashion, into a
 classes; values beyond ``LONGEST`` characters are learned as far as that, without an end there. The background is a suffix automaton over characters, from the counts of all trigrams of all ordinary tokens: those that
 are scored too and hold no labelled credential. A context is a state if its counts differ from the next shorter one's by the
 same bound. Every candidate of every whole text,
-a maximal run of credential characters that base spans do not cover, is then scored by the log-likelihood ratio per character
+a maximal run of at least ``LEAST`` credential characters (full stops inside, not at its end) that base spans do not cover, is then scored by the log-likelihood ratio per character
 of its best automaton against the background; those above ``THRESHOLD`` become ``format`` spans, which may hold base spans.
 
-Fitting collects a bounded number of short strings and counts; scoring is one pass without a shuffle.
+Fitting merges summaries of bounded size in a tree, of which the last comes to the driver; scoring is one pass without a shuffle.
 
-Defined cases: a null text is empty and has no spans; repeated rows give repeated results; without any labelled credential no format spans are made; offsets are code points, ends exclusive.
+Defined cases: a null text is empty and has no spans; repeated rows give repeated results; without any labelled credential no format spans are made; offsets are code points, ends
+exclusive; spans of equal start go by kind; a very long text is read whole in one task, in time linear in its length; an empty table gives an empty table; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
 import zlib
@@ -25,23 +27,26 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Kept
-from .common import ship, staged, text_of
+from .common import ship, text_of, tidied
 
 KINDS = ("assign", "access", "hex", "format")
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+CANDIDATE = re.compile(r"(?=[A-Za-z0-9+/_=.-]{12})[A-Za-z0-9+/_=-]+(?:\.[A-Za-z0-9+/_=-]+)*")
+LEAST = 12
 #: Values per kind under the model; least log-likelihood ratio per character.
 SAMPLE, THRESHOLD = 400, 0.6
 ALPHA = 0.05
+#: Summaries that one task merges.
+FAN_IN = 64
 #: Characters of a value that the automata are fitted to; those that go on have no end there.
 LONGEST = 256
-_SIZES = {"d": 10, "h": 6, "l": 20, "H": 6, "U": 20, "s": 5}
+_SIZES = {"d": 10, "h": 6, "l": 20, "H": 6, "U": 20, "s": 6}
 _CLASS = {"^": "^", **dict.fromkeys("0123456789", "d"), **dict.fromkeys("abcdef", "h"), **dict.fromkeys("ghijklmnopqrstuvwxyz", "l"), **dict.fromkeys("ABCDEF", "H"), **dict.fromkeys("GHIJKLMNOPQRSTUVWXYZ", "U")}
 
 
@@ -166,7 +171,7 @@ def contexts(last: str) -> list[str]:
 class Background:
     """Suffix automaton over characters, from counts of trigrams; ``^`` stands twice before a token, ``$`` behind it."""
 
-    SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-$"
+    SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=.-$"
 
     def __init__(self, grams: dict[str, int], alpha: float = ALPHA) -> None:
         bound = math.sqrt(0.5 * math.log(2 / alpha))
@@ -211,14 +216,37 @@ def candidates(text: str, base: list[tuple[int, int, int, str]]) -> Iterator[tup
             starts.append(start)
             ends.append(end)
     for m in CANDIDATE.finditer(text):
+        if m.end() - m.start() < LEAST:
+            continue
         k = bisect_right(starts, m.start())
         reached = ends[k - 1] if k else 0
         if reached < m.end():
             yield m.start(), m.end(), m[0], reached > m.start() or (k < len(starts) and starts[k] < m.end())
 
 
+def least(have: dict[str, int], limit: int) -> dict[str, int]:
+    """The values with the smallest hashes."""
+    return have if len(have) <= limit else dict(sorted(have.items(), key=lambda x: (x[1], x[0]))[:limit])
+
+
+def _packed(values: dict[int, dict[str, int]], grams: Counter) -> bytes:
+    return zlib.compress(json.dumps([values, grams]).encode(), 1)
+
+
+def _merged(blobs, limit: int) -> tuple[dict[int, dict[str, int]], Counter]:
+    values, grams = defaultdict(dict), Counter()
+    for blob in blobs:
+        more, counts = json.loads(zlib.decompress(blob))
+        grams.update(counts)
+        for kind, have in more.items():
+            values[int(kind)] = least(values[int(kind)] | have, limit)
+    return values, grams
+
+
 def _labelled(batches: Iterator[pd.DataFrame], limit: int) -> Iterator[pd.DataFrame]:
-    """The values of each kind with the smallest hashes, and as kind 3 the trigrams of all ordinary tokens with their counts."""
+    """A summary of bounded size: the values of each kind with the smallest hashes, and the trigrams of all ordinary tokens with their counts."""
+    from pyspark import TaskContext
+
     found: dict[int, dict[str, int]] = defaultdict(dict)
     tokens, grams = Counter(), Counter()
 
@@ -233,34 +261,36 @@ def _labelled(batches: Iterator[pd.DataFrame], limit: int) -> Iterator[pd.DataFr
         for text in pdf.text:
             spans = base_spans(text)
             for _, kind, _, value in spans:
-                found[kind].setdefault(value, zlib.crc32(value.encode()))
+                found[kind].setdefault(value[: LONGEST + 1], zlib.crc32(value.encode()))  # what tells cut values from whole ones
             for _, _, token, labelled in candidates(text, spans):
                 if not labelled:
                     tokens[token] += 1
             for kind, have in found.items():
                 if len(have) > 8 * limit:
-                    found[kind] = dict(sorted(have.items(), key=lambda x: (x[1], x[0]))[:limit])
-        if len(tokens) > 20_000:
-            add()
+                    found[kind] = least(have, limit)
+            if len(tokens) > 20_000:
+                add()
     add()
-    rows = [(k, v, h, 0) for k, have in found.items() for v, h in sorted(have.items(), key=lambda x: (x[1], x[0]))[:limit]]
-    yield pd.DataFrame(rows + [(3, g, 0, n) for g, n in grams.items()], columns=["kind", "value", "h", "n"])
+    task = TaskContext.get()
+    yield pd.DataFrame({"slot": [task.partitionId() if task else 0], "blob": [_packed({k: least(v, limit) for k, v in found.items()}, grams)]})
 
 
 def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> dict[int, Automaton | Background]:
     """Automata by kind; 3 is the background."""
     ship(docs.sparkSession)
-    rows = docs.select(text_of(text).alias("text")).mapInPandas(lambda it: _labelled(it, sample), "kind int, value string, h long, n long")
-    every = staged(rows.groupBy("kind", "value", "h").agg(F.sum("n").alias("n")), "secret-values")
-    grams = {r.value: r.n for r in every.filter("kind = 3").select("value", "n").collect()}  # at most 68 * 68 * 68 rows
-    rows = every.filter("kind <> 3").drop("n")
-    for keys in (["kind", F.pmod("h", F.lit(64))], ["kind"]):  # the last step gets 64 samples of a kind, however many tasks sent theirs
-        order = Window.partitionBy(*keys).orderBy("h", "value")
-        rows = rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= sample)
-    values = defaultdict(list)
-    for r in sorted(rows.collect(), key=lambda r: (r.kind, r.place)):  # at most 3 * sample short strings
-        values[r.kind].append(classes(r.value))
-    return {k: Automaton(v) for k, v in values.items()} | ({3: Background(grams)} if grams else {})
+
+    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"slot": [int(pdf.slot.iloc[0]) // FAN_IN], "blob": [_packed(*_merged(pdf.blob, sample))]})
+
+    rows = docs.select(text_of(text).alias("text"))
+    n = rows.rdd.getNumPartitions()
+    rows = rows.mapInPandas(lambda it: tidied(_labelled(it, sample)), "slot int, blob binary")
+    while n > 1:  # a tree: no task gets more than FAN_IN summaries
+        rows = rows.groupBy(F.floor(F.col("slot") / FAN_IN)).applyInPandas(merged, "slot int, blob binary")
+        n = -(-n // FAN_IN)
+    values, grams = _merged((r.blob for r in rows.collect()), sample)  # one row
+    models = {k: Automaton([classes(v) for v in sorted(have, key=lambda v: (have[v], v))]) for k, have in values.items()}
+    return models | ({3: Background(grams)} if grams else {})
 
 
 def ratio(value: str, model: dict[int, Automaton | Background]) -> float:
@@ -302,4 +332,4 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold:
     ship(spark)
     shared = spark.sparkContext.broadcast(fit(docs, text) if model is None else model)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
-    return rows.mapInPandas(lambda it: _scan(it, shared, threshold), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return rows.mapInPandas(lambda it: tidied(_scan(it, shared, threshold)), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
