@@ -8,7 +8,8 @@ helps. The emptiest bin of every shard meets those of other shards in a last rou
 
 Only (id, piece, length, checksum) rows are shuffled, never texts or ids.
 
-Defined cases: a null or empty text is its separator alone; repeated rows are packed each; an empty table gives an empty table.
+Defined cases: a null or empty text is its separator alone; repeated rows are packed each; pieces that tie in length are taken by doc_id and piece; a very long
+text is encoded whole in one task and cut; an empty table gives an empty table; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Kept, coder
-from .common import ship, staged, take_over, text_of
+from .common import ship, staged, take_over, text_of, tidied
 
 CAPACITY = 2048
 #: Pieces that one task packs.
@@ -33,13 +34,18 @@ SHARD = 20_000
 _kept: dict[str, Kept] = {}
 
 
+def _drop() -> None:
+    _kept.clear()
+    coder.cache_clear()
+
+
 def encoder(path: str) -> Kept:
     """piece of a text -> its ids as little-endian unsigned 32-bit numbers."""
     if path not in _kept:
-        take_over("packing", _kept.clear)
+        take_over("packing", _drop)
         c = coder(path)
         as_bytes = [i.to_bytes(4, "little") for i in range(c.library.get_vocab_size())].__getitem__
-        _kept[path] = Kept(lambda p: b"".join(map(as_bytes, c.ids(p))), limit=120_000)
+        _kept[path] = Kept(lambda p: b"".join(map(as_bytes, c.ids(p))), limit=80_000)
         _kept[path].signs = {s: _kept[path].make(s) for s in ",."}
     return _kept[path]
 
@@ -53,6 +59,7 @@ def encode(text: str, path: str, separator: int = 0) -> bytes:
 
 def _pieces(batches: Iterator[pd.DataFrame], path: str, capacity: int) -> Iterator[pd.DataFrame]:
     for pdf in batches:
+        encoder(path)
         out = []
         for doc, text in zip(pdf.doc_id, pdf.text):
             ids = encode(text, path)
@@ -207,7 +214,7 @@ def pack_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
-    cut = staged(rows.mapInPandas(lambda it: _pieces(it, path, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long"), "pack-pieces")
+    cut = staged(rows.mapInPandas(lambda it: tidied(_pieces(it, path, capacity)), "doc_id long, piece int, start long, length long, ids_crc32 long"), "pack-pieces")
     full = cut.filter(F.col("length") == capacity).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = cut.filter(F.col("length") < capacity)
     shards = max(1, -(-rest.count() // shard))

@@ -6,7 +6,8 @@ tokens become one compact table of at most ``FREQUENT`` entries of at most 32 ch
 second pass a text's pieces are looked up there; misses are encoded in the worker, which keeps a bounded number of them.
 No pre-token is ever shuffled, and counts do not depend on what the table holds.
 
-Defined cases: a null text has 0 bytes and 0 tokens, as an empty one; repeated rows give repeated results; further columns are ignored.
+Defined cases: a null text has 0 bytes and 0 tokens, as an empty one; repeated rows give repeated results; a very long text is counted whole, in one task;
+pieces that tie in frequency only decide what is kept, never a count; an empty table gives an empty table; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Kept, coder
-from .common import ship, take_over, text_of
+from .common import ship, take_over, text_of, tidied
 
 FREQUENT = 65_536
 #: Summaries that one task merges.
@@ -71,7 +72,7 @@ def frequent(docs: DataFrame, path: str, text: str = "text", limit: int = FREQUE
 
     rows, n = docs.select(text_of(text).alias("text")), 0
     n = rows.rdd.getNumPartitions()
-    rows = rows.mapInPandas(lambda it: _summaries(it, path, limit), "slot int, blob binary")
+    rows = rows.mapInPandas(lambda it: tidied(_summaries(it, path, limit)), "slot int, blob binary")
     while n > 1:
         rows = rows.groupBy(F.floor(F.col("slot") / FAN_IN)).applyInPandas(merged, "slot int, blob binary")
         n = -(-n // FAN_IN)
@@ -87,9 +88,14 @@ def _length(c, piece: str) -> int:
     return len(c.ids(piece if c.words else " " + piece))
 
 
+def _drop() -> None:
+    _kept.clear()
+    coder.cache_clear()
+
+
 def tables(path: str, pinned: dict[str, int], key: object) -> tuple[Kept, Kept]:
     if (path, key) not in _kept:
-        take_over("token-counts", _kept.clear)
+        take_over("token-counts", _drop)
         c = coder(path)
         _kept.clear()
         first = Kept(lambda p: len(c.ids(p)), limit=100_000)
@@ -120,4 +126,4 @@ def token_counts(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     ship(spark)
     shared = spark.sparkContext.broadcast(frequent(docs, path, text) if table is None else table)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text")).withColumn("n_bytes", F.octet_length("text").cast("long"))
-    return rows.mapInPandas(lambda it: _counts(it, path, shared), "doc_id long, n_bytes long, n_tokens long")
+    return rows.mapInPandas(lambda it: tidied(_counts(it, path, shared)), "doc_id long, n_bytes long, n_tokens long")
