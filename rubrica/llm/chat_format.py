@@ -13,7 +13,8 @@ Built-in expressions only. The one shuffle is by conversation: offsets come from
 partitioning that the final grouping uses. A conversation is one output string, so it must fit in one row.
 
 Defined cases: null text, role or parts count as empty; rows of equal turn go by role, then text; repeated rows are
-repeated turns; part types that are not known give no text and an attachment of 0 tokens; an empty table gives an empty table.
+repeated turns; null turns come first; part types that are not known give no text and an attachment of 0 tokens; a very long conversation is
+one row in the memory of one task; an empty table gives an empty table; further columns are ignored.
 """
 
 from __future__ import annotations
