@@ -1,25 +1,28 @@
 """Repeated passages by a distributed merge sort of suffixes.
 
 Texts are UTF-8 bytes. A suffix counts up to ``WINDOW`` bytes; a byte goes if a suffix that covers it also starts earlier
-(smaller doc_id, or same document, earlier start). Suffixes are told apart in three rounds, each of which sends sorted runs:
+(smaller doc_id, or same document, earlier start). Fingerprints only rule suffixes out and say which ones to compare; every
+removal is confirmed by bytes.
 
 1. Of every window, the k-gram with the least hash is its anchor. Equal windows have equal anchors at equal places, so an anchor
-   stands for the neighbouring windows that chose it. Anchors that occur once settle their windows (kept); where all that
-   the windows cover is met earlier with the same anchor, they go. What is left is where texts begin to differ.
-2. The same with blocks of ``BLOCK`` windows around what those share.
-3. The windows left are sorted as strings. Each task sends its suffixes as sorted, front-coded runs, dealt by fingerprint; the
+   stands for the neighbouring windows that chose it. Sorted runs of anchors' fingerprints are exchanged. An anchor that occurs once
+   settles its windows: they are kept. Anchors whose surroundings (all that their windows cover) have equal fingerprints are
+   compared in step 3 as one string each. Anchors with different surroundings are split.
+2. The same with blocks of ``BLOCK`` windows around the anchors that were split; what differs still is split into single windows.
+3. The strings of steps 1 and 2 and the single windows are sorted. Each task sends them as sorted, front-coded runs, dealt by fingerprint; the
    receiving task merges the runs with a loser tree that keeps with every contender the length of the prefix it shares with the
    last winner, decides most matches by these lengths alone and compares bytes only beyond them. In the merged order, neighbours
-   that share all bytes are one string, of which the earliest start stays.
+   that share all bytes are one string, of which the earliest start stays; the windows of all others go.
 
-Every task reduces its own runs first, so a passage that is in a third of all documents comes once from every task; an anchor
-with more than ``HOT`` surroundings in a task goes on to the next round unsent. Fingerprints have 64 bits and are
-only trusted in pairs of two different ones (anchor and surroundings). Of verdicts, only places are sent; texts are read again for
+Every task reduces its own runs first, comparing bytes, so a passage that is in a third of all documents comes once from every task; an anchor
+with more than ``HOT`` surroundings in a task goes on to the next round unsent. Anchors with several surroundings come together
+in a tree of ``FAN_IN`` runs each, with the same reduction, so that no task gets them from every run at once. Fingerprints have 64 bits; two that are
+equal by chance can keep a byte that repeats, but not remove one. Of verdicts, only places are sent; texts are read again for
 each round and meet their verdicts in a join (a broadcast one only below ``BROADCAST_ITEMS``).
 
-Defined cases: a null text is empty; documents shorter than a window keep all; rows that share an id are ordered by start alone, so
-that equal rows fare alike (all keep what no other document has earlier); null ids come last; an empty table gives an empty table;
-further columns are ignored.
+Defined cases: a null text is empty; documents shorter than a window keep all; a very long text is one task's, up to 2**28 bytes, beyond which the query
+raises; rows that share an id are ordered by start alone, so that equal rows fare alike (all keep what no other document has earlier);
+null ids come last; an empty table gives an empty table; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,12 +35,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, small, staged, text_of
+from .common import ship, small, staged, text_of, tidied
 
 WINDOW, ANCHOR, BLOCK = 100, 40, 4
-#: Anchors in a run, strings in a run, entries that a receiving task gets on average, surroundings of an anchor that a task sends.
-RUN, STRING_RUN, SHARE, HOT = 400_000, 100_000, 400_000, 64
-BROADCAST_ITEMS, BROADCAST_DOCS = 4_000_000, 400_000
+#: Anchors in a run, strings in a run, entries that a receiving task gets on average, surroundings of an anchor that a task sends, runs that come together.
+RUN, STRING_RUN, SHARE, HOT, FAN_IN = 400_000, 50_000, 400_000, 64, 64
+#: Bytes of text under a run.
+RUN_BYTES = 32_000_000
+#: At most so many items (of 8 bytes) of so many documents are broadcast.
+BROADCAST_ITEMS, BROADCAST_DOCS = 1_000_000, 200_000
 LAST = 2**63 - 1
 _U = np.uint64
 _B = 0x9E3779B97F4A7C15
@@ -68,6 +74,8 @@ class Text:
 
     def __init__(self, raw: bytes) -> None:
         self.raw, self.n = raw, len(raw)
+        if self.n >= 1 << 28:
+            raise ValueError(f"a text of {self.n} bytes; at most {(1 << 28) - 1} are supported")
         up, self.down = _power(self.n)
         self.sums = np.zeros(self.n + 1, _U)
         np.cumsum(_TABLE[np.frombuffer(raw, np.uint8)] * up[: self.n], out=self.sums[1:])
@@ -129,40 +137,55 @@ def _gone(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return start.astype(np.int64) << 31 | length.astype(np.int64)
 
 
+_ALIKE = 1 << 60
+
+
+def _alike(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The string of n windows from lo on is to be compared."""
+    return -1 - (_ALIKE | lo.astype(np.int64) << 8 | n.astype(np.int64))
+
+
 def _open(a: np.ndarray, back: np.ndarray, n: np.ndarray) -> np.ndarray:
     return -1 - (a.astype(np.int64) << 16 | back.astype(np.int64) << 8 | n.astype(np.int64))
 
 
-def _settle(run: dict[str, np.ndarray], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a run in order of core: who is met earlier with the same surroundings; who is the first with its surroundings where the
-    core has several; how many surroundings the core has."""
+def _settle(run: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of a run in order of core: place of the first one with the same core and surroundings; how many surroundings the core has."""
     core = run["core"]
     m = len(core)
-    gone, open_, kinds = np.zeros(m, bool), np.zeros(m, bool), np.ones(m, np.int64)
+    head, kinds = np.arange(m), np.ones(m, np.int64)
     if not m:
-        return gone, open_, kinds
+        return head, kinds
     edge = np.flatnonzero(np.concatenate([[True], core[1:] != core[:-1]]))
-    many = np.repeat(np.diff(np.append(edge, m)), np.diff(np.append(edge, m))) > 1
-    at = np.flatnonzero(many)
+    many = np.diff(np.append(edge, m))
+    at = np.flatnonzero(np.repeat(many, many) > 1)
     if len(at):
         at = at[np.lexsort((run["a"][at], run["ord"][at], run["ctx"][at], core[at]))]
         c, x = core[at], run["ctx"][at]
         new_core = np.concatenate([[True], c[1:] != c[:-1]])
         new = new_core | np.concatenate([[True], x[1:] != x[:-1]])
-        head = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
-        ord_, a = run["ord"][at], run["a"][at]
-        gone[at] = (ord_ != ord_[head]) | (a != a[head])
+        head[at] = at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
         group = np.cumsum(new_core) - 1
-        count = np.bincount(group, new)[group].astype(np.int64)
-        kinds[at] = count
-        open_[at] = ~gone[at] & (count > 1)
-    return gone, open_, kinds
+        kinds[at] = np.bincount(group, new)[group].astype(np.int64)
+    return head, kinds
 
 
-def _items(run: dict[str, np.ndarray], gone: np.ndarray, open_: np.ndarray, window: int) -> pd.DataFrame:
-    lo = run["a"].astype(np.int64) - run["back"]
-    own = [(run["ord"][gone], run["th"][gone], _gone(lo[gone], run["n"][gone].astype(np.int64) - 1 + window)), (run["ord"][open_], run["th"][open_], _open(run["a"][open_], run["back"][open_], run["n"][open_]))]
-    return pd.DataFrame({k: np.concatenate(x) for k, x in zip(("ord", "th", "item"), zip(*own))})
+def _same_place(run: dict[str, np.ndarray], head: np.ndarray) -> np.ndarray:
+    """The first ones themselves, and equal rows of their id: their places are one."""
+    return (run["ord"] == run["ord"][head]) & (run["a"] == run["a"][head])
+
+
+def _table(run: dict[str, np.ndarray], *parts: tuple[np.ndarray, np.ndarray]) -> pd.DataFrame:
+    """parts: which entries, their items."""
+    return pd.DataFrame({"ord": np.concatenate([run["ord"][p] for p, _ in parts]), "th": np.concatenate([run["th"][p] for p, _ in parts]), "item": np.concatenate([i for _, i in parts])})
+
+
+def _strings_of(run: dict[str, np.ndarray], which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return which, _alike(run["a"][which].astype(np.int64) - run["back"][which], run["n"][which])
+
+
+def _splits_of(run: dict[str, np.ndarray], which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return which, _open(run["a"][which], run["back"][which], run["n"][which])
 
 
 def _merged(start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -188,60 +211,124 @@ def _fewer(items: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out)
 
 
-_RUN_OUT = "bucket int, kind int, blob binary"
+_RUN_OUT = "bucket int, kind int, slot int, blob binary"
+#: What blobs hold: entries, items, entries of cores with several surroundings.
+_ENTRIES, _OWN, _BUSY = range(3)
 
 
-def _send(parts: list[tuple], buckets: int, window: int, number: int) -> pd.DataFrame:
-    """parts: tuples of arrays in the order of _FIELDS. One blob for each bucket, and one with what is settled already."""
-    run = {name: np.concatenate([p[i] for p in parts]).astype(kind) for i, (name, kind) in enumerate(_FIELDS)}
+def _blob_of(items: pd.DataFrame) -> bytes:
+    import zstandard
+
+    return zstandard.compress(items.to_numpy(np.int64).tobytes(), 1)
+
+
+def _items_in(pdf: pd.DataFrame) -> list[pd.DataFrame]:
+    import zstandard
+
+    return [pd.DataFrame(np.frombuffer(zstandard.decompress(b), np.int64).reshape(-1, 3), columns=["ord", "th", "item"]) for b in pdf.blob[pdf.kind == _OWN]]
+
+
+def _joined(runs: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    run = {k: np.concatenate([r[k] for r in runs]) for k, _ in _FIELDS}
     order = np.argsort(run["core"], kind="stable")
-    run = {k: x[order] for k, x in run.items()}
-    gone, open_, kinds = _settle(run, window)
-    # of an anchor with very many surroundings the first HOT are sent, for others to meet; all go on
-    hot = kinds > HOT
-    send = ~gone
-    if hot.any():
-        at = np.flatnonzero(hot & send)
+    return {k: x[order] for k, x in run.items()}
+
+
+def _unsent(run: dict[str, np.ndarray], send: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Of an anchor with very many surroundings the first HOT are sent, for others to meet; all go on."""
+    at = np.flatnonzero((kinds > HOT) & send)
+    if len(at):
         c = run["core"][at]
         start = np.maximum.accumulate(np.where(np.concatenate([[True], c[1:] != c[:-1]]), np.arange(len(at)), 0))
         send[at[np.arange(len(at)) - start >= HOT]] = False
-    own = _fewer(_items(run, gone, hot & ~gone, window))
-    out = [(number % buckets, 1, own.to_numpy(np.int64).tobytes())] if len(own) else []
-    run = {k: x[send] for k, x in run.items()}
-    to = ((run["core"] >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
-    cuts = np.searchsorted(to, np.arange(buckets + 1))
-    out += [(b, 0, _pack({k: x[i:j] for k, x in run.items()})) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if j > i]
-    return pd.DataFrame(out, columns=["bucket", "kind", "blob"])
-
-
-def _receive(pdf: pd.DataFrame, window: int) -> pd.DataFrame:
-    out = [pd.DataFrame(np.frombuffer(b, np.int64).reshape(-1, 3), columns=["ord", "th", "item"]) for b in pdf.blob[pdf.kind == 1]]
-    runs = [_unpack(b) for b in pdf.blob[pdf.kind == 0]]
+    return at
+
+
+def _dealt(run: dict[str, np.ndarray], send: np.ndarray, kinds: np.ndarray, buckets: int, slot: int) -> list[tuple]:
+    out = []
+    for kind, which in ((_ENTRIES, send & (kinds == 1)), (_BUSY, send & (kinds > 1))):
+        own = {k: x[which] for k, x in run.items()}
+        to = ((own["core"] >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
+        cuts = np.searchsorted(to, np.arange(buckets + 1))
+        out += [(b, kind, slot, _pack({k: x[i:j] for k, x in own.items()})) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if j > i]
+    return out
+
+
+def _equal_bytes(text: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(a), bool)
+    for lo in range(0, len(a), 20_000):
+        own = slice(lo, lo + 20_000)
+        step = np.arange(length[own].max())
+        inside = step < length[own][:, None]
+        x, y = (text[np.where(inside, p[own][:, None] + step, 0)] for p in (a, b))
+        out[own] = (x == y).all(1)
+    return out
+
+
+def _send(parts: list[tuple], raws: list[bytes], buckets: int, window: int, slot: int) -> pd.DataFrame:
+    """parts: tuples of arrays in the order of _FIELDS and starts of windows in the joined raws. Blobs for the buckets, and one with what is known already."""
+    run = {name: np.concatenate([p[i] for p in parts]).astype(kind) for i, (name, kind) in enumerate(_FIELDS)}
+    at = np.concatenate([p[len(_FIELDS)] for p in parts])
+    order = np.argsort(run["core"], kind="stable")
+    run, at = {k: x[order] for k, x in run.items()}, at[order]
+    head, kinds = _settle(run)
+    later = np.flatnonzero(head != np.arange(len(head)))
+    equal = np.zeros(len(head), bool)
+    if len(later):
+        equal[later] = _equal_bytes(np.frombuffer(b"".join(raws), np.uint8), at[later], at[head[later]], run["n"][later].astype(np.int64) - 1 + window)
+    send = ~equal | _same_place(run, head)
+    gone = np.flatnonzero(~send)
+    hot = _unsent(run, send, kinds)
+    lo = run["a"].astype(np.int64) - run["back"]
+    own = pd.concat([_fewer(_table(run, (gone, _gone(lo[gone], run["n"][gone].astype(np.int64) - 1 + window)))), _table(run, _splits_of(run, hot))])
+    out = [(slot % buckets, _OWN, slot, _blob_of(own))] if len(own) else []
+    return pd.DataFrame(out + _dealt(run, send, kinds, buckets, slot), columns=["bucket", "kind", "slot", "blob"])
+
+
+def _reduce(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Runs of cores with several surroundings as one."""
+    run = _joined([_unpack(b) for b in pdf.blob])
+    head, kinds = _settle(run)
+    twin = np.bincount(head, minlength=len(head))[head] > 1
+    send = _same_place(run, head)
+    own = _table(run, _splits_of(run, _unsent(run, send, kinds)), _strings_of(run, np.flatnonzero(twin)))
+    slot = int(pdf.slot.iloc[0]) // FAN_IN
+    out = [(int(pdf.bucket.iloc[0]), _OWN, slot, _blob_of(own))] if len(own) else []
+    if send.any():
+        out.append((int(pdf.bucket.iloc[0]), _BUSY, slot, _pack({k: x[send] for k, x in run.items()})))
+    return pd.DataFrame(out, columns=["bucket", "kind", "slot", "blob"])
+
+
+def _receive(pdf: pd.DataFrame) -> pd.DataFrame:
+    out = _items_in(pdf)
+    runs = [_unpack(b) for b in pdf.blob[pdf.kind != _OWN]]
     if runs:
-        run = {k: np.concatenate([r[k] for r in runs]) for k, _ in _FIELDS}
-        order = np.argsort(run["core"], kind="stable")
-        run = {k: x[order] for k, x in run.items()}
-        gone, open_, _ = _settle(run, window)
-        out.append(_items(run, gone, open_, window))
+        run = _joined(runs)
+        head, kinds = _settle(run)
+        first = _same_place(run, head)
+        twin = np.bincount(head, minlength=len(head))[head] > 1
+        out.append(_table(run, _strings_of(run, np.flatnonzero(twin)), _splits_of(run, np.flatnonzero(first & (kinds > 1)))))
     return pd.concat(out)
 
 
 def _runs(batches: Iterator[pd.DataFrame], entries, buckets: int, window: int) -> Iterator[pd.DataFrame]:
     from pyspark import TaskContext
 
-    parts, size, number = [], 0, TaskContext.get().partitionId()
+    parts, raws, size, total, slot = [], [], 0, 0, TaskContext.get().partitionId()
     for pdf in batches:
         for row in pdf.itertuples(index=False):
             own = entries(row)
             if own is not None:
-                n = len(own[0])
-                parts.append((own[0], own[1], np.full(n, row.ord), np.full(n, row.th), *own[2:]))
-                size += n
-                if size >= RUN:
-                    yield _send(parts, buckets, window, number)
-                    parts, size, number = [], 0, number + 1
+                raw, core, ctx, a, back, count = own
+                n = len(core)
+                parts.append((core, ctx, np.full(n, row.ord), np.full(n, row.th), a, back, count, a - back + total))
+                raws.append(raw)
+                size, total = size + n, total + len(raw)
+                if size >= RUN or total >= RUN_BYTES:
+                    yield _send(parts, raws, buckets, window, slot)
+                    parts, raws, size, total = [], [], 0, 0
     if parts:
-        yield _send(parts, buckets, window, number)
+        yield _send(parts, raws, buckets, window, slot)
 
 
 def _anchored(row, window: int, k: int):
@@ -251,12 +338,12 @@ def _anchored(row, window: int, k: int):
     text = Text(raw)
     core, place, first, n = text.anchors(window, k)
     back = place - first
-    return core, text.of(first, first + n - 1 + window, back), place, back, n
+    return raw, core, text.of(first, first + n - 1 + window, back), place, back, n
 
 
 def _blocked(row, window: int, block: int):
     text = Text(row.text.encode("utf-8", "surrogatepass"))
-    x = -1 - np.asarray(row.items, np.int64)
+    x = np.unique(-1 - np.asarray(row.items, np.int64))
     a, back, n = x >> 16, x >> 8 & 255, x & 255
     low, high = (back - n + 1) // block, back // block  # blocks by the anchor's place in a window
     many = high - low + 1
@@ -266,17 +353,30 @@ def _blocked(row, window: int, block: int):
     first, last = np.maximum(a - back, a - block * j - block + 1), np.minimum(a - back + n - 1, a - block * j)
     inner = a - block * j
     core = text.of(inner, inner - block + 1 + window, j)
-    return core, text.of(first, last + window, (a - first) * 256 + (last - first)), last, last - first, last - first + 1
+    return text.raw, core, text.of(first, last + window, (a - first) * 256 + (last - first)), last, last - first, last - first + 1
 
 
-def _strings(row, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Fingerprints, starts and bytes of the windows that are still open."""
+def width_of(window: int, k: int) -> int:
+    """Of strings: a byte for the number of windows, and their bytes, filled up with zeros."""
+    return 1 + 2 * window - k
+
+
+def _strings(row, window: int, width: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Fingerprints, starts, numbers of windows and bytes of the strings to be compared, and of the windows that are still open; a part at a time."""
     text = Text(row.text.encode("utf-8", "surrogatepass"))
     x = -1 - np.asarray(row.items, np.int64)
-    a, back, n = x >> 16, x >> 8 & 255, x & 255
+    single, x = x[x < _ALIKE], x[x >= _ALIKE] ^ _ALIKE
+    a, back, n = single >> 16, single >> 8 & 255, single & 255
     at = np.unique(np.repeat(a - back - (np.cumsum(n) - n), n) + np.arange(n.sum()))
-    raw = np.frombuffer(text.raw, np.uint8)
-    return text.of(at, at + window), at, np.lib.stride_tricks.sliding_window_view(raw, window)[at]
+    keys = np.unique(np.concatenate([x, at << 8 | 1]))
+    raw = np.concatenate([np.frombuffer(text.raw, np.uint8), np.zeros(width, np.uint8)])
+    view = np.lib.stride_tricks.sliding_window_view(raw, width - 1)
+    for i in range(0, len(keys), STRING_RUN):
+        lo, n = keys[i : i + STRING_RUN] >> 8, keys[i : i + STRING_RUN] & 255
+        rows = np.empty((len(lo), width), np.uint8)
+        rows[:, 0], rows[:, 1:] = n, view[lo]
+        rows[:, 1:][np.arange(width - 1) >= (n - 1 + window)[:, None]] = 0
+        yield text.of(lo, lo + n - 1 + window), lo, n, rows
 
 
 def front_code(rows: np.ndarray) -> tuple[np.ndarray, bytes]:
@@ -362,24 +462,24 @@ def merge(runs: list[FrontCoded]) -> Iterator[tuple[int, int, int]]:
             node >>= 1
 
 
-def _string_runs(batches: Iterator[pd.DataFrame], buckets: int, window: int) -> Iterator[pd.DataFrame]:
+def _string_runs(batches: Iterator[pd.DataFrame], buckets: int, window: int, width: int) -> Iterator[pd.DataFrame]:
     import zstandard
     from pyspark import TaskContext
 
-    number = TaskContext.get().partitionId()
+    slot = TaskContext.get().partitionId()
 
     def send(parts: list[tuple]) -> pd.DataFrame:
-        h, ord_, th, at = (np.concatenate([p[i] for p in parts]) for i in range(4))
-        rows = np.concatenate([p[4] for p in parts])
-        order = np.lexsort((at, ord_, rows.reshape(-1).view(f"S{window}")))
-        h, ord_, th, at, rows = h[order], ord_[order], th[order], at[order], rows[order]
+        h, ord_, th, at, n = (np.concatenate([p[i] for p in parts]) for i in range(5))
+        rows = np.concatenate([p[5] for p in parts])
+        order = np.lexsort((at, ord_, rows.reshape(-1).view(f"S{width}")))
+        h, ord_, th, at, n, rows = h[order], ord_[order], th[order], at[order], n[order], rows[order]
         new = np.concatenate([[True], (rows[1:] != rows[:-1]).any(1)])
         head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
         gone = (ord_ != ord_[head]) | (at != at[head])
-        own = _fewer(pd.DataFrame({"ord": ord_[gone], "th": th[gone], "item": _gone(at[gone], np.full(gone.sum(), window))}))
-        out = [(number % buckets, 1, own.to_numpy(np.int64).tobytes())] if len(own) else []
+        own = _fewer(pd.DataFrame({"ord": ord_[gone], "th": th[gone], "item": _gone(at[gone], n[gone] - 1 + window)}))
+        out = [(slot % buckets, _OWN, slot, _blob_of(own))] if len(own) else []
         keep = ~gone
-        h, ord_, th, at, rows = h[keep], ord_[keep], th[keep], at[keep], rows[keep]
+        h, ord_, th, at, n, rows = h[keep], ord_[keep], th[keep], at[keep], n[keep], rows[keep]
         to = ((h >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
         order = np.argsort(to, kind="stable")
         cuts = np.searchsorted(to[order], np.arange(buckets + 1))
@@ -387,47 +487,43 @@ def _string_runs(batches: Iterator[pd.DataFrame], buckets: int, window: int) ->
             if j > i:
                 x = order[i:j]
                 lcp, rest = front_code(rows[x])
-                blob = b"".join([int(j - i).to_bytes(8, "little"), ord_[x].tobytes(), th[x].tobytes(), at[x].astype(np.int64).tobytes(), lcp.tobytes(), rest])
-                out.append((b, 0, zstandard.compress(blob, 1)))
-        return pd.DataFrame(out, columns=["bucket", "kind", "blob"])
+                blob = b"".join([int(j - i).to_bytes(8, "little"), ord_[x].tobytes(), th[x].tobytes(), at[x].astype(np.int64).tobytes(), n[x].astype(np.uint8).tobytes(), lcp.tobytes(), rest])
+                out.append((b, _ENTRIES, slot, zstandard.compress(blob, 1)))
+        return pd.DataFrame(out, columns=["bucket", "kind", "slot", "blob"])
 
     parts, size = [], 0
     for pdf in batches:
         for row in pdf.itertuples(index=False):
-            h, at, rows = _strings(row, window)
-            for i in range(0, len(at), STRING_RUN):
-                own = slice(i, i + STRING_RUN)
-                n = len(at[own])
-                parts.append((h[own], np.full(n, row.ord), np.full(n, row.th), at[own], rows[own]))
-                size += n
+            for h, at, n, rows in _strings(row, window, width):
+                parts.append((h, np.full(len(at), row.ord), np.full(len(at), row.th), at, n, rows))
+                size += len(at)
                 if size >= STRING_RUN:
                     yield send(parts)
-                    parts, size, number = [], 0, number + 1
+                    parts, size = [], 0
     if parts:
         yield send(parts)
 
 
-def _merge_strings(pdf: pd.DataFrame, window: int) -> pd.DataFrame:
+def _merge_strings(pdf: pd.DataFrame, window: int, width: int) -> pd.DataFrame:
     import zstandard
 
-    out = [pd.DataFrame(np.frombuffer(b, np.int64).reshape(-1, 3), columns=["ord", "th", "item"]) for b in pdf.blob[pdf.kind == 1]]
-    runs, where = [], []
-    for blob in pdf.blob[pdf.kind == 0]:
+    out, runs, where = _items_in(pdf), [], []
+    for blob in pdf.blob[pdf.kind == _ENTRIES]:
         raw = zstandard.decompress(blob)
         n = int.from_bytes(raw[:8], "little")
-        where.append(np.frombuffer(raw, np.int64, 3 * n, 8).reshape(3, n))
-        runs.append(FrontCoded(np.frombuffer(raw, np.uint8, n, 8 + 24 * n), raw[8 + 25 * n :], window))
+        where.append(np.concatenate([np.frombuffer(raw, np.int64, 3 * n, 8).reshape(3, n), np.frombuffer(raw, np.uint8, n, 8 + 24 * n)[None].astype(np.int64)]))
+        runs.append(FrontCoded(np.frombuffer(raw, np.uint8, n, 8 + 25 * n), raw[8 + 26 * n :], width))
     if runs:
         r, i, lcp = np.fromiter((x for t in merge(runs) for x in t), np.int64).reshape(-1, 3).T
         base = np.concatenate([[0], np.cumsum([w.shape[1] for w in where])[:-1]])
-        ord_, th, at = np.concatenate(where, axis=1)[:, base[r] + i]
-        new = lcp < window
+        ord_, th, at, n = np.concatenate(where, axis=1)[:, base[r] + i]
+        new = lcp < width
         new[0] = True
         group = np.cumsum(new) - 1
         order = np.lexsort((at, ord_, group))
         first = order[np.searchsorted(group, np.arange(group[-1] + 1))][group]  # group is sorted, and order keeps it so
         gone = (ord_ != ord_[first]) | (at != at[first])
-        out.append(pd.DataFrame({"ord": ord_[gone], "th": th[gone], "item": _gone(at[gone], np.full(gone.sum(), window))}))
+        out.append(_fewer(pd.DataFrame({"ord": ord_[gone], "th": th[gone], "item": _gone(at[gone], n[gone] - 1 + window)})))
     return pd.concat(out)
 
 
@@ -472,30 +568,45 @@ def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
         low = n <= BROADCAST_DOCS and (items or 0) <= BROADCAST_ITEMS
         return rows.join(F.broadcast(own) if low else own, ["ord", "th"], how)
 
+    width, tasks = width_of(window, k), rows.rdd.getNumPartitions()
+    is_open, is_alike = (F.col("item") < 0) & (F.col("item") >= -_ALIKE), F.col("item") < -_ALIKE
+
+    def settled(sent: DataFrame, name: str) -> DataFrame:
+        n = tasks
+        if n > FAN_IN:  # what very many runs share comes together in a tree
+            sent = staged(sent, f"{name}-runs")
+            rest, busy = sent.filter(F.col("kind") != _BUSY), sent.filter(F.col("kind") == _BUSY)
+            while n > FAN_IN:
+                busy = staged(busy.groupBy("bucket", F.floor(F.col("slot") / FAN_IN)).applyInPandas(_reduce, _RUN_OUT), f"{name}-runs")
+                rest, busy = rest.union(busy.filter(F.col("kind") != _BUSY)), busy.filter(F.col("kind") == _BUSY)
+                n = -(-n // FAN_IN)
+            sent = rest.union(busy)
+        return staged(sent.groupBy("bucket").applyInPandas(_receive, _ITEMS), name)
+
     def total_open(verdicts: DataFrame) -> int:
-        return verdicts.filter("item < 0").agg(F.sum((-1 - F.col("item")).bitwiseAND(255))).first()[0] or 0
+        return verdicts.filter(is_open).agg(F.sum((-1 - F.col("item")).bitwiseAND(255))).first()[0] or 0
 
-    sent = rows.select("ord", "th", "text").mapInPandas(lambda it: _runs(it, lambda r: _anchored(r, window, k), buckets, window), _RUN_OUT)
-    first = staged(sent.groupBy("bucket").applyInPandas(lambda pdf: _receive(pdf, window), _ITEMS), "suffix-anchors")
-    all_ = first.filter("item >= 0")
-    left = total_open(first)
+    sent = rows.select("ord", "th", "text").mapInPandas(lambda it: tidied(_runs(it, lambda r: _anchored(r, window, k), buckets, window)), _RUN_OUT)
+    all_ = first = settled(sent, "suffix-anchors")
+    left, more = total_open(first), first.filter(is_alike)
     if left:
         many = max(1, -(-2 * left // block // SHARE))
-        sent = meeting(first, F.col("item") < 0).select("ord", "th", "text", "items").mapInPandas(lambda it: _runs(it, lambda r: _blocked(r, window, block), many, window), _RUN_OUT)
-        second = staged(sent.groupBy("bucket").applyInPandas(lambda pdf: _receive(pdf, window), _ITEMS), "suffix-blocks")
-        all_ = all_.union(second.filter("item >= 0"))
-        left = total_open(second)
-        if left:
-            few = max(1, -(-left // (SHARE // 4)))
-            sent = meeting(second, F.col("item") < 0).select("ord", "th", "text", "items").mapInPandas(lambda it: _string_runs(it, few, window), _RUN_OUT)
-            third = staged(sent.groupBy("bucket").applyInPandas(lambda pdf: _merge_strings(pdf, window), _ITEMS), "suffix-strings")
-            all_ = all_.union(third)
+        sent = meeting(first, is_open).select("ord", "th", "text", "items").mapInPandas(lambda it: tidied(_runs(it, lambda r: _blocked(r, window, block), many, window)), _RUN_OUT)
+        second = settled(sent, "suffix-blocks")
+        all_ = all_.union(second)
+        left, more = total_open(second), more.union(second.filter("item < 0"))
+    left += more.filter(is_alike).count()
+    if left:
+        few = max(1, -(-left // (SHARE // 4)))
+        sent = meeting(more, F.lit(True)).select("ord", "th", "text", "items").mapInPandas(lambda it: tidied(_string_runs(it, few, window, width)), _RUN_OUT)
+        all_ = all_.union(staged(sent.groupBy("bucket").applyInPandas(lambda pdf: _merge_strings(pdf, window, width), _ITEMS), "suffix-strings"))
+    all_ = all_.filter("item >= 0")
 
     def unite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             both = [_merged(x >> 31, x & (2**31 - 1)) for x in map(np.asarray, pdf["items"])]
             yield pd.DataFrame({"ord": pdf.ord, "th": pdf.th, "items": [_gone(s, n) for s, n in both]})
 
-    united = all_.groupBy("ord", "th").agg(F.collect_list("item").alias("items")).mapInPandas(unite, "ord long, th long, items array<long>")
+    united = all_.groupBy("ord", "th").agg(F.collect_list("item").alias("items")).mapInPandas(lambda it: tidied(unite(it)), "ord long, th long, items array<long>")
     end = meeting(united.withColumn("item", F.explode("items")).drop("items"), F.lit(True), "left")
-    return end.select("doc_id", "text", "items").mapInPandas(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<int>>")
+    return end.select("doc_id", "text", "items").mapInPandas(lambda it: tidied(_digest(it)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<int>>")

@@ -50,7 +50,7 @@ def test_whole_table(spark):
 @pytest.mark.parametrize("small", [False, True])
 def test_planted_repeats(spark, monkeypatch, small):
     if small:  # many runs, buckets and hot anchors
-        for name, n in (("RUN", 50), ("STRING_RUN", 40), ("SHARE", 400), ("HOT", 2), ("BROADCAST_DOCS", 0)):
+        for name, n in (("RUN", 50), ("STRING_RUN", 40), ("SHARE", 400), ("HOT", 2), ("FAN_IN", 2), ("BROADCAST_DOCS", 0)):
             monkeypatch.setattr(suffix_dedup, name, n)
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randrange(1, 9)))
@@ -72,6 +72,26 @@ def test_planted_repeats(spark, monkeypatch, small):
     assert have(suffix_dedup.removed(df)) == by_definition(pairs)
 
 
+def test_removals_rest_on_bytes(spark, monkeypatch):
+    """Fingerprints of which many are equal by chance: bytes that do not repeat stay."""
+    real = suffix_dedup.Text.of
+    monkeypatch.setattr(suffix_dedup.Text, "of", lambda self, lo, hi, salt=0: real(self, lo, hi, salt) & np.uint64(0xF << 32))
+    rng = random.Random(3)
+    texts = [(i, "".join(rng.choice("abcd ") for _ in range(400))) for i in range(40)]
+    texts += [(100, texts[3][1]), (101, texts[4][1][50:300])]
+    raws = {i: x.encode() for i, x in texts}
+    batch = __import__("pandas").DataFrame({"ord": [i for i, _ in texts], "th": 0, "text": [x for _, x in texts]})
+    parts, raw, total = [], [], 0
+    for row in batch.itertuples(index=False):
+        r, core, ctx, a, back, n = suffix_dedup._anchored(row, 100, 40)
+        parts.append((core, ctx, np.full(len(core), row.ord), np.full(len(core), 0), a, back, n, a - back + total))
+        raw.append(r)
+        total += len(r)
+    sent = suffix_dedup._send(parts, raw, 1, 100, 0)
+    gone = [x for df in suffix_dedup._items_in(sent) for x in df.itertuples(index=False) if x.item >= 0]
+    assert gone and all(raws[x.ord][x.item >> 31 :][: x.item & (2**31 - 1)] in raws[3] + b"|" + raws[4] for x in gone) and {x.ord for x in gone} <= {100, 101}
+
+
 def test_loser_tree_and_front_coding():
     rng = np.random.default_rng(0)
     for n_runs in (1, 2, 3, 7, 16):
