@@ -10,9 +10,10 @@ Equal sets are one node from the start, so copies are never paired. Then:
    shared, the likely origin of the copies: as many pairs as members.
 3. The sketch of the union estimates the overlap; pairs far below the threshold go.
 4. Jaccard is computed exactly, on full sets, for what is left.
-5. Where members of a long list are not yet in the component of the list's centre, the list is split anew: its members' full sets are put
-   in an order of its own, values that the centre lacks first, and enter the lists of the first values only, as many as
-   the threshold calls for. What pages have from a template is the centre's, so these lists hold what few pages share. Pairs
+5. Where members of a long list are not yet in the component of the list's centre, the list is split anew, by its members' full sets: by
+   the rarest values that they have beside what is usual in the list (a sample shows what is, which matters for cost alone), and, for those that are
+   close to it, by the usual values that they lack. Pages of one template share what is usual and nothing else, and copies with edits
+   at different places do not lack the same. A list that is long again gets a centre of its own, and so on. Of the other lists, pairs
    across components whose sizes and places leave room for the threshold go through steps 3 and 4. No partner is lost, no list is cut.
 6. Links become components by large-star and small-star steps.
 
@@ -42,6 +43,8 @@ from .components import components
 
 #: Retained values; members up to which a list pairs its members; rows of a list of step 5 that meet at one place; sets that meet a leading set at one place.
 K, SHORT, X_BLOCK, Y_BLOCK, CROWD = 48, 32, 1024, 1024, 1024
+#: Times that long lists are split; those of the last split are met as they are. Sets of a list that show which values are usual there; classes of these.
+LEVELS, SAMPLED, USUAL = 5, 64, 4
 #: Words whose hashes a worker keeps.
 WORDS = 50_000
 #: Rows of two or three short values that may be broadcast.
@@ -146,16 +149,23 @@ def _links(docs: DataFrame, classes: DataFrame, width: int, percent: int, k: int
     short = lists.filter(F.col("often") <= SHORT).groupBy("v").agg(own.alias("all")).filter(F.size("all") > 1)
     short = short.select("all", F.posexplode("all").alias("i", "x")).select("x", F.explode(F.filter(F.slice("all", F.col("i") + 2, SHORT), lambda y: y["n"] * percent <= F.col("x.n") * 100)).alias("y"))
     short = short.select(F.least("x.num", "y.num").alias("a"), F.greatest("x.num", "y.num").alias("b"))
-    long = lists.filter(F.col("often") > SHORT)
-    heart = long.groupBy("v").agg(F.max_by(F.struct("num", "n"), F.struct("centre", F.bitwise_not("num"))).alias("c"))
-    heart = staged(heart, "near-hearts")
-    stars = staged(long.join(_bounded(heart), "v").select(F.col("c.num").alias("p"), F.col("c.n").alias("pn"), F.col("num").alias("y"), "n").distinct(), "near-stars")
-    star = stars.filter((F.col("p") != F.col("y")) & near(F.col("n"), F.col("pn"))).select(F.least("p", "y").alias("a"), F.greatest("p", "y").alias("b"), (F.col("p") > F.col("y")).alias("turned"))
-    # turned: b leads; of a centre's pairs, the centre does, so that only the others' sets travel
-    pairs = staged(short.withColumn("turned", F.lit(False)).union(star).groupBy("a", "b").agg(F.bool_or("turned").alias("turned")), "near-pairs")
-    links = staged(_confirmed(_tried(pairs, nodes, share, k), docs, classes, width, percent), "near-links")
-    late = _late(docs, classes, stars, links, width, percent)
-    return links if late is None else staged(links.union(_confirmed(_tried(late, nodes, share, k), docs, classes, width, percent)), "near-links")
+    pairs, links = short.withColumn("turned", F.lit(False)), None
+    long = lists.filter(F.col("often") > SHORT).select(F.lit(0).cast("long").alias("p"), "v", "num", "n", "centre")
+    for level in range(LEVELS):
+        heart = long.groupBy("p", "v").agg(F.max_by(F.struct("num", "n"), F.struct("centre", F.bitwise_not("num"))).alias("c"))
+        heart = staged(heart, "near-hearts")
+        stars = long.join(_bounded(heart), ["p", "v"]).select(F.col("c.num").alias("p"), F.col("c.n").alias("pn"), F.col("num").alias("y"), "n", "centre").distinct()
+        stars = staged(stars, "near-stars")
+        star = stars.filter((F.col("p") != F.col("y")) & near(F.col("n"), F.col("pn"))).select(F.least("p", "y").alias("a"), F.greatest("p", "y").alias("b"), (F.col("p") > F.col("y")).alias("turned"))
+        # turned: b leads; of a centre's pairs, the centre does, so that only the others' sets travel
+        pairs = staged(pairs.union(star).groupBy("a", "b").agg(F.bool_or("turned").alias("turned")), "near-pairs")
+        found = _confirmed(_tried(pairs, nodes, share, k), docs, classes, width, percent)
+        links = staged(found if links is None else links.union(found), "near-links")
+        rest = _split(docs, classes, stars, links, width, percent, level == LEVELS - 1)
+        if rest is None:
+            return links
+        pairs, long = rest
+    return staged(links.union(_confirmed(_tried(pairs, nodes, share, k), docs, classes, width, percent)), "near-links")
 
 
 def _tried(pairs: DataFrame, nodes: DataFrame, share: float, k: int) -> DataFrame:
@@ -172,65 +182,115 @@ def _tried(pairs: DataFrame, nodes: DataFrame, share: float, k: int) -> DataFram
     return staged(pairs.filter(both >= enough).select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("lead"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("other")), "near-tried")
 
 
-def _met(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
-    """pairs: lead, other, note (a text). a, na, fa (the leading set), b, nb, fb, note. A set that leads very many
-    pairs is sent to several places, and the others are dealt to them."""
-    known = classes.select("num", "node", "d1")
+def _sets(ids: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """ids: num, to. num, n, full, to."""
+    return sets_of(docs, classes.select("num", "node", "d1").join(_bounded(ids), "num"), width)
 
-    def sets(ids: DataFrame) -> DataFrame:
-        return sets_of(docs, known.join(_bounded(ids), "num"), width)
 
+def _met(pairs: DataFrame, leads, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """pairs: lead, other, note (a text). What leads (a function of num, to) has of the leading set, and b, nb, fb (the other set), note.
+    A set that leads very many pairs is sent to several places, and the others are dealt to them."""
     places = staged(pairs.groupBy(F.col("lead").alias("num")).agg(F.ceil(F.count(F.lit(1)) / CROWD).cast("int").alias("places")), "near-places")
     place = lambda num, i: F.concat_ws(":", num, i)
-    leads = sets(staged(places.select("num", F.transform(F.sequence(F.lit(0), F.col("places") - 1), lambda i: place(F.col("num"), i)).alias("to")), "near-leads"))
-    leads = leads.select(F.explode("to").alias("at"), F.col("num").alias("a"), F.col("n").alias("na"), F.col("full").alias("fa"))
+    leading = leads(staged(places.select("num", F.transform(F.sequence(F.lit(0), F.col("places") - 1), lambda i: place(F.col("num"), i)).alias("to")), "near-leads"))
     crowded = staged(places.filter("places > 1").select(F.col("num").alias("lead"), "places"), "near-crowded")
     dealt = pairs.join(_bounded(crowded), "lead", "left").withColumn("at", place(F.col("lead"), F.pmod(F.xxhash64("other"), F.coalesce("places", F.lit(1)))))
-    others = sets(staged(dealt.groupBy(F.col("other").alias("num")).agg(F.collect_list(F.concat_ws("|", "at", "note")).alias("to")), "near-others"))
+    others = _sets(staged(dealt.groupBy(F.col("other").alias("num")).agg(F.collect_list(F.concat_ws("|", "at", "note")).alias("to")), "near-others"), docs, classes, width)
     others = others.select(F.explode("to").alias("to"), F.col("num").alias("b"), F.col("n").alias("nb"), F.col("full").alias("fb"))
     cut = F.split("to", r"\|")
-    return others.withColumns({"at": cut[0], "note": cut[1]}).join(leads, "at")
+    return others.withColumns({"at": cut[0], "note": cut[1]}).join(leading.withColumn("at", F.explode("to")).drop("to"), "at")
 
 
 def _confirmed(tried: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
     """a, b: the pairs whose full sets meet the threshold."""
-    met = _met(tried.withColumn("note", F.lit("")), docs, classes, width)
+    leads = lambda ids: _sets(ids, docs, classes, width).select(F.col("num").alias("a"), F.col("n").alias("na"), F.col("full").alias("fa"), "to")
+    met = _met(tried.withColumn("note", F.lit("")), leads, docs, classes, width)
     return met.filter(_meets(F.col("na"), F.col("nb"), F.size(F.array_intersect("fa", "fb")), percent)).select("a", "b").distinct()
 
 
-def _late(docs: DataFrame, classes: DataFrame, stars: DataFrame, links: DataFrame, width: int, percent: int) -> DataFrame | None:
-    """stars: p (centre), pn, y, n. a, b, turned: pairs of a long list that may be linked, one of which is not in the centre's component.
-
-    All of a list's sets are put in one order: what the centre does not have, then what it has. Two sets at the threshold
-    then share one of the first n - least + 1 values of both, and at that value both still have as many values as they have to share.
+def _usual(rows: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """rows: lead, other. num (the lead), u0, u1, ...: the values that several of some SAMPLED of its others have, by how many do. It only sets an order."""
+    some = rows.join(_bounded(staged(rows.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / SAMPLED).alias("each")), "near-each")), "lead")
+    some = some.filter(F.pmod(F.xxhash64("other", "lead"), "each") == 0)
+    some = staged(some.groupBy(F.col("other").alias("num")).agg(F.collect_set(F.col("lead").cast("string")).alias("to")), "near-some")
+    sets = _sets(some, docs, classes, width).select("num", "full", F.explode("to").alias("lead")).dropDuplicates(["num", "lead"])
+    sets = staged(sets.select(F.col("lead").cast("long").alias("lead"), "full"), "near-sampled")
+    many = sets.groupBy("lead").agg(F.count(F.lit(1)).alias("many"))
+    counts = sets.select("lead", F.explode("full").alias("v")).groupBy("lead", "v").agg(F.count(F.lit(1)).alias("have")).filter("have > 1").join(_bounded(staged(many, "near-many")), "lead")
+    counts = counts.withColumn("u", F.least(F.floor(F.col("have") * USUAL / F.col("many")), F.lit(USUAL - 1)))
+    return staged(counts.groupBy(F.col("lead").alias("num")).agg(*(F.collect_list(F.when(F.col("u") == i, F.col("v"))).alias(f"u{i}") for i in range(USUAL))), "near-usual")
+
+
+def _split(docs: DataFrame, classes: DataFrame, stars: DataFrame, links: DataFrame, width: int, percent: int, last: bool) -> tuple[DataFrame, DataFrame] | None:
+    """stars: p (centre), pn, y, n, centre. What members of long lists that are not in the centre's component may be linked with:
+    pairs (a, b, turned), and long lists that are to get a centre of their own (p, v, num, n, centre); None if there are no such members.
+
+    What half of a list has, by a sample, is its reference R; a set x has u values beside R and lacks m values of R. Two sets at the threshold
+    (of distance |x + y| - 2|x & y| at most c(|x| + |y|)) then either share a value beside R. All values are put in one order, rare
+    ones first, those of R last; so they share one of the first |x| - least + 1 values of both, where both still have as many values as they have to share.
+    Or they share only values of R, which both nearly are. With w = u + m - c|x|, they lack max(0, (w_x + w_y) / 2) values of R in common: where that is 0, both are
+    linked with the set of the least w; else they share one of the first values that they lack.
+    None of this depends on how good the sample is, but for the number of pairs.
     """
     if small(stars, 0):
         return None
     comp = staged(components(links), "near-part")
     found = lambda c, to: comp.select(F.col("node").alias(c), F.col("component").alias(to))
     all_ = stars.join(found("y", "cy"), "y", "left").join(found("p", "cp"), "p", "left")
-    all_ = staged(all_.select("p", "y", F.coalesce("cy", "y").alias("component"), (F.coalesce("cy", "y") != F.coalesce("cp", "p")).alias("out")), "near-members")
+    all_ = staged(all_.select("p", "y", "centre", F.coalesce("cy", "y").alias("component"), (F.coalesce("cy", "y") != F.coalesce("cp", "p")).alias("out")), "near-members")
     open_ = staged(all_.filter("out").select("p").distinct(), "near-open")
     if small(open_, 0):
         return None
-    rows = all_.join(_bounded(open_), "p", "left_semi").select(F.col("p").alias("lead"), F.col("y").alias("other"), F.concat_ws(",", "component", F.col("out").cast("int")).alias("note"))
-    met = _met(rows, docs, classes, width)
+    rows = all_.join(_bounded(open_), "p", "left_semi").select(F.col("p").alias("lead"), F.col("y").alias("other"), F.concat_ws(",", "component", F.col("out").cast("int"), "centre").alias("note"))
+    usual = _usual(rows, docs, classes, width)
+    met = _met(rows, lambda ids: ids.join(_bounded(usual), "num", "left"), docs, classes, width)
     first = F.col("nb") - F.ceil(F.col("nb") * percent / 100 - 1e-9).cast("int") + 1
-    ordered = F.slice(F.concat(F.array_except("fb", "fa"), F.array_intersect("fb", "fa")), F.lit(1), first)
+    known = [F.coalesce(F.col(f"u{i}"), F.array().cast("array<bigint>")) for i in range(USUAL)]
+    half = USUAL // 2
+    beside = F.concat(F.array_except("fb", F.concat(*known)), *(F.array_intersect("fb", u) for u in known[:half]))
+    lacks = F.array_except(F.concat(*known[:half:-1], known[half]), F.col("fb"))
     note = F.split("note", ",")
-    posts = met.select(F.col("a").alias("p"), F.col("b").alias("y"), F.col("nb").alias("n"), note[0].cast("long").alias("component"), (note[1] == "1").alias("out"), F.posexplode(ordered).alias("pos", "v"))
+    rows = met.select(
+        F.col("num").alias("p"), F.col("b").alias("y"), F.col("nb").alias("n"), note[0].cast("long").alias("component"), (note[1] == "1").alias("out"), note[2].cast("double").alias("centre"),
+        F.slice(beside, F.lit(1), first).alias("beside"), F.when(F.size(beside) < first, lacks).alias("lacks"), ((100 + percent) * (F.size(beside) + F.size(lacks)) - (100 - percent) * F.col("nb")).cast("long").alias("w"),
+    )
+    rows = staged(rows, "near-differences")
+    hub = rows.filter("lacks IS NOT NULL").groupBy("p").agg(F.min("w").alias("least"), F.min_by("y", F.struct("w", "y")).alias("hub"), F.min_by("component", F.struct("w", "y")).alias("its"))
+    rows = staged(rows.join(_bounded(staged(hub, "near-hubs")), "p", "left"), "near-differences")
+    close = rows.filter((F.col("w") + F.col("least") <= 0) & F.col("lacks").isNotNull() & (F.col("component") != F.col("its"))).select(F.least("y", "hub").alias("a"), F.greatest("y", "hub").alias("b"), (F.col("hub") > F.col("y")).alias("turned"))
+    # lists by what sets have beside R
+    whole = [F.col(c) for c in ("p", "y", "n", "component", "out", "centre", "w")]
+    posts = staged(rows.select(*whole, F.posexplode("beside").alias("pos", "v")), "near-posts")
+    lists = posts.groupBy("p", "v").agg(F.count(F.lit(1)).alias("all"), F.count_if("out").alias("outs"), F.min("component").alias("low"), F.max("component").alias("high")).filter("all > 1 AND outs > 0 AND low <> high")
+    lists = staged(lists.select("p", "v", "all", "outs", ((F.col("all") > SHORT) & F.lit(not last)).alias("again")), "near-sublists")
+    long = staged(posts.join(_bounded(lists.filter("again").select("p", "v")), ["p", "v"], "left_semi").select("p", "v", F.col("y").alias("num"), "n", "centre"), "near-long")
+    room = F.least(F.col("ln") - F.col("lpos"), F.col("rn") - F.col("rpos"))
+    pairs = _across(posts, lists.filter("NOT again"), (100 + percent) * room >= percent * (F.col("ln") + F.col("rn")), percent)
+    # lists by what sets lack of R
+    step = 2 * (100 + percent)
+    far = F.col("w") + F.col("least") > 0
+    share = F.greatest(F.lit(1), F.ceil((F.col("w") + F.when(far, F.col("least")).otherwise(1 - F.col("least"))) / step).cast("int"))
+    many = F.size("lacks") - share + 1
+    posts = rows.filter((F.size("lacks") > 0) & (many > 0)).select(*whole[:4], (F.col("out") & far).alias("out"), *whole[5:], F.size("lacks").alias("m"), F.posexplode(F.slice("lacks", F.lit(1), many)).alias("pos", "v"))
     posts = staged(posts, "near-posts")
     lists = posts.groupBy("p", "v").agg(F.count(F.lit(1)).alias("all"), F.count_if("out").alias("outs"), F.min("component").alias("low"), F.max("component").alias("high")).filter("all > 1 AND outs > 0 AND low <> high")
-    lists = staged(lists.select("p", "v", F.ceil(F.col("outs") / X_BLOCK).cast("int").alias("bx"), F.ceil(F.col("all") / Y_BLOCK).cast("int").alias("by")), "near-sublists")
-    posts = posts.join(_bounded(lists), ["p", "v"])
-    own = lambda c: [F.col(x).alias(f"{c}{x}") for x in ("y", "n", "pos", "component")]
+    room = F.least(F.col("lm") - F.col("lpos"), F.col("rm") - F.col("rpos"))
+    alike = (room * step >= F.col("lw") + F.col("rw")) & (F.col("lw") + F.col("rw") > 0)
+    pairs = pairs.union(_across(posts, staged(lists.select("p", "v", "all", "outs"), "near-sublists"), alike, percent)).distinct().withColumn("turned", F.lit(False))
+    pairs = staged(pairs.union(close), "near-late")
+    return None if small(pairs, 0) and small(long, 0) else (pairs, long)
+
+
+def _across(posts: DataFrame, lists: DataFrame, fits: Column, percent: int) -> DataFrame:
+    """a, b: pairs of a list whose components differ, one of which is out, and that fit. Long lists meet in blocks."""
+    posts = posts.join(_bounded(lists.select("p", "v", F.ceil(F.col("outs") / X_BLOCK).cast("int").alias("bx"), F.ceil(F.col("all") / Y_BLOCK).cast("int").alias("by"))), ["p", "v"])
+    side = lambda c: [F.col(x).alias(f"{c}{x}") for x in posts.columns if x not in ("p", "v", "bx", "by")]
     h, till = F.xxhash64("y", "p"), lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    left = posts.filter("out").select("p", "v", *own("l"), F.pmod(h, "bx").cast("int").alias("x_"), till("by").alias("y_"))
-    right = posts.select("p", "v", *own("r"), F.pmod(h, "by").cast("int").alias("y_"), till("bx").alias("x_"))
-    room = F.least(F.col("ln") - F.col("lpos"), F.col("rn") - F.col("rpos"))
-    fits = (F.col("lcomponent") != F.col("rcomponent")) & ((100 + percent) * room >= percent * (F.col("ln") + F.col("rn")))
-    met = left.join(right, ["p", "v", "x_", "y_"]).filter(fits).select(F.least("ly", "ry").alias("a"), F.greatest("ly", "ry").alias("b"))
-    return staged(met.distinct().withColumn("turned", F.lit(False)), "near-late")
+    left = posts.filter("out").select("p", "v", *side("l"), F.pmod(h, "bx").cast("int").alias("x_"), till("by").alias("y_"))
+    right = posts.select("p", "v", *side("r"), F.pmod(h, "by").cast("int").alias("y_"), till("bx").alias("x_"))
+    near = F.least("ln", "rn") * 100 >= F.greatest("ln", "rn") * percent
+    met = left.join(right, ["p", "v", "x_", "y_"]).filter((F.col("lcomponent") != F.col("rcomponent")) & near & fits)
+    return met.select(F.least("ly", "ry").alias("a"), F.greatest("ly", "ry").alias("b")).distinct()
 
 
 def _numbered(classes: DataFrame) -> tuple[DataFrame, bool]:

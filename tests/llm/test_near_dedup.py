@@ -67,11 +67,11 @@ def edited(rng, words, share):
     return [w if rng.random() > share else f"x{rng.randrange(10**6)}" for w in words]
 
 
-def test_large_groups_and_bridges(spark, monkeypatch):
+@pytest.mark.parametrize("how", [{}, {"SHORT": 3, "SAMPLED": 4, "LEVELS": 2}, {"SHORT": 2, "SAMPLED": 1, "LEVELS": 3}])
+def test_large_groups_and_bridges(spark, monkeypatch, how):
     """Groups far above the length of short lists, with members that only meet each other; small blocks."""
-    monkeypatch.setattr(near_dedup, "X_BLOCK", 7)
-    monkeypatch.setattr(near_dedup, "Y_BLOCK", 20)
-    monkeypatch.setattr(near_dedup, "CROWD", 9)
+    for name, value in ({"X_BLOCK": 7, "Y_BLOCK": 20, "CROWD": 9} | how).items():
+        monkeypatch.setattr(near_dedup, name, value)
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
     texts, base = [], [word() for _ in range(150)]
@@ -113,6 +113,28 @@ def test_templated_pages_cost_linear_candidates(spark, monkeypatch):
     assert len(tried) == 2 and sum(tried) < 4 * n
 
 
+def test_edits_of_one_base_cost_few_candidates(spark, monkeypatch):
+    """Copies of a base that is not there, with up to four edits each: three and more leave most pairs just below the threshold."""
+    rng, tried, n = random.Random(5), [], 700
+    real = near_dedup._tried
+
+    def counted(pairs, *how):
+        tried.append(pairs.count())
+        return real(pairs, *how)
+
+    monkeypatch.setattr(near_dedup, "_tried", counted)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(6))
+    base, texts = [word() for _ in range(150)], []
+    for i in range(n):
+        own = list(base)
+        for at in rng.sample(range(150), rng.choice([1, 2, 3, 3, 3, 4])):
+            own[at] = word()
+        texts.append((i, " ".join(own)))
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    assert have(near_dedup.annotate(df, width=5)) == by_definition(texts, 5)
+    assert sum(tried) < 25 * n
+
+
 def test_empty(spark):
     assert got(near_dedup.annotate(empty(spark))) == [] == got(near_dedup.deduplicate(empty(spark)))
 
