@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import pipeline, providers
-from .operators import scores
+from .common import staged
+from .operators import quality, scores
 from .operators.validate import file_report, folder_summary
 from .settings import Settings
 from .sources import analyses, pages, sinks
@@ -30,20 +31,24 @@ def _process(spark: SparkSession, documents: DataFrame, args: argparse.Namespace
     if not rubric:
         sys.exit("a rubric file is needed: --rubric, or rubric_path in the settings")
     docs = documents.withColumn("doc_id", F.col("path"))
-    found = pages.extract(docs.select("doc_id", "content"), confidence=s.ingestion.text_confidence)
+    found = staged(pages.extract(docs.select("doc_id", "content"), confidence=s.ingestion.text_confidence), "pages")  # read and parsed once
     embedder = providers.SentenceEmbedder() if args.embed else None
     keep = sinks.Checkpoint(spark, s.checkpoint_dir, s.digest()) if s.checkpoints and s.checkpoint_dir else None
-    out = pipeline.process(found.filter("error IS NULL"), analyses.rubric_entries(spark, rubric), providers.ChatEndpoint(model=s.generation.model_name), embedder, s, keep)
+    out = pipeline.process(found.filter("error IS NULL"), analyses.rubric_entries(spark, rubric), providers.ChatEndpoint(model=s.generation.model_name, max_tokens=s.generation.max_tokens), embedder, s, keep)
     made = out["analyses"].join(docs.select("doc_id", "country", "year"), "doc_id")
     to = args.output_dir or s.output_dir or "."
     log.info("settings %s, writing to %s", s.digest(), to)
     sinks.write_json(sinks.as_json(made), to)
-    sinks.write_report(out["report"], f"{to}/quality_report")
-    bad = found.filter("error IS NOT NULL").select("doc_id", "error").collect()  # one row per unreadable document
-    for r in bad:
+    reports = quality.report_json(out["assessed"]).join(docs.select("doc_id", "country", "year"), "doc_id")
+    sinks.write_json(reports.select(sinks.file_name("country", "year", "_quality.json").alias("filename"), "json"), to)
+    sinks.write_text(spark, f"{to}/settings.json", s.as_json())
+    bad = found.filter("error IS NOT NULL").select("doc_id", "error")
+    for r in bad.toLocalIterator():
         log.warning("%s: %s", r.doc_id, r.error)
-    print(f"analysed {out['report'].count()}, unreadable {len(bad)}")
-    return int(bool(bad))
+    n = out["assessed"].groupBy("doc_id").agg(F.bool_or(F.col("error").isNull()).alias("fine")).agg(F.count(F.lit(1)).alias("all"), F.count_if("fine").alias("fine")).first()
+    unreadable = bad.count()
+    print(f"analysed {n['all']}, of these {n.fine} with a usable reply; unreadable {unreadable}")
+    return int(unreadable > 0)
 
 
 def analyze(spark: SparkSession, args: argparse.Namespace) -> int:

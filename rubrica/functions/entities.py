@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,19 +38,21 @@ def grouped_numbers(text: Column) -> Column:
     return _all(text, GROUPED, 1)
 
 
-def _near() -> str:
-    by_length = defaultdict(list)
-    for w in CONTEXT_WORDS:
-        by_length[len(w)].append(w)
-    groups = [(REACH - n, "|".join(ws)) for n, ws in sorted(by_length.items())]
-    ahead = "|".join(rf"(?=0*[1-9].{{0,{reach}}}(?:{ws}))" for reach, ws in groups)
-    behind = "|".join(f"(?<=(?:{ws}).{{0,{reach}}})" for reach, ws in groups)
-    return rf"(?isU)(?=\b0*[1-9]\b)(?:{behind}|{ahead})0*[1-9]"  # the digit first: what is around is looked at there only
+_LONE = r"(?sU)(?=0*[1-9]\b)\b(?:(?<=(.{50}))|(?<=^(.{0,49})))(0*[1-9])(?=(.{0,50}))"  # 50 is REACH; what is around is looked at at such a digit only
+_WORDS = "(?i)" + "|".join(CONTEXT_WORDS)
+_OPEN, _CUT = "\ufdd0", "\ufdd1"  # noncharacters, which no text holds
+
+
+def _small(text: Column) -> Column:
+    """Lone digits from 1 to 9 next to a context word: every one is marked with what stands around it, and stays if a word is there."""
+    marked = F.split(F.regexp_replace(text, _LONE, f"{_OPEN}$1$2$3$4{_CUT}$3{_OPEN}"), _OPEN)
+    near = F.filter(marked, lambda x: x.contains(_CUT) & x.rlike(_WORDS))
+    return F.when(text.rlike(r"(?U)\b0*[1-9]\b") & text.rlike(_WORDS), F.transform(near, lambda x: F.substring_index(x, _CUT, -1))).otherwise(F.array().cast("array<string>"))
 
 
 def integers(text: Column) -> Column:
     """Integers from 10 on, and 1 to 9 next to a context word; 0 never."""
-    return F.concat(_all(text, r"(?U)\b0*[1-9]\d+\b", 0), _all(text, _near(), 0))
+    return F.concat(_all(text, r"(?U)\b0*[1-9]\d+\b", 0), _small(text))
 
 
 def entities(text: Column, first_year: int = 1990, last_year: int = 2099) -> Column:

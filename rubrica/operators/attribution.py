@@ -24,8 +24,10 @@ def entity_pages(texts: DataFrame, pages: DataFrame, keys: tuple = KEYS, setting
     """keys, page_number: pages that share an entity with the text. Entities of pages are taken once, for all texts."""
     s = settings or Attribution()
     of = lambda c: F.explode(E.entities(c, s.first_year, s.last_year)).alias("entity")
-    own = texts.select(*keys, of(F.col("text")))
+    own = texts.select(*keys, of(F.col("text"))).distinct()
     there = pages.select("doc_id", "page_number", of(F.col("text")))
+    if tuple(keys) == ("doc_id",):
+        return there.join(own, ["doc_id", "entity"], "left_semi").select("doc_id", "page_number").distinct()
     return own.join(there, ["doc_id", "entity"]).select(*keys, "page_number").distinct()
 
 

@@ -71,32 +71,38 @@ def repair(rows: DataFrame, entry: str = "entry", category: str = "category") ->
     missing becomes "", 0 or an empty list; a score that is not a number becomes one if it reads as an integer, else 0, and is
     clamped to 0..5; citations keep what reads as an integer; texts and lists of another type become empty.
     """
-    v = F.col(entry)
-    keys = F.coalesce(F.expr(f"json_object_keys(to_json({entry}))"), F.array().cast("array<string>"))
-    at = {name: F.try_variant_get(v, f"$.{name}", "variant") for name in REQUIRED}
-    there = {name: F.array_contains(keys, name) for name in REQUIRED}
+    own = F.coalesce(F.try_variant_get(F.col(entry), "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    made = T.let(own, lambda m: T.let(F.struct(*(F.map_contains_key(m, name).alias(f"has_{name}") for name in REQUIRED), *(F.try_element_at(m, F.lit(name)).alias(name) for name in REQUIRED)), lambda x: _repaired(x, F.col(category))))
+    return rows.withColumn("repaired_", made).withColumns({"repaired": F.col("repaired_.repaired"), "compliance": F.col("repaired_.compliance"), "schema_issues": F.col("repaired_.issues")}).drop("repaired_")
+
+
+def _repaired(entry: Column, category: Column) -> Column:
+    """entry: struct of the required fields as variants, and has_ of each."""
+    at = {name: entry[name] for name in REQUIRED}
+    there = {name: entry[f"has_{name}"] for name in REQUIRED}
     wanted = {"category": "str", "response": "str", "scoring_reasoning": "str", "response_page_citations": "list", "scoring_reasoning_page_citations": "list"}
     kind = {name: _kind(at[name]) for name in REQUIRED}
     fits = {name: there[name] & (kind[name].isin("int", "float", "bool") if name == "score" else kind[name] == wanted[name]) for name in REQUIRED}
     fits = {name: F.coalesce(x, F.lit(False)) for name, x in fits.items()}
     said = lambda name: F.concat(F.lit(f"Type mismatch for {name}: expected {wanted.get(name, 'number')}, got "), F.coalesce(kind[name], F.lit("NoneType")))
     issues = _some(*[F.when(~there[name], f"Missing field: {name}").when(~fits[name], said(name)) for name in REQUIRED])
-    text = lambda name: F.when(fits[name], F.coalesce(F.try_variant_get(v, f"$.{name}", "string"), F.lit(""))).otherwise("")
-    number = F.when(fits["score"], F.when(kind["score"] == "bool", F.try_variant_get(v, "$.score", "boolean").cast("int").cast("double")).otherwise(F.try_variant_get(v, "$.score", "double")))
-    read = F.regexp_extract(T.strip(F.try_variant_get(v, "$.score", "string")), r"^[+-]?\d+$", 0).try_cast("double")
+    get = lambda name, kind: F.try_variant_get(at[name], "$", kind)
+    text = lambda name: F.when(fits[name], F.coalesce(get(name, "string"), F.lit(""))).otherwise("")
+    number = F.when(fits["score"], F.when(kind["score"] == "bool", get("score", "boolean").cast("int").cast("double")).otherwise(get("score", "double")))
+    read = F.regexp_extract(T.strip(get("score", "string")), r"^[+-]?\d+$", 0).try_cast("double")
     score = F.when(fits["score"], number).when(kind["score"] == "str", read)
     score = F.greatest(F.lit(0), F.least(F.lit(HIGHEST_SCORE), F.coalesce(score, F.lit(0.0)).cast("long"))).cast("int")
 
     def pages(name: str) -> Column:
-        items = F.when(fits[name], F.try_variant_get(v, f"$.{name}", "array<variant>"))
+        items = F.when(fits[name], get(name, "array<variant>"))
         whole = lambda x: F.when(_kind(x) == "str", F.regexp_extract(T.strip(F.try_variant_get(x, "$", "string")), r"^[+-]?\d+$", 0).try_cast("int")).when(_kind(x) == "bool", F.try_variant_get(x, "$", "boolean").cast("int")).when(_kind(x).isin("int", "float"), F.try_variant_get(x, "$", "double").try_cast("int"))
         return F.coalesce(F.filter(F.transform(items, whole), lambda x: x.isNotNull()), F.array().cast("array<int>"))
 
     made = F.struct(
-        F.col(category).alias("category"), text("response").alias("response"), score.alias("score"), text("scoring_reasoning").alias("scoring_reasoning"), pages("response_page_citations").alias("response_page_citations"), pages("scoring_reasoning_page_citations").alias("scoring_reasoning_page_citations")
+        category.alias("category"), text("response").alias("response"), score.alias("score"), text("scoring_reasoning").alias("scoring_reasoning"), pages("response_page_citations").alias("response_page_citations"), pages("scoring_reasoning_page_citations").alias("scoring_reasoning_page_citations")
     )
     compliance = sum((x.cast("int") for x in fits.values()), F.lit(0)) / F.lit(float(len(REQUIRED)))
-    return rows.withColumns({"repaired": made, "compliance": compliance, "schema_issues": issues})
+    return F.struct(made.alias("repaired"), compliance.alias("compliance"), issues.alias("issues"))
 
 
 def acceptable(response: Column, score: Column, reasoning: Column) -> Column:
@@ -124,7 +130,7 @@ def assess(analyses: DataFrame, entries: DataFrame, settings: Quality | None = N
         rows = rows.withColumns({"compliance": F.lit(1.0), "schema_issues": F.array().cast("array<string>")})
     rows = rows.withColumns({"readability": T.readability(both), "coherence": T.coherence(both) if coherence is None else coherence, "coverage": score, "issues": F.concat("schema_issues", issues)})
     composite = F.lit(s.readability_weight) * F.col("readability") + F.lit(s.coherence_weight) * F.col("coherence") + F.lit(s.coverage_weight) * F.col("coverage") + F.lit(s.schema_weight) * F.col("compliance")
-    return rows.withColumn("composite", composite).withColumn("passed", F.col("composite") >= s.composite_threshold).drop("definition", "indicators")
+    return rows.withColumn("composite", composite).withColumn("passed", F.round("composite", 9) >= s.composite_threshold).drop("definition", "indicators")
 
 
 def report(assessed: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -134,5 +140,15 @@ def report(assessed: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
+def report_json(assessed: DataFrame, key: str = "doc_id", order: str = "ordinal") -> DataFrame:
+    """key, json: each document's report as one JSON object, numbers with four decimals, its analyses in the order of the rubric."""
+    r4 = lambda c: F.round(c, 4).alias(c)
+    own = F.struct("category", r4("readability"), r4("coherence"), r4("coverage"), F.round("compliance", 4).alias("schema_compliance"), r4("composite"), "passed", "issues")
+    scores = assessed.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), own.alias("x")))).alias("all"))
+    rows = report(assessed, key).join(scores, key)
+    whole = F.struct(r4("overall_composite"), r4("pass_rate"), "failed_categories", "total_issues", F.transform("all", lambda a: a["x"]).alias("scores"))
+    return rows.select(key, F.to_json(whole, {"pretty": "true"}).alias("json"))
+
+
 def failed(assessed: DataFrame) -> DataFrame:
     return assessed.filter(~F.col("passed"))

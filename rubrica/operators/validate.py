@@ -21,31 +21,34 @@ def file_report(files: DataFrame, domain: str = "cancer") -> DataFrame:
     root = files.select("filename", F.try_parse_json("raw").alias("root"))
     root = root.withColumn("shape", F.when(F.col("root").isNull(), "bad").when(F.schema_of_variant("root").startswith("ARRAY"), "list").otherwise("other"))
     items = root.select("filename", "shape", F.when(F.col("shape") == "list", F.try_variant_get("root", "$", "array<variant>")).alias("items"))
-    entry = items.select("filename", F.posexplode("items").alias("i", "v"))
-    entry = entry.withColumn("keys", F.when(F.schema_of_variant("v").startswith("OBJECT"), F.coalesce(F.json_object_keys(F.to_json("v")), F.array().cast("array<string>"))))
-    named = F.array_contains("keys", "category")
-    entry = entry.withColumns({"category": F.when(named, F.try_variant_get("v", "$.category", "string")), "named": F.coalesce(named, F.lit(False))})
-    entry = entry.withColumns({
-        "lacks": F.when(F.col("named"), F.array_except(F.array(*map(F.lit, REQUIRED_FIELDS)), "keys")),
-        "error": F.when(F.col("keys").isNull(), F.format_string("Entry %d is not a dictionary", "i")).when(~F.col("named"), F.format_string("Entry %d missing 'category' field", "i")),
-    })
-    got = entry.groupBy("filename").agg(
-        F.array_sort(F.collect_list(F.when(F.col("named"), F.col("category")))).alias("found"),
-        F.array_sort(F.collect_list(F.when(F.size("lacks") > 0, F.struct("i", "category", F.col("lacks").alias("missing_fields"))))).alias("gaps"),
-        F.array_sort(F.collect_list(F.when(F.col("error").isNotNull(), F.struct("i", "error")))).alias("wrong"),
+    as_map = F.transform("items", lambda v: F.try_variant_get(v, "$", "map<string,variant>"))
+    entry = items.withColumn("maps", as_map)
+
+    def judged(m, i):
+        keys = F.map_keys(m)
+        named = F.coalesce(F.array_contains(keys, "category"), F.lit(False))
+        error = F.when(m.isNull(), F.format_string("Entry %d is not a dictionary", i)).when(~named, F.format_string("Entry %d missing 'category' field", i))
+        category = F.when(named, F.try_variant_get(m["category"], "$", "string"))
+        return F.struct(category.alias("category"), F.when(named, F.array_except(F.array(*map(F.lit, REQUIRED_FIELDS)), keys)).alias("lacks"), error.alias("error"))
+
+    rows = entry.withColumn("judged", F.transform("maps", judged))
+    some = lambda x: F.filter(x, lambda y: y.isNotNull())
+    rows = rows.select(
+        "filename", "shape", F.coalesce(F.size("items"), F.lit(0)).alias("n"),
+        F.array_sort(some(F.transform("judged", lambda j: j["category"]))).alias("found"),
+        F.transform(F.filter("judged", lambda j: F.size(j["lacks"]) > 0), lambda j: F.struct(j["category"].alias("category"), j["lacks"].alias("missing_fields"))).alias("gaps"),
+        some(F.transform("judged", lambda j: j["error"])).alias("wrong"),
     )
-    rows = items.select("filename", "shape", F.coalesce(F.size("items"), F.lit(0)).alias("n")).join(got, "filename", "left")
     text = F.array().cast("array<string>")
     found, names = F.coalesce("found", text), F.array(*map(F.lit, need))
     once = F.array_distinct(found)
     listed = F.col("shape") == "list"
     twice = F.filter(F.transform(found, lambda x, i: F.when((i > 0) & (x == F.try_element_at(found, i)), x)), lambda x: x.isNotNull())
-    error = F.when(F.col("shape") == "bad", F.array(F.lit("JSON parsing error"))).when(~listed, F.array(F.lit("JSON root is not a list/array"))).otherwise(F.coalesce(F.transform("wrong", lambda w: w["error"]), text))
-    gaps = F.transform("gaps", lambda g: F.struct(g["category"].alias("category"), g["missing_fields"].alias("missing_fields")))
+    error = F.when(F.col("shape") == "bad", F.array(F.lit("JSON parsing error"))).when(~listed, F.array(F.lit("JSON root is not a list/array"))).otherwise(F.coalesce("wrong", text))
     out = rows.select(
         "filename", F.when(listed, F.col("n")).otherwise(0).alias("total_categories"), F.lit(len(need)).alias("expected_categories"),
         F.when(listed, F.array_sort(F.array_except(names, once))).otherwise(text).alias("missing_categories"), F.when(listed, F.array_sort(F.array_except(once, names))).otherwise(text).alias("extra_categories"),
-        F.when(listed, F.array_distinct(twice)).otherwise(text).alias("duplicate_categories"), F.coalesce(gaps, F.array().cast("array<struct<category:string,missing_fields:array<string>>>")).alias("categories_missing_fields"), error.alias("errors"),
+        F.when(listed, F.array_distinct(twice)).otherwise(text).alias("duplicate_categories"), F.coalesce("gaps", F.array().cast("array<struct<category:string,missing_fields:array<string>>>")).alias("categories_missing_fields"), error.alias("errors"),
     )
     return out.withColumn("is_valid", (F.size("missing_categories") == 0) & (F.size("duplicate_categories") == 0) & (F.size("errors") == 0))
 

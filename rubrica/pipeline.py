@@ -12,10 +12,17 @@ from .sources import pages as P
 from .sources import sinks
 
 
-def prompts(documents: DataFrame, entries: DataFrame, settings: Settings) -> DataFrame:
-    """documents: doc_id, full_text. One prompt for every document and entry of the rubric (of fixed size, so broadcast)."""
-    knowledge = staged(rubric.knowledge_base(entries), "knowledge")
+def prompts(documents: DataFrame, entries: DataFrame, settings: Settings, embedder=None) -> DataFrame:
+    """documents: doc_id, full_text. One prompt for every document and entry of the rubric (of fixed size, so broadcast).
+
+    The knowledge base is asked by vectors if there is an embedder, else by terms.
+    """
+    knowledge = rubric.knowledge_base(entries)
     asked = entries.select(F.col("category").alias("query"), F.col("category").alias("text"))
+    if embedder is not None:
+        knowledge = generation.embed(knowledge, embedder, "content", settings.attribution.embed_batch)
+        asked = generation.embed(asked, embedder, "text", settings.attribution.embed_batch)
+    knowledge = staged(knowledge, "knowledge")
     near = similarity.retrieve(asked, knowledge, settings.generation.context_documents)
     context = near.join(knowledge, "ord").groupBy("query").agg(F.array_sort(F.collect_list(F.struct("rank", "content"))).alias("all"))
     context = context.select(F.col("query").alias("category"), F.array_join(F.transform("all", lambda x: x["content"]), "\n\n").alias("knowledge"))
@@ -27,6 +34,11 @@ def prompts(documents: DataFrame, entries: DataFrame, settings: Settings) -> Dat
 
 
 def _assessed(rows: DataFrame, entries: DataFrame, settings: Settings) -> DataFrame:
+    """Analyses repaired to the schema, then assessed; citations come later and count as empty lists."""
+    none = F.array().cast("array<int>")
+    entry = F.struct("category", "response", none.alias("response_page_citations"), "score", "scoring_reasoning", none.alias("scoring_reasoning_page_citations"))
+    rows = quality.repair(rows.withColumn("entry", F.try_parse_json(F.to_json(entry, {"ignoreNullFields": "false"}))))
+    rows = rows.withColumns({c: F.col(f"repaired.{c}") for c in ("response", "score", "scoring_reasoning")}).drop("entry", "repaired")
     return quality.assess(rows, entries, settings.quality)
 
 
@@ -37,7 +49,7 @@ def process(pages: DataFrame, entries: DataFrame, generator, embedder=None, sett
     What a model says is written before anything reads it twice; finished analyses in the checkpoint are not asked for again.
     """
     s = settings or Settings()
-    asked = prompts(P.full_text(pages), entries, s)
+    asked = staged(prompts(P.full_text(pages), entries, s, embedder), "asked")
     made = staged(generation.analyse(asked if checkpoint is None else checkpoint.left(asked), generator, s.generation), "analyses")
     if checkpoint is not None:
         checkpoint.add(made)

@@ -220,10 +220,15 @@ def safe_names(spark, sf_dir):
     return X.table(spark, sf_dir, "pages").select("page_id", T.safe_name(F.col("url")).alias("name"))
 
 
-@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN props WHEN 1 THEN props ELSE trim(props) END AS json FROM events")
+_FENCED = """CASE event_id % 5 WHEN 0 THEN 'Sure:' || chr(10) || '```json' || chr(10) || props || chr(10) || '```' || chr(10) || 'Done.' WHEN 1 THEN '```' || props || '```' WHEN 2 THEN '```' || event_type || chr(10) || props || '``` and ```json []```'
+  WHEN 3 THEN '```json ' || props ELSE props END"""
+
+
+@query(f"WITH r AS (SELECT event_id, {_FENCED} AS reply FROM events) SELECT event_id, CASE WHEN regexp_matches(reply, '```(?:json)?\\s*([\\s\\S]*?)\\s*```') THEN regexp_extract(reply, '```(?:json)?\\s*([\\s\\S]*?)\\s*```', 1) ELSE reply END AS json FROM r")
 def unfenced_json(spark, sf_dir):
     e = X.table(spark, sf_dir, "events")
-    reply = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("Sure:\n```json\n"), "props", F.lit("\n```\nDone."))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("```"), "props", F.lit("```"))).otherwise(F.col("props"))
+    rest = F.col("event_id") % 5
+    reply = F.when(rest == 0, F.concat(F.lit("Sure:\n```json\n"), "props", F.lit("\n```\nDone."))).when(rest == 1, F.concat(F.lit("```"), "props", F.lit("```"))).when(rest == 2, F.concat(F.lit("```"), "event_type", F.lit("\n"), "props", F.lit("``` and ```json []```"))).when(rest == 3, F.concat(F.lit("```json "), "props")).otherwise(F.col("props"))
     return e.select("event_id", T.unfenced(reply).alias("json"))
 
 
@@ -268,7 +273,7 @@ def entities_context_int(spark, sf_dir):
 own AS (SELECT DISTINCT e.doc_id, entity FROM e JOIN f ON e.doc_id = f.doc_id AND e.page_number = f.p)
 SELECT DISTINCT doc_id, page_number FROM own JOIN e USING (doc_id, entity)""")
 def entity_page_match(spark, sf_dir):
-    rows = X.narrative(spark, sf_dir)
+    rows = staged(X.narrative(spark, sf_dir), "narrative")  # read three times
     first = rows.groupBy("doc_id").agg(F.min("page_number").alias("page_number"))
     texts = rows.join(first, ["doc_id", "page_number"]).select("doc_id", "text")
     return attribution.entity_pages(texts, rows, ("doc_id",))
@@ -330,23 +335,26 @@ def topk_keyword(spark, sf_dir):
 _REPLIES = ["YES.", " no", "NOT SURE", "I think yes", "yes and no", "Maybe", "\tYes, it does", ""]
 
 
-def _reply(key: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, _REPLIES)), (key % len(_REPLIES) + 1).cast("int"))
+def _reply(key: Column, word: Column) -> Column:
+    """One of the replies, and after it a word of the row, a refusal, a consent or nothing."""
+    more = F.when(key % 5 == 0, F.concat(F.lit(" "), word)).when(key % 5 == 1, "").when(key % 5 == 2, "; No").otherwise(" yes.")
+    return F.concat(F.element_at(F.array(*map(F.lit, _REPLIES)), (key % len(_REPLIES) + 1).cast("int")), more)
 
 
-_YES = "list_element([true, false, false, true, true, false, true, false], CAST(({0}) % 8 + 1 AS INTEGER))"
+_SAID = "list_element([" + ", ".join("'" + r.replace("\t", "' || chr(9) || '") + "'" for r in _REPLIES) + "], CAST(({0}) % 8 + 1 AS INTEGER)) || CASE ({0}) % 5 WHEN 0 THEN ' ' || {1} WHEN 1 THEN '' WHEN 2 THEN '; No' ELSE ' yes.' END"
+_YES = "CASE WHEN starts_with(upper(regexp_replace({0}, '^\\s+', '')), 'YES') THEN true WHEN starts_with(upper(regexp_replace({0}, '^\\s+', '')), 'NO') THEN false ELSE contains(upper({0}), 'YES') AND NOT contains(upper({0}), 'NO') END"
 
 
-@query(f"SELECT event_id, {_YES.format('event_id')} AS yes FROM events")
+@query(f"WITH r AS (SELECT event_id, {_SAID.format('event_id', 'event_type')} AS reply FROM events) SELECT event_id, {_YES.format('reply')} AS yes FROM r")
 def yes_no_parse(spark, sf_dir):
-    return X.table(spark, sf_dir, "events").select("event_id", T.says_yes(_reply(F.col("event_id"))).alias("yes"))
+    return X.table(spark, sf_dir, "events").select("event_id", T.says_yes(_reply(F.col("event_id"), F.col("event_type"))).alias("yes"))
 
 
-@query(f"""WITH v AS (SELECT event_id AS query, {_YES.format('event_id * 5 + i * 3')} AS yes FROM events CROSS JOIN range(3) r(i))
+@query(f"""WITH s AS (SELECT event_id AS query, {_SAID.format('event_id * 5 + i * 3', 'event_type')} AS reply FROM events CROSS JOIN range(3) r(i)), v AS (SELECT query, {_YES.format('reply')} AS yes FROM s)
 SELECT query, count(*) FILTER (yes) AS yes, count(*) FILTER (yes) >= 2 AS confirmed FROM v GROUP BY query""")
 def majority_vote(spark, sf_dir):
-    votes = X.table(spark, sf_dir, "events").select(F.col("event_id").alias("query"), F.posexplode(attribution.temperatures()).alias("i", "temperature"))
-    votes = votes.withColumn("reply", _reply(F.col("query") * 5 + F.col("i") * 3))
+    votes = X.table(spark, sf_dir, "events").select(F.col("event_id").alias("query"), "event_type", F.posexplode(attribution.temperatures()).alias("i", "temperature"))
+    votes = votes.withColumn("reply", _reply(F.col("query") * 5 + F.col("i") * 3, F.col("event_type")))
     return attribution.majority(votes, ("query",)).select("query", "yes", "confirmed")
 
 
@@ -414,7 +422,13 @@ def acceptable_replies(spark, sf_dir):
     return X.chat_analyses(spark, sf_dir).select("doc_id", "turn", quality.acceptable(F.col("response"), F.col("score"), F.col("scoring_reasoning")).alias("acceptable"))
 
 
-@query()
+_AGAIN = X.ANALYSES.replace("analyses AS (", "made_ AS (") + f""", {X.ENTRIES}, analyses AS (SELECT doc_id, turn * 10 + i AS turn, category, response || repeat(' ' || coalesce(definition, ''), i) AS response, scoring_reasoning || repeat(' ' || coalesce(definition, ''), i) AS scoring_reasoning, score
+  FROM (SELECT made_.*, definition FROM made_ LEFT JOIN entries USING (category)) CROSS JOIN range(4) r(i))"""
+_ROUNDS = _ASSESS.replace(f"{X.ANALYSES}, {X.ENTRIES}", _AGAIN)
+
+
+@query(f"""{_ROUNDS}, tried AS (SELECT doc_id, turn // 10 AS turn, turn % 10 AS i, category, composite, round(composite, 9) >= 0.75 AS passed FROM assessed)
+SELECT doc_id, CAST(turn AS INTEGER) AS turn, category, round(composite, 6) AS composite, passed FROM tried QUALIFY row_number() OVER (PARTITION BY doc_id, turn ORDER BY passed DESC, CASE WHEN passed THEN i ELSE -i END) = 1""")
 def remediation_loop(spark, sf_dir):
     """Failed analyses get a longer reply in each round."""
     entries = X.rubric_entries(spark, sf_dir)

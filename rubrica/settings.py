@@ -69,8 +69,11 @@ class Settings:
         """16 hexadecimal digits that name these settings."""
         return hashlib.sha256(json.dumps(asdict(self), sort_keys=True).encode()).hexdigest()[:16]
 
+    def as_json(self) -> str:
+        return json.dumps(asdict(self), indent=2)
+
     def save(self, path: str) -> None:
-        Path(path).write_text(json.dumps(asdict(self), indent=2))
+        Path(path).write_text(self.as_json())
 
     @classmethod
     def load(cls, path: str, **over) -> Settings:

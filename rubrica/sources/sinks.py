@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import country_and_year
@@ -53,11 +53,22 @@ def export_both(spark: SparkSession, folder: str, path: str, countries: list | N
     return export_csv(spark, folder, f"{path}/global_analyses.csv"), export_csv(spark, folder, f"{path}/CW_analyses.csv", COMMONWEALTH if countries is None else countries)
 
 
+def file_name(country: str, year: str, end: str = ".json") -> Column:
+    return F.concat(F.regexp_replace(country, "[ /]", "_"), F.lit("_"), F.replace(year, F.lit("-"), F.lit("_")), F.lit(end))
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small file, through the cluster's own file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    out.write(bytearray(text, "utf-8"))
+    out.close()
+
+
 def as_json(rows: DataFrame, keys: tuple = ("country", "year"), order: str = "ordinal") -> DataFrame:
     """keys, filename, json: each document's analyses as a JSON array in rubric order."""
     got = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.struct(*FIELDS).alias("x")))).alias("all"))
-    name = F.concat(F.regexp_replace(keys[0], "[ /]", "_"), F.lit("_"), F.replace(keys[1], F.lit("-"), F.lit("_")), F.lit(".json"))
-    return got.select(*keys, name.alias("filename"), F.to_json(F.transform("all", lambda a: a["x"]), {"ignoreNullFields": "false", "pretty": "true"}).alias("json"))
+    return got.select(*keys, file_name(*keys).alias("filename"), F.to_json(F.transform("all", lambda a: a["x"]), {"ignoreNullFields": "false", "pretty": "true"}).alias("json"))
 
 
 def write_json(documents: DataFrame, folder: str) -> None:

@@ -153,3 +153,51 @@ def test_command_line(spark, folder, tmp_path, capsys):
     stats = json.loads((tmp_path / "s.json").read_text())
     assert stats["total_plans"] == 2 and len(stats["highest_sections"]) == 3 and list(stats["section_medians"])[0] == stats["highest_sections"][0]["section"]
     assert cli.parser().parse_args(["batch", "--input-dir", "x"]).input_dir == "x"
+
+
+def test_rendered_pages_in_batches():
+    import numpy as np
+
+    sizes, made = [], []
+
+    def read(images):
+        sizes.append(len(images))
+        return [f"{x.shape} {x.max()}" for x in images]
+
+    def missing(content, dpi):
+        raise ImportError("no renderer")
+        yield
+
+    def render(content, dpi):
+        for k in range(len(content)):
+            made.append(k)
+            yield np.zeros((2, 3, 4), np.uint8) if k % 2 else np.full((2, 3), 7, np.uint8)
+
+    found = pages.Rendered(read, batch=2, renderers=(missing, render))(b"abcde")
+    assert sizes == [2, 2, 1] and [x[0] for x in found] == ["(2, 3, 3) 7", "(2, 3, 3) 255"] * 2 + ["(2, 3, 3) 7"]
+    half = pages.rgb(np.array([[[0, 0, 0, 128]]], np.uint8))
+    assert half.shape == (1, 1, 3) and half.max() == half.min() == 127
+    assert pages.Rendered(read, renderers=(missing, render), prepare=lambda x: x[:1])(b"a")[0][0] == "(1, 3, 3) 7"
+    try:
+        pages.Rendered(read, renderers=(missing,))(b"a")
+        raise AssertionError
+    except ImportError:
+        pass
+
+
+def test_quality_report_json(spark):
+    from rubrica.operators import quality
+
+    rows = [("d", 1, "b", 0.123456, 0.5, 1.0, 1.0, 0.65586, False, ["x"]), ("d", 0, "a", 1.0, 1.0, 1.0, 1.0, 1.0, True, [])]
+    df = spark.createDataFrame(rows, "doc_id string, ordinal int, category string, readability double, coherence double, coverage double, compliance double, composite double, passed boolean, issues array<string>")
+    got = json.loads(quality.report_json(df).first().json)
+    assert got["pass_rate"] == 0.5 and got["overall_composite"] == 0.8279 and got["failed_categories"] == ["b"] and got["total_issues"] == 1
+    assert [x["category"] for x in got["scores"]] == ["a", "b"] and got["scores"][1]["readability"] == 0.1235 and got["scores"][1]["schema_compliance"] == 1.0
+
+
+def test_prompts_ask_by_vectors(spark):
+    entries = spark.createDataFrame([(0, "alpha plan", "what alpha is", ["alpha one"], []), (1, "beta plan", "what beta is", [], ["beta zero"])], "ordinal int, category string, definition string, indicators array<string>, scoring_definitions array<string>")
+    docs = spark.createDataFrame([("d", "some text")], "doc_id string, full_text string")
+    for embedder in (None, HashedTerms()):
+        got = {r.category: r.prompt for r in pipeline.prompts(docs, entries, Settings(), embedder).collect()}
+        assert set(got) == {"alpha plan", "beta plan"} and all("some text" in p and "Category: " in p for p in got.values())

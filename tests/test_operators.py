@@ -196,7 +196,7 @@ def test_generation_retries_and_stub(spark):
     df = spark.createDataFrame([(p, p) for p in ("good", "fenced", "broken", "short", "list")], "category string, prompt string")
     got = {r.category: r for r in generation.analyse(df, model, wait=lambda s: None).collect()}
     assert got["good"].score == got["fenced"].score == 4 and got["good"].error is None
-    assert all(got[c].score == 0 and got[c].error and got[c].response == f"Analysis could not be completed for {c} after 3 attempts." for c in ("broken", "short", "list"))
+    assert all(got[c].score == 0 and got[c].error and got[c].response == f"No usable reply on {c} in 3 tries." for c in ("broken", "short", "list"))
     e = generation.embed(spark.createDataFrame([("a b",), (None,)], "text string"), HashedTerms(8)).collect()
     assert len(e[0].vector) == 8 and e[1].vector is None
 

@@ -34,7 +34,7 @@ def test_only_needed_columns_are_read(spark, name):
         "overall_median": {"lineitem": {"l_orderkey", "l_partkey", "l_quantity"}},
         "word_counts": {"documents": {"doc_id", "text"}},
         "entities_basic": {"orders": {"o_orderkey", "o_orderdate"}},
-        "majority_vote": {"events": {"event_id"}},
+        "majority_vote": {"events": {"event_id", "event_type"}},
         "country_year_parse": {"orders": {"o_custkey", "o_orderdate"}},
     }[name]
     for table, columns in want.items():
