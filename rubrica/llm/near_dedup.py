@@ -6,7 +6,8 @@ Equal sets are one node from the start, so copies are never paired. Then:
 1. Inverted lists of retained values generate overlaps. Two documents at the threshold share at least ``least_shared``
    of their retained values (below 1 in 10^8 otherwise; surely for sets smaller than a sketch), so they meet in
    a list even if every node enters only the lists of its k - least_shared + 1 rarest values.
-2. Short lists pair their members. In a long list, all members meet the one whose values are most widely
+2. Short lists pair their members. Nodes that have fewer values of long lists than they share with any partner leave these, for
+   they share a value of a short list too. In a long list, all members meet the one whose values are most widely
    shared, the likely origin of the copies: as many pairs as members.
 3. The sketch of the union estimates the overlap; pairs far below the threshold go.
 4. Jaccard is computed exactly, on full sets, for what is left.
@@ -45,6 +46,8 @@ from .components import components
 K, SHORT, X_BLOCK, Y_BLOCK, CROWD = 48, 32, 1024, 1024, 1024
 #: Times that long lists are split; those of the last split are met as they are. Sets of a list that show which values are usual there; classes of these.
 LEVELS, SAMPLED, USUAL = 5, 64, 4
+#: Members up to which a list of step 5 is met as it is: narrow rows, of which few pairs pass.
+NARROW = 512
 #: Words whose hashes a worker keeps.
 WORDS = 50_000
 #: Rows of two or three short values that may be broadcast.
@@ -143,7 +146,10 @@ def _links(docs: DataFrame, classes: DataFrame, width: int, percent: int, k: int
     mine = mine.join(nodes.select("num", "n", "k", "least"), "num")
     room = F.col("k") - F.col("least") + 1 - (F.col("k") - F.size("common"))  # values that occur once come first
     lists = mine.withColumn("at", F.explode(F.slice("common", F.lit(1), F.greatest(room, F.lit(0)))))
-    lists = staged(lists.select("num", "n", "centre", F.col("at.v").alias("v"), F.col("at.often").alias("often")), "near-lists")
+    # who has fewer values of long lists than a partner shares with it shares one of a short list too, and is found there
+    frequent = F.size(F.filter("common", lambda x: x["often"] > SHORT)) >= F.col("least")
+    lists = lists.select("num", "n", "centre", F.col("at.v").alias("v"), F.col("at.often").alias("often"), frequent.alias("frequent"))
+    lists = staged(lists.filter(f"often <= {SHORT} OR frequent"), "near-lists")
     near = lambda n, m: F.least(n, m) * 100 >= F.greatest(n, m) * percent
     own = F.array_sort(F.collect_list(F.struct("n", "num")))
     short = lists.filter(F.col("often") <= SHORT).groupBy("v").agg(own.alias("all")).filter(F.size("all") > 1)
@@ -262,7 +268,7 @@ def _split(docs: DataFrame, classes: DataFrame, stars: DataFrame, links: DataFra
     whole = [F.col(c) for c in ("p", "y", "n", "component", "out", "centre", "w")]
     posts = staged(rows.select(*whole, F.posexplode("beside").alias("pos", "v")), "near-posts")
     lists = posts.groupBy("p", "v").agg(F.count(F.lit(1)).alias("all"), F.count_if("out").alias("outs"), F.min("component").alias("low"), F.max("component").alias("high")).filter("all > 1 AND outs > 0 AND low <> high")
-    lists = staged(lists.select("p", "v", "all", "outs", ((F.col("all") > SHORT) & F.lit(not last)).alias("again")), "near-sublists")
+    lists = staged(lists.select("p", "v", "all", "outs", ((F.col("all") > NARROW) & F.lit(not last)).alias("again")), "near-sublists")
     long = staged(posts.join(_bounded(lists.filter("again").select("p", "v")), ["p", "v"], "left_semi").select("p", "v", F.col("y").alias("num"), "n", "centre"), "near-long")
     room = F.least(F.col("ln") - F.col("lpos"), F.col("rn") - F.col("rpos"))
     pairs = _across(posts, lists.filter("NOT again"), (100 + percent) * room >= percent * (F.col("ln") + F.col("rn")), percent)

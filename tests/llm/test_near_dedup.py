@@ -67,7 +67,7 @@ def edited(rng, words, share):
     return [w if rng.random() > share else f"x{rng.randrange(10**6)}" for w in words]
 
 
-@pytest.mark.parametrize("how", [{}, {"SHORT": 3, "SAMPLED": 4, "LEVELS": 2}, {"SHORT": 2, "SAMPLED": 1, "LEVELS": 3}])
+@pytest.mark.parametrize("how", [{}, {"SHORT": 3, "SAMPLED": 4, "LEVELS": 2, "NARROW": 4}, {"SHORT": 2, "SAMPLED": 1, "LEVELS": 3, "NARROW": 2}])
 def test_large_groups_and_bridges(spark, monkeypatch, how):
     """Groups far above the length of short lists, with members that only meet each other; small blocks."""
     for name, value in ({"X_BLOCK": 7, "Y_BLOCK": 20, "CROWD": 9} | how).items():
