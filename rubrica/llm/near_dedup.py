@@ -135,8 +135,8 @@ def _meets(n: Column, m: Column, shared: Column, percent: int) -> Column:
     return 100 * shared >= percent * (n + m - shared)
 
 
-def _links(docs: DataFrame, classes: DataFrame, width: int, percent: int, k: int) -> DataFrame:
-    """a, b: pairs of nodes whose sets meet the threshold; all of them, but for pairs within one component."""
+def _grouped(docs: DataFrame, classes: DataFrame, width: int, percent: int, k: int) -> DataFrame:
+    """node, component: of all pairs of nodes whose sets meet the threshold; those within one component need not be found."""
     share = percent / 100
     nodes = classes.select("num", "n", "sketch", F.size("sketch").alias("k"), least_shared(F.col("n"), share, k).alias("least"))
     posts = nodes.select("num", F.explode("sketch").alias("v"))
@@ -155,7 +155,7 @@ def _links(docs: DataFrame, classes: DataFrame, width: int, percent: int, k: int
     short = lists.filter(F.col("often") <= SHORT).groupBy("v").agg(own.alias("all")).filter(F.size("all") > 1)
     short = short.select("all", F.posexplode("all").alias("i", "x")).select("x", F.explode(F.filter(F.slice("all", F.col("i") + 2, SHORT), lambda y: y["n"] * percent <= F.col("x.n") * 100)).alias("y"))
     short = short.select(F.least("x.num", "y.num").alias("a"), F.greatest("x.num", "y.num").alias("b"))
-    pairs, links = short.withColumn("turned", F.lit(False)), None
+    pairs, comp = short.withColumn("turned", F.lit(False)), None
     long = lists.filter(F.col("often") > SHORT).select(F.lit(0).cast("long").alias("p"), "v", "num", "n", "centre")
     for level in range(LEVELS):
         heart = long.groupBy("p", "v").agg(F.max_by(F.struct("num", "n"), F.struct("centre", F.bitwise_not("num"))).alias("c"))
@@ -165,13 +165,18 @@ def _links(docs: DataFrame, classes: DataFrame, width: int, percent: int, k: int
         star = stars.filter((F.col("p") != F.col("y")) & near(F.col("n"), F.col("pn"))).select(F.least("p", "y").alias("a"), F.greatest("p", "y").alias("b"), (F.col("p") > F.col("y")).alias("turned"))
         # turned: b leads; of a centre's pairs, the centre does, so that only the others' sets travel
         pairs = staged(pairs.union(star).groupBy("a", "b").agg(F.bool_or("turned").alias("turned")), "near-pairs")
-        found = _confirmed(_tried(pairs, nodes, share, k), docs, classes, width, percent)
-        links = staged(found if links is None else links.union(found), "near-links")
-        rest = _split(docs, classes, stars, links, width, percent, level == LEVELS - 1)
+        comp = _joined(comp, _confirmed(_tried(pairs, nodes, share, k), docs, classes, width, percent))
+        rest = _split(docs, classes, stars, comp, width, percent, level == LEVELS - 1)
         if rest is None:
-            return links
+            return comp
         pairs, long = rest
-    return staged(links.union(_confirmed(_tried(pairs, nodes, share, k), docs, classes, width, percent)), "near-links")
+    return _joined(comp, _confirmed(_tried(pairs, nodes, share, k), docs, classes, width, percent))
+
+
+def _joined(comp: DataFrame | None, found: DataFrame) -> DataFrame:
+    """The components, given those of all links found before and the links a, b found since."""
+    links = staged(found, "near-links")
+    return staged(components(links if comp is None else comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)), "near-part")
 
 
 def _tried(pairs: DataFrame, nodes: DataFrame, share: float, k: int) -> DataFrame:
@@ -227,7 +232,7 @@ def _usual(rows: DataFrame, docs: DataFrame, classes: DataFrame, width: int) ->
     return staged(counts.groupBy(F.col("lead").alias("num")).agg(*(F.collect_list(F.when(F.col("u") == i, F.col("v"))).alias(f"u{i}") for i in range(USUAL))), "near-usual")
 
 
-def _split(docs: DataFrame, classes: DataFrame, stars: DataFrame, links: DataFrame, width: int, percent: int, last: bool) -> tuple[DataFrame, DataFrame] | None:
+def _split(docs: DataFrame, classes: DataFrame, stars: DataFrame, comp: DataFrame, width: int, percent: int, last: bool) -> tuple[DataFrame, DataFrame] | None:
     """stars: p (centre), pn, y, n, centre. What members of long lists that are not in the centre's component may be linked with:
     pairs (a, b, turned), and long lists that are to get a centre of their own (p, v, num, n, centre); None if there are no such members.
 
@@ -240,7 +245,6 @@ def _split(docs: DataFrame, classes: DataFrame, stars: DataFrame, links: DataFra
     """
     if small(stars, 0):
         return None
-    comp = staged(components(links), "near-part")
     found = lambda c, to: comp.select(F.col("node").alias(c), F.col("component").alias(to))
     all_ = stars.join(found("y", "cy"), "y", "left").join(found("p", "cp"), "p", "left")
     all_ = staged(all_.select("p", "y", "centre", F.coalesce("cy", "y").alias("component"), (F.coalesce("cy", "y") != F.coalesce("cp", "p")).alias("out")), "near-members")
@@ -315,7 +319,7 @@ def _annotated(docs: DataFrame, width: int, percent: int, k: int) -> DataFrame:
     rows = staged(keyed.mapInPandas(lambda it: tidied(_sketches(it, width, k)), "doc_id long, th long, n int, d1 long, d2 long, sketch array<long>"), "near-rows")
     some = rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("rows"), F.first("sketch").alias("sketch"))
     classes, twice = _numbered(staged(some, "near-classes"))
-    comp = staged(components(_links(docs, classes, width, percent, k)), "near-components")
+    comp = _grouped(docs, classes, width, percent, k)
     label = classes.select("d1", "d2", "n", "rows", "node", "num").join(_bounded(comp.select(F.col("node").alias("num"), "component")), "num", "left")
     if twice:  # numbers are not ids then
         label = staged(label, "near-labels")
