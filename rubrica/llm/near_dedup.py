@@ -6,11 +6,12 @@ Equal sets are one node from the start, so copies are never paired. Then:
 1. Inverted lists of retained values generate overlaps. Two documents at the threshold share at least ``least_shared``
    of their retained values (below 1 in 10^8 otherwise; surely for sets smaller than a sketch), so they meet in
    a list even if every node enters only the lists of its k - least_shared + 1 rarest values.
-2. Short lists pair their members. Nodes that have fewer values of long lists than they share with any partner leave these, for
-   they share a value of a short list too. In a long list, all members meet the one whose values are most widely
-   shared, the likely origin of the copies: as many pairs as members.
+2. Nodes that have fewer values of long lists than they share with any partner leave these, for they share a value of a short list
+   too. Lists that are short, or have become so, pair their members, unless sizes or bit maps of the sketches (``MAP`` words, which bound
+   what two sketches share from above) rule a pair out before anything is sent. In a list that is still long, all members
+   meet the one whose values are most widely shared, the likely origin of the copies: as many pairs as members.
 3. The sketch of the union estimates the overlap; pairs far below the threshold go.
-4. Jaccard is computed exactly, on full sets, for what is left.
+4. Jaccard is computed exactly, on full sets, for what is left. Pairs that hang together come to one place, to which each of their sets is sent once.
 5. Where members of a long list are not yet in the component of the list's centre, the list is split anew, by its members' full sets: by
    the rarest values that they have beside what is usual in the list (a sample shows what is, which matters for cost alone), and, for those that are
    close to it, by the usual values that they lack. Pages of one template share what is usual and nothing else, and copies with edits
@@ -48,6 +49,8 @@ K, SHORT, X_BLOCK, Y_BLOCK, CROWD = 48, 32, 1024, 1024, 1024
 LEVELS, SAMPLED, USUAL = 5, 64, 4
 #: Members up to which a list of step 5 is met as it is: narrow rows, of which few pairs pass.
 NARROW = 512
+#: 64-bit words of a sketch's bit map; pairs that are looked at at once.
+MAP, PAIRS = 4, 200_000
 #: Words whose hashes a worker keeps.
 WORDS = 50_000
 #: Rows of two or three short values that may be broadcast.
@@ -55,6 +58,7 @@ BROADCAST_ROWS = 500_000
 MISS = 1e-8
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _S = [np.uint64(x) for x in (30, 27, 31)]
+_MAPS = [f"m{i}" for i in range(MAP)]
 
 
 class _Words(dict):
@@ -106,7 +110,49 @@ def _sketches(batches: Iterator[pd.DataFrame], width: int, k: int) -> Iterator[p
         sets = [shingle_set(t, width) for t in pdf.text]
         both = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
         halves = np.array([[x & (2**64 - 1), x >> 64] for x in both], np.uint64).reshape(-1, 2).view(np.int64)
-        yield pd.DataFrame({"doc_id": pdf.doc_id, "th": pdf.th, "n": [len(s) for s in sets], "d1": halves[:, 0], "d2": halves[:, 1], "sketch": [s[:k] for s in sets]}).astype({"doc_id": "Int64"})
+        sketches = [s[:k] for s in sets]
+        maps = bit_maps(sketches)
+        yield pd.DataFrame({"doc_id": pdf.doc_id, "th": pdf.th, "n": [len(s) for s in sets], "d1": halves[:, 0], "d2": halves[:, 1], "sketch": sketches} | {c: maps[:, i] for i, c in enumerate(_MAPS)}).astype({"doc_id": "Int64"})
+
+
+def bit_maps(sketches: list[np.ndarray]) -> np.ndarray:
+    """MAP words for each sketch, in which each value turns one bit: where two maps differ in d bits, the sketches differ in d values at least."""
+    wide = 64 * MAP
+    row = np.repeat(np.arange(len(sketches)), [len(s) for s in sketches])
+    at = np.concatenate([*sketches, np.zeros(0, np.int64)]) & (wide - 1)
+    odd = (np.bincount(row * wide + at, minlength=len(sketches) * wide) & 1).astype(np.uint8).reshape(-1, wide)
+    return np.packbits(odd, axis=1, bitorder="little").view(np.int64)
+
+
+def _possible(batches: Iterator, percent: int, k: int) -> Iterator:
+    """batches: lists of members (num, n, least, maps). a, b: pairs of a list that sizes and bit maps do not rule out."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        flat, many = batch.column(0).flatten(), pc.list_value_length(batch.column(0)).to_numpy(zero_copy_only=False)
+        x = {f.name: flat.field(i).to_numpy(zero_copy_only=False) for i, f in enumerate(flat.type)}
+        own = np.arange(len(flat))
+        after = np.repeat(np.cumsum(many), many) - own - 1  # members of the list behind this one
+        done = np.concatenate([[0], np.cumsum(after)])
+        i = 0
+        while i < len(own):
+            j = max(i + 1, int(np.searchsorted(done, done[i] + PAIRS, "right")) - 1)
+            left = np.repeat(own[i:j], after[i:j])
+            right = left + 1 + np.arange(len(left)) - np.repeat(done[i:j] - done[i], after[i:j])
+            i = j
+            n, m = x["n"][left].astype(np.int64), x["n"][right].astype(np.int64)
+            fits = np.minimum(n, m) * 100 >= np.maximum(n, m) * percent
+            left, right, n, m = left[fits], right[fits], n[fits], m[fits]
+            differ = sum(np.bitwise_count((x[c][left] ^ x[c][right]).view(np.uint64)).astype(np.int64) for c in _MAPS)  # of signed numbers it counts the absolute value's
+            fits = np.minimum(n, k) + np.minimum(m, k) - differ >= 2 * np.minimum(x["least"][left], x["least"][right])
+            a, b = x["num"][left[fits]], x["num"][right[fits]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def _paired(groups: DataFrame, percent: int, k: int) -> DataFrame:
+    """groups: an array of members as ``_possible`` takes them. a, b."""
+    return groups.mapInArrow(lambda it: tidied(_possible(it, percent, k)), "a long, b long")
 
 
 def _bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -138,25 +184,27 @@ def _meets(n: Column, m: Column, shared: Column, percent: int) -> Column:
 def _grouped(docs: DataFrame, classes: DataFrame, width: int, percent: int, k: int) -> DataFrame:
     """node, component: of all pairs of nodes whose sets meet the threshold; those within one component need not be found."""
     share = percent / 100
-    nodes = classes.select("num", "n", "sketch", F.size("sketch").alias("k"), least_shared(F.col("n"), share, k).alias("least"))
+    nodes = classes.select("num", "n", "sketch", F.size("sketch").alias("k"), least_shared(F.col("n"), share, k).alias("least"), *_MAPS)
     posts = nodes.select("num", F.explode("sketch").alias("v"))
     often = staged(posts.groupBy("v").agg(F.count(F.lit(1)).alias("often")).filter("often > 1"), "near-often")
     # never broadcast by hand: it grows with the corpus, and the join should cost alike at every size
     mine = posts.join(often, "v").groupBy("num").agg(F.array_sort(F.collect_list(F.struct("often", "v"))).alias("common"), F.sum(F.log("often")).alias("centre"))
-    mine = mine.join(nodes.select("num", "n", "k", "least"), "num")
+    mine = mine.join(nodes.drop("sketch"), "num")
     room = F.col("k") - F.col("least") + 1 - (F.col("k") - F.size("common"))  # values that occur once come first
     lists = mine.withColumn("at", F.explode(F.slice("common", F.lit(1), F.greatest(room, F.lit(0)))))
     # who has fewer values of long lists than a partner shares with it shares one of a short list too, and is found there
     frequent = F.size(F.filter("common", lambda x: x["often"] > SHORT)) >= F.col("least")
-    lists = lists.select("num", "n", "centre", F.col("at.v").alias("v"), F.col("at.often").alias("often"), frequent.alias("frequent"))
+    member = ["num", "n", "least", *_MAPS]
+    lists = lists.select(*member, "centre", F.col("at.v").alias("v"), F.col("at.often").alias("often"), frequent.alias("frequent"))
     lists = staged(lists.filter(f"often <= {SHORT} OR frequent"), "near-lists")
     near = lambda n, m: F.least(n, m) * 100 >= F.greatest(n, m) * percent
-    own = F.array_sort(F.collect_list(F.struct("n", "num")))
-    short = lists.filter(F.col("often") <= SHORT).groupBy("v").agg(own.alias("all")).filter(F.size("all") > 1)
-    short = short.select("all", F.posexplode("all").alias("i", "x")).select("x", F.explode(F.filter(F.slice("all", F.col("i") + 2, SHORT), lambda y: y["n"] * percent <= F.col("x.n") * 100)).alias("y"))
-    short = short.select(F.least("x.num", "y.num").alias("a"), F.greatest("x.num", "y.num").alias("b"))
-    pairs, comp = short.withColumn("turned", F.lit(False)), None
-    long = lists.filter(F.col("often") > SHORT).select(F.lit(0).cast("long").alias("p"), "v", "num", "n", "centre")
+    long = lists.filter(F.col("often") > SHORT)
+    left = staged(long.groupBy("v").agg(F.count(F.lit(1)).alias("left")).filter("left > 1"), "near-left")
+    short = lists.filter(F.col("often") <= SHORT).select("v", *member)
+    short = short.union(long.select("v", *member).join(_bounded(left.filter(F.col("left") <= SHORT).select("v")), "v", "left_semi"))
+    short = short.groupBy("v").agg(F.collect_list(F.struct(*member)).alias("all")).filter(F.size("all") > 1).select("all")
+    pairs, comp = _paired(short, percent, k).withColumn("turned", F.lit(False)), None
+    long = long.join(_bounded(left.filter(F.col("left") > SHORT).select("v")), "v", "left_semi").select(F.lit(0).cast("long").alias("p"), "v", "num", "n", "centre")
     for level in range(LEVELS):
         heart = long.groupBy("p", "v").agg(F.max_by(F.struct("num", "n"), F.struct("centre", F.bitwise_not("num"))).alias("c"))
         heart = staged(heart, "near-hearts")
@@ -180,17 +228,18 @@ def _joined(comp: DataFrame | None, found: DataFrame) -> DataFrame:
 
 
 def _tried(pairs: DataFrame, nodes: DataFrame, share: float, k: int) -> DataFrame:
-    """pairs: a, b, turned (b leads). lead, other: those that the sketch of the union does not rule out."""
+    """pairs: a, b, turned (b leads). lead, other, n_lead, n_other: those that the sketch of the union does not rule out."""
     ends = staged(pairs.select(F.col("a").alias("num")).union(pairs.select("b")).distinct(), "near-ends")
     nodes = nodes.join(_bounded(ends), "num", "left_semi")
-    side = lambda c: nodes.select(F.col("num").alias(c), F.col("sketch").alias(f"s{c}"), F.col("least").alias(f"l{c}"))
+    side = lambda c: nodes.select(F.col("num").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"), F.col("least").alias(f"l{c}"))
     pairs = pairs.join(side("a"), "a").join(side("b"), "b")
     # the sketch of the union: the k least of both sketches, and how many of them are in both
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
     both = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
     enough = F.least("la", "lb", F.ceil(F.size(union) * share - 1e-9))
-    turned = F.col("turned")
-    return staged(pairs.filter(both >= enough).select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("lead"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("other")), "near-tried")
+    first = lambda x, y: F.when(F.col("turned"), F.col(y)).otherwise(F.col(x))
+    pairs = pairs.filter(both >= enough).select(first("a", "b").alias("lead"), first("b", "a").alias("other"), first("na", "nb").alias("n_lead"), first("nb", "na").alias("n_other"))
+    return staged(pairs, "near-tried")
 
 
 def _sets(ids: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
@@ -212,11 +261,57 @@ def _met(pairs: DataFrame, leads, docs: DataFrame, classes: DataFrame, width: in
     return others.withColumns({"at": cut[0], "note": cut[1]}).join(leading.withColumn("at", F.explode("to")).drop("to"), "at")
 
 
+def _checked(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
+    """batches: num, n, full, place, partners (ids), places one after the other. a, b: the pairs that meet the threshold."""
+    take_over("near-dedup", _words.clear)
+    at, full, asked = None, {}, []
+
+    def links() -> Iterator[tuple[int, int]]:
+        for num, partners in asked:
+            x = full[num]
+            for other in map(int, partners.split(",")):
+                y = full[other]
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * shared >= percent * (len(x) + len(y) - shared):
+                    yield num, other
+
+    for pdf in batches:
+        found = []
+        for num, own, place, partners in zip(pdf.num, pdf.full, pdf.place, pdf.partners):
+            if place != at:
+                found += links()
+                at, full, asked = place, {}, []
+            full[num] = np.array(own)  # a copy: a view would keep its whole batch
+            if partners:
+                asked.append((num, partners))
+        yield pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+    yield pd.DataFrame(list(links()), columns=["a", "b"], dtype=np.int64)
+
+
 def _confirmed(tried: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """a, b: the pairs whose full sets meet the threshold."""
+    """a, b: the pairs whose full sets meet the threshold.
+
+    A pair's place is the least node that one of its two is paired with: one for all pairs of a group of copies, or of a centre. Sets are sent once to
+    each of their places; those of a place stay in memory together, so pairs of a place with too many sets, or too large ones, go by their leading sets.
+    """
+    ends = lambda *more: tried.select(F.col("lead").alias("x"), F.col("other").alias("y"), *more).union(tried.select("other", "lead", *more))
+    least = staged(ends().groupBy("x").agg(F.least("x", F.min("y")).alias("its")), "near-least")
+    to = lambda c, its: _bounded(least.select(F.col("x").alias(c), F.col("its").alias(its)))
+    placed = staged(tried.join(to("lead", "p"), "lead").join(to("other", "q"), "other").select("lead", "other", "n_lead", "n_other", F.least("p", "q").alias("place")), "near-placed")
+    each = placed.select("place", F.col("lead").alias("num"), F.col("n_lead").alias("n"), F.col("other").alias("partner")).union(placed.select("place", "other", "n_other", F.lit(None).cast("long")))
+    each = staged(each.groupBy("place", "num").agg(F.first("n").alias("n"), F.concat_ws(",", F.collect_list(F.col("partner").cast("string"))).alias("partners")), "near-each")
+    crowded = staged(each.groupBy("place").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("values")).filter((F.col("sets") > CROWD) | (F.col("values") > CROWD * 512)).select("place"), "near-crowded")
+    none = small(crowded, 0)
+    own = each if none else each.join(_bounded(crowded), "place", "left_anti")
+    own = own.groupBy("num").agg(F.collect_list(F.concat_ws("|", "place", "partners")).alias("to"))
+    sets, cut = _sets(staged(own, "near-others"), docs, classes, width).withColumn("to", F.explode("to")), F.split("to", r"\|")
+    sets = sets.select("num", "full", cut[0].cast("long").alias("place"), cut[1].alias("partners")).repartition("place").sortWithinPartitions("place")
+    found = sets.mapInPandas(lambda it: tidied(_checked(it, percent)), "a long, b long")
+    if none:
+        return found
     leads = lambda ids: _sets(ids, docs, classes, width).select(F.col("num").alias("a"), F.col("n").alias("na"), F.col("full").alias("fa"), "to")
-    met = _met(tried.withColumn("note", F.lit("")), leads, docs, classes, width)
-    return met.filter(_meets(F.col("na"), F.col("nb"), F.size(F.array_intersect("fa", "fb")), percent)).select("a", "b").distinct()
+    met = _met(placed.join(_bounded(crowded), "place", "left_semi").select("lead", "other", F.lit("").alias("note")), leads, docs, classes, width)
+    return found.union(met.filter(_meets(F.col("na"), F.col("nb"), F.size(F.array_intersect("fa", "fb")), percent)).select("a", "b").distinct())
 
 
 def _usual(rows: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
@@ -316,8 +411,8 @@ def _annotated(docs: DataFrame, width: int, percent: int, k: int) -> DataFrame:
     """docs: doc_id, text. One row per document: doc_id, th (hash of the text), n, component, kept."""
     ship(docs.sparkSession)
     keyed = docs.withColumn("th", F.xxhash64("text"))
-    rows = staged(keyed.mapInPandas(lambda it: tidied(_sketches(it, width, k)), "doc_id long, th long, n int, d1 long, d2 long, sketch array<long>"), "near-rows")
-    some = rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("rows"), F.first("sketch").alias("sketch"))
+    rows = staged(keyed.mapInPandas(lambda it: tidied(_sketches(it, width, k)), "doc_id long, th long, n int, d1 long, d2 long, sketch array<long>, " + ", ".join(f"{c} long" for c in _MAPS)), "near-rows")
+    some = rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("rows"), *(F.first(c).alias(c) for c in ("sketch", *_MAPS)))
     classes, twice = _numbered(staged(some, "near-classes"))
     comp = _grouped(docs, classes, width, percent, k)
     label = classes.select("d1", "d2", "n", "rows", "node", "num").join(_bounded(comp.select(F.col("node").alias("num"), "component")), "num", "left")

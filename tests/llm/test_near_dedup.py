@@ -135,6 +135,53 @@ def test_edits_of_one_base_cost_few_candidates(spark, monkeypatch):
     assert sum(tried) < 25 * n
 
 
+def test_bit_maps_keep_every_pair_that_shares_enough():
+    """Sketches that share many values, few, and none; of chunks of any size, no pair that shares enough goes, and few others stay."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng, k, least = np.random.default_rng(6), near_dedup.K, 22
+    sketches = []
+    for _ in range(60):
+        base = rng.integers(-(2**63), 2**63 - 1, k)
+        for changed in (0, 1, 10, 24, 28, 40):
+            sketches.append(np.unique(np.concatenate([base[changed:], rng.integers(-(2**63), 2**63 - 1, changed)])))
+    maps = near_dedup.bit_maps(sketches)
+    members = [{"num": i, "n": 400, "least": least} | {c: int(maps[i, j]) for j, c in enumerate(near_dedup._MAPS)} for i in range(len(sketches))]
+    kind = pa.list_(pa.struct([("num", pa.int64()), ("n", pa.int32()), ("least", pa.int32()), *((c, pa.int64()) for c in near_dedup._MAPS)]))
+    batch = pa.RecordBatch.from_arrays([pa.array([members[:1], members, members[5:7]], kind)], ["all"])
+    found = [{pair for out in near_dedup._possible([batch], 80, k) for pair in zip(*(c.to_pylist() for c in out.columns))}]
+    near_dedup.PAIRS, whole = 50, near_dedup.PAIRS
+    found.append({pair for out in near_dedup._possible([batch], 80, k) for pair in zip(*(c.to_pylist() for c in out.columns))})
+    near_dedup.PAIRS = whole
+    want = {(i, j) for j in range(len(sketches)) for i in range(j) if len(np.intersect1d(sketches[i], sketches[j])) >= least}
+    assert found[0] == found[1] and want <= found[0] and len(found[0]) < len(want) + 0.01 * len(sketches) ** 2
+
+
+def test_sets_of_groups_are_sent_once(spark, monkeypatch):
+    """Each set goes to a place once, not once for each of its pairs."""
+    rng, sent = random.Random(11), []
+    real = near_dedup._sets
+
+    def counted(ids, *how):
+        sent.append(sum(len(r["to"]) for r in ids.collect()))
+        return real(ids, *how)
+
+    monkeypatch.setattr(near_dedup, "_sets", counted)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(6))
+    common, texts = [word() for _ in range(90)], []
+    for g in range(12):
+        own = common + [word() for _ in range(60)]
+        for _ in range(20):
+            copy = list(own)
+            copy[rng.randrange(90, 150)] = word()
+            texts.append((len(texts), " ".join(copy)))
+    rng.shuffle(texts)
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    assert have(near_dedup.annotate(df, width=2)) == by_definition(texts, 2)
+    assert sum(sent) < 4 * len(texts)
+
+
 def test_empty(spark):
     assert got(near_dedup.annotate(empty(spark))) == [] == got(near_dedup.deduplicate(empty(spark)))
 
