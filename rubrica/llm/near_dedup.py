@@ -12,7 +12,8 @@ Equal sets are one node from the start, so copies are never paired. Then:
    meet the one whose values are most widely shared, the likely origin of the copies: as many pairs as members.
 3. The sketch of the union estimates the overlap; pairs far below the threshold go.
 4. Jaccard is computed exactly, on full sets, for what is left. Pairs that hang together come to one place, to which each of their sets is sent once.
-5. Where members of a long list are not yet in the component of the list's centre, the list is split anew, by its members' full sets: by
+5. Where members of a long list are not yet in the component of the list's centre, pairs across components go through sizes and bit maps as
+   in step 2, if the centre has at most ``NARROW`` members. If it has more, the list is split anew, by its members' full sets: by
    the rarest values that they have beside what is usual in the list (a sample shows what is, which matters for cost alone), and, for those that are
    close to it, by the usual values that they lack. Pages of one template share what is usual and nothing else, and copies with edits
    at different places do not lack the same. A list that is long again gets a centre of its own, and so on. Of the other lists, pairs
@@ -125,7 +126,8 @@ def bit_maps(sketches: list[np.ndarray]) -> np.ndarray:
 
 
 def _possible(batches: Iterator, percent: int, k: int) -> Iterator:
-    """batches: lists of members (num, n, least, maps). a, b: pairs of a list that sizes and bit maps do not rule out."""
+    """batches: lists of members (num, n, least, maps; where there are components, component and out). a, b: pairs of a list, across components one of
+    which is out, that sizes and bit maps do not rule out."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
@@ -143,6 +145,8 @@ def _possible(batches: Iterator, percent: int, k: int) -> Iterator:
             i = j
             n, m = x["n"][left].astype(np.int64), x["n"][right].astype(np.int64)
             fits = np.minimum(n, m) * 100 >= np.maximum(n, m) * percent
+            if "component" in x:
+                fits &= (x["component"][left] != x["component"][right]) & (x["out"][left] | x["out"][right])
             left, right, n, m = left[fits], right[fits], n[fits], m[fits]
             differ = sum(np.bitwise_count((x[c][left] ^ x[c][right]).view(np.uint64)).astype(np.int64) for c in _MAPS)  # of signed numbers it counts the absolute value's
             fits = np.minimum(n, k) + np.minimum(m, k) - differ >= 2 * np.minimum(x["least"][left], x["least"][right])
@@ -214,10 +218,12 @@ def _grouped(docs: DataFrame, classes: DataFrame, width: int, percent: int, k: i
         # turned: b leads; of a centre's pairs, the centre does, so that only the others' sets travel
         pairs = staged(pairs.union(star).groupBy("a", "b").agg(F.bool_or("turned").alias("turned")), "near-pairs")
         comp = _joined(comp, _confirmed(_tried(pairs, nodes, share, k), docs, classes, width, percent))
-        rest = _split(docs, classes, stars, comp, width, percent, level == LEVELS - 1)
+        rest = _split(docs, classes, nodes, stars, comp, width, percent, k, level == LEVELS - 1)
         if rest is None:
             return comp
         pairs, long = rest
+        if long is None:
+            break
     return _joined(comp, _confirmed(_tried(pairs, nodes, share, k), docs, classes, width, percent))
 
 
@@ -327,9 +333,11 @@ def _usual(rows: DataFrame, docs: DataFrame, classes: DataFrame, width: int) ->
     return staged(counts.groupBy(F.col("lead").alias("num")).agg(*(F.collect_list(F.when(F.col("u") == i, F.col("v"))).alias(f"u{i}") for i in range(USUAL))), "near-usual")
 
 
-def _split(docs: DataFrame, classes: DataFrame, stars: DataFrame, comp: DataFrame, width: int, percent: int, last: bool) -> tuple[DataFrame, DataFrame] | None:
+def _split(docs: DataFrame, classes: DataFrame, nodes: DataFrame, stars: DataFrame, comp: DataFrame, width: int, percent: int, k: int, last: bool) -> tuple[DataFrame, DataFrame | None] | None:
     """stars: p (centre), pn, y, n, centre. What members of long lists that are not in the centre's component may be linked with:
-    pairs (a, b, turned), and long lists that are to get a centre of their own (p, v, num, n, centre); None if there are no such members.
+    pairs (a, b, turned), and long lists that are to get a centre of their own (p, v, num, n, centre), or None without any; None if there are no such members.
+
+    Members of centres that have few meet by their bit maps. Of the others:
 
     What half of a list has, by a sample, is its reference R; a set x has u values beside R and lacks m values of R. Two sets at the threshold
     (of distance |x + y| - 2|x & y| at most c(|x| + |y|)) then either share a value beside R. All values are put in one order, rare
@@ -343,10 +351,19 @@ def _split(docs: DataFrame, classes: DataFrame, stars: DataFrame, comp: DataFram
     found = lambda c, to: comp.select(F.col("node").alias(c), F.col("component").alias(to))
     all_ = stars.join(found("y", "cy"), "y", "left").join(found("p", "cp"), "p", "left")
     all_ = staged(all_.select("p", "y", "centre", F.coalesce("cy", "y").alias("component"), (F.coalesce("cy", "y") != F.coalesce("cp", "p")).alias("out")), "near-members")
-    open_ = staged(all_.filter("out").select("p").distinct(), "near-open")
+    open_ = all_.groupBy("p").agg(F.count(F.lit(1)).alias("all"), F.count_if("out").alias("outs")).filter("outs > 0")
+    open_ = staged(open_.select("p", (F.col("all") <= NARROW).alias("narrow")), "near-open")
     if small(open_, 0):
         return None
-    rows = all_.join(_bounded(open_), "p", "left_semi").select(F.col("p").alias("lead"), F.col("y").alias("other"), F.concat_ws(",", "component", F.col("out").cast("int"), "centre").alias("note"))
+    narrow = all_.join(_bounded(open_.filter("narrow").select("p")), "p", "left_semi").select("p", F.col("y").alias("num"), "component", "out")
+    narrow = nodes.select("num", "n", "least", *_MAPS).join(_bounded(staged(narrow, "near-narrow")), "num")
+    narrow = _paired(narrow.groupBy("p").agg(F.collect_list(F.struct("num", "n", "least", *_MAPS, "component", "out")).alias("all")).select("all"), percent, k)
+    narrow = narrow.distinct().withColumn("turned", F.lit(False))
+    wide = open_.filter("NOT narrow").select("p")
+    if small(wide, 0):
+        narrow = staged(narrow, "near-late")
+        return None if small(narrow, 0) else (narrow, None)
+    rows = all_.join(_bounded(wide), "p", "left_semi").select(F.col("p").alias("lead"), F.col("y").alias("other"), F.concat_ws(",", "component", F.col("out").cast("int"), "centre").alias("note"))
     usual = _usual(rows, docs, classes, width)
     met = _met(rows, lambda ids: ids.join(_bounded(usual), "num", "left"), docs, classes, width)
     first = F.col("nb") - F.ceil(F.col("nb") * percent / 100 - 1e-9).cast("int") + 1
@@ -382,7 +399,7 @@ def _split(docs: DataFrame, classes: DataFrame, stars: DataFrame, comp: DataFram
     room = F.least(F.col("lm") - F.col("lpos"), F.col("rm") - F.col("rpos"))
     alike = (room * step >= F.col("lw") + F.col("rw")) & (F.col("lw") + F.col("rw") > 0)
     pairs = pairs.union(_across(posts, staged(lists.select("p", "v", "all", "outs"), "near-sublists"), alike, percent)).distinct().withColumn("turned", F.lit(False))
-    pairs = staged(pairs.union(close), "near-late")
+    pairs = staged(pairs.union(close).union(narrow), "near-late")
     return None if small(pairs, 0) and small(long, 0) else (pairs, long)
 
 

@@ -158,8 +158,8 @@ def test_bit_maps_keep_every_pair_that_shares_enough():
     assert found[0] == found[1] and want <= found[0] and len(found[0]) < len(want) + 0.01 * len(sketches) ** 2
 
 
-def test_sets_of_groups_are_sent_once(spark, monkeypatch):
-    """Each set goes to a place once, not once for each of its pairs."""
+def test_groups_on_one_boilerplate_send_no_set_per_list(spark, monkeypatch):
+    """Small groups that share boilerplate: no list of their values by position, and each set goes to a place once, not once for each of its pairs."""
     rng, sent = random.Random(11), []
     real = near_dedup._sets
 
@@ -168,6 +168,7 @@ def test_sets_of_groups_are_sent_once(spark, monkeypatch):
         return real(ids, *how)
 
     monkeypatch.setattr(near_dedup, "_sets", counted)
+    monkeypatch.setattr(near_dedup, "_usual", lambda *how: pytest.fail("lists of this size are not split by full sets"))
     word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(6))
     common, texts = [word() for _ in range(90)], []
     for g in range(12):
