@@ -13,7 +13,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..common import release, shared_dir, small, staged, staged_so_far  # noqa: F401  operators take them from here
+from ..common import bucketed, release, shared_dir, small, staged, staged_so_far  # noqa: F401  operators take them from here
 
 #: The white space of all word contracts: space and \t \n \v \f \r.
 SPACE = " \t\n\x0b\x0c\r"

@@ -92,6 +92,43 @@ def test_removals_rest_on_bytes(spark, monkeypatch):
     assert gone and all(raws[x.ord][x.item >> 31 :][: x.item & (2**31 - 1)] in raws[3] + b"|" + raws[4] for x in gone) and {x.ord for x in gone} <= {100, 101}
 
 
+def test_neighbouring_strings_are_one_passage(monkeypatch):
+    """Strings at one distance from what they repeat are chained, gaps and other distances keep them apart, and cuts are at places of the first document."""
+    monkeypatch.setattr(suffix_dedup, "PIECE", 64)
+    strings = [(10, 30, 1, 110), (40, 30, 1, 140), (65, 20, 1, 165), (90, 5, 1, 190), (95, 9, 1, 500), (104, 4, 2, 204)]  # lo, windows, first document, its lo
+    flat = np.array([(suffix_dedup._alike(np.int64(lo), np.int64(n)), h, 0, hlo) for lo, n, h, hlo in strings[::-1]]).ravel()
+    pdf = __import__("pandas").DataFrame({"ord": [5, 6], "th": [0, 0], "strings": [flat, flat[:0]]})
+    found = {tuple(r) for out in suffix_dedup._chained(iter([pdf]), 100) for r in out.itertuples(index=False)}
+    windows = [(10, 18, 1, 110), (28, 57, 1, 128), (90, 2, 1, 190), (92, 3, 1, 192), (95, 9, 1, 500), (104, 4, 2, 204)]
+    assert found == {(5, 0, lo, n + 99, h, 0, hlo) for lo, n, h, hlo in windows}
+
+
+def test_passages_and_texts_are_sent_once(spark, monkeypatch):
+    """Of long passages whole pieces are asked for, not a string for every anchor; verdicts meet texts without a shuffle of texts."""
+    real, rows_of = suffix_dedup.staged, {}
+    monkeypatch.setattr(suffix_dedup, "BROADCAST_DOCS", 0)
+
+    def counted(df, name):
+        out = real(df, name)
+        rows_of[name] = out.count()
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "staged", counted)
+    rng = random.Random(12)
+    words = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passages = [words(6000) for _ in range(4)]
+    texts = [(i, words(rng.randrange(200)) + passages[i % 4][rng.randrange(300) :] + words(rng.randrange(200))) for i in range(24)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        end = suffix_dedup.removed(spark.createDataFrame(texts, "doc_id long, text string").repartition(6))
+        plan = end._jdf.queryExecution().executedPlan().toString()
+        assert have(end) == by_definition(texts)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert 20 <= rows_of["suffix-passages"] < 24 * 12
+    assert "SortMergeJoin" in plan and "Bucketed: true" in plan and plan.count("Exchange") == 1, plan  # of the items
+
+
 def test_loser_tree_and_front_coding():
     rng = np.random.default_rng(0)
     for n_runs in (1, 2, 3, 7, 16):
