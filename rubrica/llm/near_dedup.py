@@ -181,10 +181,6 @@ def sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     return rows.select("num", "d1", "text", "to").mapInPandas(lambda it: tidied(full(it)), "num long, n int, full array<long>, to array<string>")
 
 
-def _meets(n: Column, m: Column, shared: Column, percent: int) -> Column:
-    return 100 * shared >= percent * (n + m - shared)
-
-
 def _grouped(docs: DataFrame, classes: DataFrame, width: int, percent: int, k: int) -> DataFrame:
     """node, component: of all pairs of nodes whose sets meet the threshold; those within one component need not be found."""
     share = percent / 100
@@ -298,26 +294,29 @@ def _confirmed(tried: DataFrame, docs: DataFrame, classes: DataFrame, width: int
     """a, b: the pairs whose full sets meet the threshold.
 
     A pair's place is the least node that one of its two is paired with: one for all pairs of a group of copies, or of a centre. Sets are sent once to
-    each of their places; those of a place stay in memory together, so pairs of a place with too many sets, or too large ones, go by their leading sets.
+    each of their places; those of a place stay in memory together, so pairs of a place with too many sets, or too large ones, go to places of their leading sets.
     """
-    ends = lambda *more: tried.select(F.col("lead").alias("x"), F.col("other").alias("y"), *more).union(tried.select("other", "lead", *more))
-    least = staged(ends().groupBy("x").agg(F.least("x", F.min("y")).alias("its")), "near-least")
-    to = lambda c, its: _bounded(least.select(F.col("x").alias(c), F.col("its").alias(its)))
-    placed = staged(tried.join(to("lead", "p"), "lead").join(to("other", "q"), "other").select("lead", "other", "n_lead", "n_other", F.least("p", "q").alias("place")), "near-placed")
-    each = placed.select("place", F.col("lead").alias("num"), F.col("n_lead").alias("n"), F.col("other").alias("partner")).union(placed.select("place", "other", "n_other", F.lit(None).cast("long")))
-    each = staged(each.groupBy("place", "num").agg(F.first("n").alias("n"), F.concat_ws(",", F.collect_list(F.col("partner").cast("string"))).alias("partners")), "near-each")
-    crowded = staged(each.groupBy("place").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("values")).filter((F.col("sets") > CROWD) | (F.col("values") > CROWD * 512)).select("place"), "near-crowded")
-    none = small(crowded, 0)
-    own = each if none else each.join(_bounded(crowded), "place", "left_anti")
-    own = own.groupBy("num").agg(F.collect_list(F.concat_ws("|", "place", "partners")).alias("to"))
-    sets, cut = _sets(staged(own, "near-others"), docs, classes, width).withColumn("to", F.explode("to")), F.split("to", r"\|")
-    sets = sets.select("num", "full", cut[0].cast("long").alias("place"), cut[1].alias("partners")).repartition("place").sortWithinPartitions("place")
-    found = sets.mapInPandas(lambda it: tidied(_checked(it, percent)), "a long, b long")
-    if none:
-        return found
-    leads = lambda ids: _sets(ids, docs, classes, width).select(F.col("num").alias("a"), F.col("n").alias("na"), F.col("full").alias("fa"), "to")
-    met = _met(placed.join(_bounded(crowded), "place", "left_semi").select("lead", "other", F.lit("").alias("note")), leads, docs, classes, width)
-    return found.union(met.filter(_meets(F.col("na"), F.col("nb"), F.size(F.array_intersect("fa", "fb")), percent)).select("a", "b").distinct())
+    ends = tried.select(F.col("lead").alias("x"), F.col("other").alias("y")).union(tried.select("other", "lead"))
+    least = _bounded(staged(ends.groupBy("x").agg(F.least("x", F.min("y")).alias("its")), "near-least"))
+    to = lambda c, its: least.select(F.col("x").alias(c), F.col("its").alias(its))
+    placed = staged(tried.join(to("lead", "p"), "lead").join(to("other", "q"), "other").select("lead", "other", "n_lead", "n_other", F.least("p", "q").cast("string").alias("place")), "near-placed")
+
+    def sets_at(placed: DataFrame) -> DataFrame:
+        own = placed.select("place", F.col("lead").alias("num"), F.col("n_lead").alias("n"), F.col("other").alias("partner")).union(placed.select("place", "other", "n_other", F.lit(None).cast("long")))
+        return staged(own.groupBy("place", "num").agg(F.first("n").alias("n"), F.concat_ws(",", F.collect_list(F.col("partner").cast("string"))).alias("partners")), "near-each")
+
+    room = lambda n: F.greatest(F.ceil(F.count(F.lit(1)) / CROWD), F.ceil(F.sum(n) / (CROWD * 512))).cast("int")
+    each = sets_at(placed)
+    crowded = staged(each.groupBy("place").agg(room("n").alias("places")).filter("places > 1").select("place", F.lit(True).alias("crowded")), "near-crowded")
+    if not small(crowded, 0):
+        apart = staged(placed.join(_bounded(crowded), "place", "left"), "near-placed")
+        leads = _bounded(staged(apart.filter("crowded").groupBy("lead").agg(room("n_other").alias("places")), "near-leads"))
+        own = F.concat_ws(":", "lead", F.pmod(F.xxhash64("other"), "places"))
+        each = sets_at(apart.join(leads, "lead", "left").withColumn("place", F.when(F.col("crowded"), own).otherwise(F.col("place"))))
+    ids = staged(each.groupBy("num").agg(F.collect_list(F.concat_ws("|", "place", "partners")).alias("to")), "near-others")
+    sets, cut = _sets(ids, docs, classes, width).withColumn("to", F.explode("to")), F.split("to", r"\|")
+    sets = sets.select("num", "full", cut[0].alias("place"), cut[1].alias("partners")).repartition("place").sortWithinPartitions("place")
+    return sets.mapInPandas(lambda it: tidied(_checked(it, percent)), "a long, b long")
 
 
 def _usual(rows: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
