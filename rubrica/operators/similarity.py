@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from math import ceil
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from ..functions import text as T
 
 #: Rows of a matrix.
 BLOCK = 1024
+#: Numbers of one side that meet in a task at most, parts of the right and the left side below that, rows and columns of a product.
+NUMBERS, RIGHT_PARTS, LEFT_PARTS, ROWS, COLUMNS = 1 << 23, 6, 8, 256, 2048
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
@@ -36,11 +40,92 @@ def _met(left: DataFrame, right: DataFrame, group: tuple, of: Callable, schema:
     return a.groupBy(*group, "bl", "br").cogroup(b.groupBy(*group, "bl", "br")).applyInPandas(lambda x, y: of(x, y), schema)
 
 
+def _grid(left: DataFrame, right: DataFrame, of: Callable, schema: str) -> DataFrame:
+    """of(left rows, right rows), two Arrow tables, gives batches for every pair of parts of two whole sides.
+
+    The number of parts does not grow with the rows until a part has NUMBERS, so neither does the number of times a row
+    is sent. Rows are dealt by their place in a staged table: equal ones go apart, and a task that is repeated gets the same ones.
+    Rows of null vectors take no part.
+    """
+    left, right = (staged(df.filter("vector IS NOT NULL"), "side") for df in (left, right))
+    n, m = left.count(), right.count()
+    if not n or not m:
+        return left.sparkSession.createDataFrame([], schema)
+    most = max(NUMBERS // max(right.select(F.size("vector")).first()[0], 1), 1)
+    parts = lambda rows, least: max(ceil(rows / most), min(least, ceil(rows / BLOCK)))
+    nl, nr = parts(n, LEFT_PARTS), parts(m, RIGHT_PARTS)
+    dealt = lambda k: F.pmod(F.monotonically_increasing_id(), F.lit(k))
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    a = left.withColumn("l_", dealt(nl)).withColumn("r_", each(nr))
+    b = right.withColumn("r_", dealt(nr)).withColumn("l_", each(nl))
+    a, b = (df.withColumn("pair_", (F.col("l_") * nr + F.col("r_")).cast("int")).drop("l_", "r_").withColumn("left_", F.lit(side)) for df, side in ((a, True), (b, False)))
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [x for x in batches if x.num_rows]
+        if got:
+            rows = pa.Table.from_batches(got)
+            got.clear()
+            own = rows["left_"]
+            yield from of(rows.filter(own), rows.filter(pa.compute.invert(own)))
+
+    return a.unionByName(b, allowMissingColumns=True).repartitionById(nl * nr, "pair_").mapInArrow(met, schema)
+
+
+def _numbers(rows: pa.Table) -> np.ndarray:
+    return rows["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)
+
+
+def _highest_of_pages(q: pa.Table, p: pa.Table) -> Iterator[pa.RecordBatch]:
+    """q: q_, vector. p: page_number, vector. The highest product of every q_ with every page; a q_ may come more than once."""
+    if not len(q) or not len(p):
+        return
+    coded = p["page_number"].combine_chunks().dictionary_encode("encode")
+    at = coded.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(at, kind="stable")
+    at, there, numbers = at[order], _numbers(p)[order], coded.dictionary
+    asked = q["q_"].to_numpy()
+    order = np.argsort(asked, kind="stable")
+    asked, x = asked[order], _numbers(q)[order]
+    step = max(1, min(ROWS, (1 << 22) // len(numbers)))
+    for i in range(0, len(x), step):
+        ids, first = np.unique(asked[i : i + step], return_index=True)
+        best = np.full((len(ids), len(numbers)), -np.inf)
+        for j in range(0, len(there), COLUMNS):
+            own = at[j : j + COLUMNS]
+            start = np.flatnonzero(np.diff(own, prepend=-1))
+            product = np.maximum.reduceat(x[i : i + step] @ there[j : j + COLUMNS].T, start, axis=1)
+            best[:, own[start]] = np.maximum(best[:, own[start]], np.maximum.reduceat(product, first, axis=0))
+        best = best.round(12)  # so that equal vectors score alike wherever they stand
+        page = numbers.take(pa.array(np.tile(np.arange(len(numbers)), len(ids))))
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, len(numbers))), page, pa.array(best.ravel())], ["q_", "page_number", "similarity"])
+
+
+def _nearest(x: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in d and products of the k greatest products of each row of x; of equals the first. Once a row has k, only greater ones are looked at."""
+    start = max(k, 256)
+    score = (x @ d[:start].T).round(12)
+    at = np.argsort(-score, axis=1, kind="stable")[:, :k]
+    score = np.take_along_axis(score, at, 1)
+    row = np.arange(len(x))
+    for j in range(start, len(d), COLUMNS):
+        more = x @ d[j : j + COLUMNS].T
+        least = np.where(np.isnan(score[:, -1]), -np.inf, score[:, -1])
+        hit = np.flatnonzero(more > (least + 1e-13)[:, None])
+        if not len(hit):
+            continue
+        r, c = np.divmod(hit, more.shape[1])
+        r, c, s = np.concatenate([np.repeat(row, k), r]), np.concatenate([at.ravel(), c + j]), np.concatenate([score.ravel(), more.ravel()[hit].round(12)])
+        order = np.lexsort((c, -s, r))
+        pick = order[np.searchsorted(r[order], row)[:, None] + np.arange(k)]
+        at, score = c[pick], s[pick]
+    return at, score
+
+
 def page_similarity(queries: DataFrame, pages: DataFrame, group: tuple = ("doc_id",)) -> DataFrame:
     """Highest dot product of any query window with any window of a page.
 
     queries: group columns, query, vector. pages: group columns, page_number, vector (null for a blank page: similarity 0).
-    Windows meet within a group only, as matrices.
+    Windows meet within a group only, as matrices; without group columns parts of both sides meet in a grid.
     """
     key = group or ("all_",)
     if not group:
@@ -64,7 +149,10 @@ def page_similarity(queries: DataFrame, pages: DataFrame, group: tuple = ("doc_i
         return out[[*key, "q_", "page_number", "similarity"]]
 
     schema = ", ".join([f"`{c}` {kind[c]}" for c in key] + ["q_ long", f"page_number {kind['page_number']}", "similarity double"])
-    found = _met(pages.select(*key, "page_number", "vector"), numbered, key, highest, schema)
+    if group:
+        found = _met(pages.select(*key, "page_number", "vector"), numbered, key, highest, schema)
+    else:
+        found = _grid(numbered.select("q_", "vector"), pages.select("page_number", "vector"), _highest_of_pages, f"q_ long, page_number {kind['page_number']}, similarity double").select(F.lit(0).alias("all_"), "q_", "page_number", "similarity")
     blank = pages.filter("vector IS NULL").select(*key, "page_number").join(asked.withColumn("q_", F.xxhash64("query")).drop("query"), list(key))
     found = found.union(blank.select(*key, "q_", "page_number", F.lit(0.0))).groupBy(*key, "q_", "page_number").agg(F.max("similarity").alias("similarity"))
     return found.join(asked.withColumn("q_", F.xxhash64("query")), [*key, "q_"]).select(*group, "query", "page_number", "similarity")
@@ -102,20 +190,21 @@ def prefiltered_pages(similar: DataFrame, keys: tuple, percentile: float = 0.25)
 def top_k_by_vector(queries: DataFrame, documents: DataFrame, k: int = 5) -> DataFrame:
     """queries: query, vector. documents: ord, vector. The k nearest by dot product; of equals the later first.
 
-    Blocks of both sides meet as matrices; each pair keeps its k best, and a window merges them.
+    Parts of both sides meet in a grid; each pair keeps its k best, and a window merges them.
     """
     kind = queries.schema["query"].dataType.simpleString()
 
-    def best(d: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if not len(d) or not len(q):
-            return pd.DataFrame(columns=["query", "ord", "similarity"])
-        d = d.sort_values("ord", ascending=False, kind="stable")
-        score = (_matrix(q.vector) @ _matrix(d.vector).T).round(12)
-        at = np.argsort(-score, axis=1, kind="stable")[:, :k]
-        return pd.DataFrame({"query": np.repeat(q["query"].to_numpy(), at.shape[1]), "ord": d["ord"].to_numpy()[at].ravel(), "similarity": np.take_along_axis(score, at, 1).ravel()})
-
-    one = lambda df, name: df.select(F.lit(0).alias("all_"), name, "vector")
-    found = _met(one(documents, "ord"), one(queries, "query"), ("all_",), best, f"query {kind}, ord long, similarity double")
+    def best(q: pa.Table, d: pa.Table) -> Iterator[pa.RecordBatch]:
+        if not len(q) or not len(d):
+            return
+        d = d.sort_by([("ord", "descending")])
+        x, there, ord_, asked = _numbers(q), _numbers(d), d["ord"].to_numpy(), q["query"].combine_chunks()
+        for i in range(0, len(x), ROWS):
+            at, score = _nearest(x[i : i + ROWS], there, k)
+            who = asked.take(pa.array(np.repeat(np.arange(i, i + len(at)), at.shape[1])))
+            yield pa.RecordBatch.from_arrays([who, pa.array(ord_[at.ravel()]), pa.array(score.ravel())], ["query", "ord", "similarity"])
+
+    found = _grid(queries.select("query", "vector"), documents.select(F.col("ord").cast("long"), "vector"), best, f"query {kind}, ord long, similarity double")
     order = Window.partitionBy("query").orderBy(F.desc("similarity"), F.desc("ord"))
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
