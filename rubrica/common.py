@@ -81,3 +81,13 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df to be broadcast if its size allows it; otherwise the join shuffles."""
     return F.broadcast(df) if small(df, rows) else df
+
+
+#: Rows of a part, at most and at least.
+MOST_ROWS, LEAST_ROWS = 1 << 18, 1 << 12
+
+
+def parts(df: DataFrame) -> int:
+    """Into how many parts a table is to be dealt: they grow in number, not in size; small tables have one for every core."""
+    n = df.count()
+    return max(-(-n // MOST_ROWS), min(df.sparkSession.sparkContext.defaultParallelism, -(-n // LEAST_ROWS)), 1)

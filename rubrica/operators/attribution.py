@@ -21,13 +21,19 @@ def fields(analyses: DataFrame) -> DataFrame:
 
 
 def entity_pages(texts: DataFrame, pages: DataFrame, keys: tuple = KEYS, settings: Attribution | None = None) -> DataFrame:
-    """keys, page_number: pages that share an entity with the text. Entities of pages are taken once, for all texts."""
+    """keys, page_number: pages that share an entity with the text. Entities of pages are taken once, for all texts.
+
+    With doc_id as the only key pages stay whole: each meets the set of its document's texts. (The filter allows null, or Spark would
+    look for entities twice, once only to see that they are not null.)
+    """
     s = settings or Attribution()
-    of = lambda c: F.explode(E.entities(c, s.first_year, s.last_year)).alias("entity")
+    all_ = lambda c: E.entities(c, s.first_year, s.last_year)
+    if tuple(keys) == ("doc_id",):
+        own = texts.select("doc_id", all_(F.col("text")).alias("own")).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("own"))).alias("own"))
+        return pages.select("doc_id", "page_number", all_(F.col("text")).alias("there")).join(own, "doc_id").filter(F.coalesce(F.arrays_overlap("there", "own"), F.lit(False))).select("doc_id", "page_number").distinct()
+    of = lambda c: F.explode(all_(c)).alias("entity")
     own = texts.select(*keys, of(F.col("text"))).distinct()
     there = pages.select("doc_id", "page_number", of(F.col("text")))
-    if tuple(keys) == ("doc_id",):
-        return there.join(own, ["doc_id", "entity"], "left_semi").select("doc_id", "page_number").distinct()
     return own.join(there, ["doc_id", "entity"]).select(*keys, "page_number").distinct()
 
 

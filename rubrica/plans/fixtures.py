@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import rubrics
-from ..common import literal
+from ..common import literal, parts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,9 +82,11 @@ analyses AS (SELECT conv_id AS doc_id, turn, CAST(conv_id % (SELECT count(*) FRO
 
 
 def narrative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sentence of numbers for every order line: every kind of entity occurs."""
+    """A sentence of numbers for every order line: every kind of entity occurs. Lines of an order are in one part."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount")
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.year("o_orderdate").alias("year"), "o_orderpriority")
+    n = parts(li)
+    li = li.repartition(n, "l_orderkey")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.year("o_orderdate").alias("year"), "o_orderpriority").repartition(n, "o_orderkey")
     price = F.floor("l_extendedprice").cast("long")
     text = F.concat(
         F.when(F.col("l_partkey") % 3 == 0, "The target of ").when(F.col("l_partkey") % 3 == 1, "In stage ").otherwise("About "), F.col("l_linenumber").cast("string"), F.lit(" plans for "), F.col("year").cast("string"), F.lit(" cost $"), price.cast("string"),

@@ -256,26 +256,36 @@ _ENT = f"""WITH {X.NARRATIVE}, {_SMALL}, kinds AS (
   UNION SELECT doc_id, page_number, 'integer', entity FROM small)"""
 
 
+def _of_pages(rows: DataFrame, found: Column) -> DataFrame:
+    """doc_id, page_number, entity: each once a page. Rows of a page are brought together whole, before what was found is taken apart."""
+    pages = rows.select("doc_id", "page_number", found.alias("found")).groupBy("doc_id", "page_number").agg(F.collect_list("found").alias("all"))
+    one = F.when(F.size("all") == 1, F.get("all", F.lit(0))).otherwise(F.array_distinct(F.flatten("all")))
+    return pages.select("doc_id", "page_number", F.explode(one).alias("entity"))
+
+
 @query(f"{_ENT} SELECT kind, entity, count(*) AS n_pages FROM (SELECT DISTINCT * FROM kinds WHERE kind <> 'integer') GROUP BY ALL")
 def entities_basic(spark, sf_dir):
     t = F.col("text")
     kinds = {"percentage": E.percentages(t), "year": E.years(t), "money": E.money(t), "grouped": E.grouped_numbers(t)}
-    rows = X.narrative(spark, sf_dir).select("doc_id", "page_number", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.array_distinct(v).alias("all")) for k, v in kinds.items()])).alias("x"))
-    return rows.select("doc_id", "page_number", "x.kind", F.explode("x.all").alias("entity")).distinct().groupBy("kind", "entity").agg(F.count(F.lit(1)).alias("n_pages"))
+    marked_as = lambda k, v: F.transform(v, lambda x: F.concat(F.lit(f"{k} "), x))
+    marked = F.concat(*[marked_as(k, v) for k, v in kinds.items()])
+    rows = _of_pages(X.narrative(spark, sf_dir), F.array_distinct(marked)).groupBy("entity").agg(F.count(F.lit(1)).alias("n_pages"))
+    kind = F.substring_index("entity", " ", 1)
+    return rows.select(kind.alias("kind"), F.substring(F.col("entity"), F.char_length(kind) + 2, F.char_length("entity")).alias("entity"), "n_pages")
 
 
 @query(f"{_ENT} SELECT doc_id, page_number, entity FROM kinds WHERE kind = 'integer'")
 def entities_context_int(spark, sf_dir):
-    return X.narrative(spark, sf_dir).select("doc_id", "page_number", F.explode(E.integers(F.col("text"))).alias("entity")).distinct()
+    return _of_pages(X.narrative(spark, sf_dir), F.array_distinct(E.integers(F.col("text"))))
 
 
 @query(f"""{_ENT}, e AS (SELECT DISTINCT doc_id, page_number, entity FROM kinds), f AS (SELECT doc_id, min(page_number) AS p FROM narrative GROUP BY doc_id),
 own AS (SELECT DISTINCT e.doc_id, entity FROM e JOIN f ON e.doc_id = f.doc_id AND e.page_number = f.p)
 SELECT DISTINCT doc_id, page_number FROM own JOIN e USING (doc_id, entity)""")
 def entity_page_match(spark, sf_dir):
-    rows = staged(X.narrative(spark, sf_dir), "narrative")  # read three times
-    first = rows.groupBy("doc_id").agg(F.min("page_number").alias("page_number"))
-    texts = rows.join(first, ["doc_id", "page_number"]).select("doc_id", "text")
+    rows = X.narrative(spark, sf_dir)  # in parts of whole documents, which nothing here sends again
+    first = rows.groupBy("doc_id").agg(F.min("page_number").alias("first"))
+    texts = rows.join(first, "doc_id").filter("page_number = first").select("doc_id", "text")
     return attribution.entity_pages(texts, rows, ("doc_id",))
 
 
