@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import rubrics
+from ..sources.analyses import is_list
 
 # Fields that every entry must have, null or not.
 REQUIRED_FIELDS = ["category", "response", "response_page_citations", "score", "scoring_reasoning", "scoring_reasoning_page_citations"]
@@ -18,8 +19,8 @@ def file_report(files: DataFrame, domain: str = "cancer") -> DataFrame:
     A file is valid without missing or duplicate categories and errors; extra categories and missing fields don't count.
     """
     need = rubrics.names(domain)
-    root = files.select("filename", F.try_parse_json("raw").alias("root"))
-    root = root.withColumn("shape", F.when(F.col("root").isNull(), "bad").when(F.schema_of_variant("root").startswith("ARRAY"), "list").otherwise("other"))
+    root = files.select("filename", F.try_parse_json("raw").alias("root"), is_list(F.col("raw")).alias("listed"))
+    root = root.withColumn("shape", F.when(F.col("root").isNull(), "bad").when(F.col("listed"), "list").otherwise("other"))
     items = root.select("filename", "shape", F.when(F.col("shape") == "list", F.try_variant_get("root", "$", "array<variant>")).alias("items"))
     as_map = F.transform("items", lambda v: F.try_variant_get(v, "$", "map<string,variant>"))
     entry = items.withColumn("maps", as_map)
@@ -35,7 +36,7 @@ def file_report(files: DataFrame, domain: str = "cancer") -> DataFrame:
     some = lambda x: F.filter(x, lambda y: y.isNotNull())
     rows = rows.select(
         "filename", "shape", F.coalesce(F.size("items"), F.lit(0)).alias("n"),
-        F.array_sort(some(F.transform("judged", lambda j: j["category"]))).alias("found"),
+        F.sort_array(some(F.transform("judged", lambda j: j["category"]))).alias("found"),
         F.transform(F.filter("judged", lambda j: F.size(j["lacks"]) > 0), lambda j: F.struct(j["category"].alias("category"), j["lacks"].alias("missing_fields"))).alias("gaps"),
         some(F.transform("judged", lambda j: j["error"])).alias("wrong"),
     )

@@ -139,7 +139,7 @@ def analysis_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.array().cast("array<int>")
     entry = F.struct("category", F.when(~gap, F.lit("text")).alias("response"), none.alias("response_page_citations"), F.col("score").cast("int").alias("score"), F.lit("why").alias("scoring_reasoning"), none.alias("scoring_reasoning_page_citations"))
     got = facts.groupBy("country", "year").agg(F.collect_list(F.struct("position", entry.alias("entry"))).alias("all"))
-    raw = F.to_json(F.transform(F.array_sort("all"), lambda a: a["entry"]))
+    raw = F.to_json(F.transform(F.sort_array("all"), lambda a: a["entry"]))  # sort_array: array_sort calls a lambda for each comparison
     bad = literal(spark, [("bad.json", "{not json"), ("object.json", '{"a": 1}'), ("odd.json", '[1, {"score": 2}, {"category": "Health"}, {"category": "Else"}, {"category": "Health", "score": null}]')], ["filename", "raw"])
     return got.select(F.concat("country", F.lit("_"), "year", F.lit(".json")).alias("filename"), raw.alias("raw")).union(bad)
 

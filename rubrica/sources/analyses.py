@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import country_and_year
@@ -23,17 +23,22 @@ def stream_files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.option("pathGlobFilter", "*.json").format("text").option("wholetext", "true").load(folder).select(F.col("_metadata.file_name").alias("filename"), F.col("value").alias("raw"))
 
 
+def is_list(raw: Column) -> Column:
+    """Whether the root of a text that parses as JSON is a list, by its first character: the schema of a variant would be merged from all its entries."""
+    return F.coalesce(F.startswith(F.ltrim(raw, F.lit(" \t\n\r")), F.lit("[")), F.lit(False))
+
+
 def entries(found: DataFrame) -> DataFrame:
     """filename, country, year, position, entry (variant) of files whose root is a list; others are skipped."""
-    root = found.select("filename", F.try_parse_json("raw").alias("root")).filter(F.schema_of_variant("root").startswith("ARRAY"))
+    items = F.when(is_list(F.col("raw")), F.try_variant_get(F.try_parse_json("raw"), "$", "array<variant>"))  # no filter: it would make and parse texts twice
     country, year = country_and_year(F.col("filename"))
-    return root.select("filename", country.alias("country"), year.alias("year"), F.posexplode(F.try_variant_get("root", "$", "array<variant>")).alias("position", "entry"))
+    return found.select("filename", country.alias("country"), year.alias("year"), F.posexplode(items).alias("position", "entry"))
 
 
 def unreadable(found: DataFrame) -> DataFrame:
     """filename, error of the files that ``entries`` skips."""
-    why = F.when(F.try_parse_json("raw").isNull(), "JSON parsing error").when(~F.schema_of_variant(F.try_parse_json("raw")).startswith("ARRAY"), "JSON root is not a list/array")
-    return found.select("filename", why.alias("error")).filter("error IS NOT NULL")
+    why = F.when(F.try_parse_json("raw").isNull(), "JSON parsing error").when(~is_list(F.col("raw")), "JSON root is not a list/array")
+    return found.select("filename", F.explode(F.filter(F.array(why), lambda x: x.isNotNull())).alias("error"))
 
 
 def facts(rows: DataFrame) -> DataFrame:
