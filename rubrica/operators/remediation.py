@@ -13,18 +13,19 @@ from ..settings import Quality
 def remediate(assessed: DataFrame, again: Callable[[DataFrame], DataFrame], settings: Quality | None = None) -> DataFrame:
     """assessed: rows with passed. again: takes the failed ones and returns rows of the same columns, assessed anew.
 
-    Only failed rows are made and assessed again. Each round is written to the shared folder: replies of a model are not asked for
-    twice when a task is lost, and plans stay short. The driver sees only whether any row failed.
+    Only failed rows are made and assessed again. What was assessed, and each round, is written to the shared folder once: nothing is
+    assessed or asked for twice, also when a task is lost, and plans stay short. The driver sees only whether any row failed.
     """
     s = settings or Quality()
+    assessed = staged(assessed, "remediation")
     fine = [assessed.filter("passed")]
-    open_ = staged(assessed.filter("NOT passed"), "remediation")
+    open_ = assessed.filter("NOT passed")
     for _ in range(s.max_remediation_rounds):
         if open_.isEmpty():
             break
         made = staged(again(open_).select(*assessed.columns), "remediation")
         fine.append(made.filter("passed"))
-        open_ = staged(made.filter("NOT passed"), "remediation")
+        open_ = made.filter("NOT passed")
     out = open_
     for f in fine:
         out = out.unionByName(f)
